@@ -54,6 +54,12 @@ def row_key(text: str | Column = "text", doc_id: str | Column = "doc_id") -> Col
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), F.coalesce(F.col(text), F.lit("\x00")))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs' rows whose row_key is not among those of gone, a table of one column of longs."""
+    keys = gone.toDF("__rk").distinct()
+    return docs.withColumn("__rk", row_key()).join(maybe_broadcast(keys, gone.count()), "__rk", "left_anti").select(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root).
 

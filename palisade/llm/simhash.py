@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
 
-from .common import components, materialize, maybe_broadcast, row_key, small_batches
+from .common import components, materialize, maybe_broadcast, row_key, small_batches, without
 
 BITS = 64
 #: Fingerprints that the partitioning is estimated on; a bounded sample, taken by hash.
@@ -409,11 +409,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
 def deduplicate(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs of which one for each near-duplicate group stays, with docs' columns."""
     judged = materialize(near_duplicates(docs, **options), "judged")
-    gone = judged.where("not keep").select("row_key")
-    out = docs.withColumn("__rk", row_key()).join(maybe_broadcast(gone, gone.count()), F.col("__rk") == F.col("row_key"), "left_anti")
-    twice = judged.where("keep and copies > 1").select("row_key")
+    out = without(docs, judged.where("not keep").select("row_key"))
+    twice = judged.where("keep and copies > 1").select(F.col("row_key").alias("__rk"))
     if not twice.isEmpty():
         many = maybe_broadcast(twice, twice.count())
-        once = out.join(many, F.col("__rk") == F.col("row_key"), "left_semi").dropDuplicates(["__rk"])
-        out = out.join(many, F.col("__rk") == F.col("row_key"), "left_anti").unionByName(once)
-    return out.drop("__rk")
+        marked = out.withColumn("__rk", row_key())
+        once = marked.join(many, "__rk", "left_semi").dropDuplicates(["__rk"])
+        out = marked.join(many, "__rk", "left_anti").unionByName(once).select(*docs.columns)
+    return out
