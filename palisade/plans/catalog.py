@@ -423,6 +423,6 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.advisory_metrics(p.select(F.col("advisory_id").alias("id"), "aliases", "withdrawn"), p).withColumn("fixed_events", F.col("fixed_events").cast("long"))
 
 
-@query("""SELECT 'advisories' AS metric, count(*) AS value, CAST(50 AS BIGINT) AS minimum, CASE WHEN count(*) >= 50 THEN 'passed' ELSE 'failed' END AS status FROM supplier UNION ALL SELECT 'epss', NULL, 1, 'not_evaluable'""")
+@query("""SELECT 'advisories' AS metric, count(*) AS value, CAST(50 AS BIGINT) AS minimum, CASE WHEN count(*) >= 50 THEN 'passed' ELSE 'failed' END AS status FROM supplier UNION ALL SELECT 'epss', -1, 1, 'not_evaluable'""")
 def quality_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.thresholds(quality_metrics(spark, sf_dir), {"advisories": 50, "epss": 1})
+    return quality.thresholds(quality_metrics(spark, sf_dir), {"advisories": 50, "epss": 1}).withColumn("value", F.coalesce("value", F.lit(-1)))
