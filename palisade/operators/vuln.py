@@ -40,7 +40,7 @@ def match(components: DataFrame, packages: DataFrame) -> DataFrame:
     """
     eco, name = versions.ecosystem(F.col("ecosystem")), F.lower(F.trim("name"))
     c = components.where(F.coalesce("version", F.lit("")) != "").withColumn("ecosystem", eco).withColumn("name", name)
-    p = packages.where("withdrawn is null").withColumn("ecosystem", eco).withColumn("name", F.lower("name"))
+    p = packages.where("withdrawn is null").select("advisory_id", eco.alias("ecosystem"), F.lower("name").alias("name"), "aliases", "source", "versions", "ranges")
     purl = F.coalesce("purl", F.concat(F.lit("pkg:"), F.col("ecosystem"), F.lit("/"), F.col("name"), F.lit("@"), F.col("version")))
     j = c.join(p, ["ecosystem", "name"]).withColumn("purl", purl)
     exact = F.array_contains(F.coalesce("versions", F.array().cast("array<string>")), F.col("version"))
