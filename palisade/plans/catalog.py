@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions import versions
+from palisade.functions import escape, npm, versions
 from palisade.functions.registry import ContextRule
 from palisade.operators import classify, context, correlate, enrich, lifecycle, policy, quality, scan, vuln
+from palisade.plans import snapshots
+from palisade.sources import diff, feeds, manifests, sbom
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -426,3 +428,123 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'advisories' AS metric, count(*) AS value, CAST(50 AS BIGINT) AS minimum, CASE WHEN count(*) >= 50 THEN 'passed' ELSE 'failed' END AS status FROM supplier UNION ALL SELECT 'epss', -1, 1, 'not_evaluable'""")
 def quality_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.thresholds(quality_metrics(spark, sf_dir), {"advisories": 50, "epss": 1}).withColumn("value", F.coalesce("value", F.lit(-1)))
+
+
+# Sources and reports, on small texts that both sides state
+
+_FILES = (
+    ("requirements.txt", "Flask==2.0 ; python_version > '3'\nrequests>=2\nnumpy\n-r more.txt\n"),
+    ("a/go.mod", "module m\n\nrequire (\n\tgolang.org/x/a v1.2.3 // indirect\n)\nrequire example.com/b v0.1.0\n"),
+    ("go.sum", "golang.org/x/a v1.2.3 h1:abc=\ngolang.org/x/c v1.0.0 h1:abc=\ngolang.org/x/a v1.2.3/go.mod h1:def=\n"),
+    ("Cargo.lock", 'version = 3\n\n[[package]]\nname = "serde"\nversion = "1.0.1"\n'),
+    ("poetry.lock", '[[package]]\nname = "Foo_Bar"\nversion = "1.0"\n'),
+    ("uv.lock", '[[package]]\nname = "baz"\nversion = "3.1"\n'),
+    ("composer.lock", '{"packages": [{"name": "v/p", "version": "v1.0"}], "packages-dev": []}'),
+    ("package-lock.json", '{"lockfileVersion": 3, "packages": {"": {"version": "1"}, "node_modules/a": {"version": "1.2.3"}, "node_modules/a/node_modules/@s/b": {"version": "2.0.0"}}}'),
+    ("old/package-lock.json", '{"lockfileVersion": 1, "dependencies": {"c": {"version": "3.0.0", "dependencies": {"d": {"version": "4.0.0"}}}}}'),
+)
+_COMPONENT_ROWS = (
+    ("pypi", "flask", "2.0"), ("golang", "golang.org/x/a", "v1.2.3"), ("golang", "example.com/b", "v0.1.0"), ("golang", "golang.org/x/c", "v1.0.0"), ("cargo", "serde", "1.0.1"), ("pypi", "foo-bar", "1.0"),
+    ("pypi", "baz", "3.1"), ("composer", "v/p", "1.0"), ("npm", "a", "1.2.3"), ("npm", "@s/b", "2.0.0"), ("npm", "c", "3.0.0"), ("npm", "d", "4.0.0"),
+)
+
+
+def _values(rows: tuple, names: str) -> str:
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({names})"
+
+
+@query(_values(_COMPONENT_ROWS, "ecosystem, name, version"))
+def inventory_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.inventory(spark.createDataFrame(_FILES, "path string, text string")).where("kind = 'component'").select("ecosystem", "name", "version")
+
+
+@query(_values((("requests", "version_range"), ("numpy", "version_unknown")), "name, reason"))
+def inventory_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.inventory(spark.createDataFrame(_FILES, "path string, text string")).where("kind = 'unresolved'").select("name", "reason")
+
+
+@query(_values((("a", "npm", "ok"), ("b", "?", "missing name or version"), ("d", "?", "repeated component"), ("d", "?", "repeated component")), "name, ecosystem, reject_reason"))
+def sbom_cyclonedx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = '{"bomFormat": "CycloneDX", "specVersion": "1.5", "components": [{"name": "a", "version": "1", "purl": "pkg:npm/a@1"}, {"name": "b", "version": ""}, {"name": "d", "version": "1"}, {"name": "d", "version": "1"}]}'
+    return sbom.cyclonedx(spark.createDataFrame([("f", text)], "path string, text string")).select("name", F.coalesce("ecosystem", F.lit("?")).alias("ecosystem"), F.coalesce("reject_reason", F.lit("ok")).alias("reject_reason"))
+
+
+@query(_values((("a", "1", "crates.io", "pkg:cargo/a@1"),), "name, version, ecosystem, purl"))
+def sbom_spdx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = '{"spdxVersion": "SPDX-2.3", "packages": [{"name": "a", "versionInfo": "1", "externalRefs": [{"referenceType": "purl", "referenceLocator": "pkg:cargo/a@1"}]}]}'
+    return sbom.spdx(spark.createDataFrame([("f", text)], "path string, text string")).select("name", "version", "ecosystem", "purl")
+
+
+@query(_values((("t", "p", "1", "CVE-1", "high"),), "target, package, version, vulnerability, severity"))
+def evidence_trivy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = '{"SchemaVersion": 2, "Results": [{"Target": "t", "Type": "npm", "Vulnerabilities": [{"VulnerabilityID": "CVE-1", "PkgName": "p", "InstalledVersion": "1", "Severity": "HIGH"}]}]}'
+    return sbom.trivy(spark.createDataFrame([("f", text)], "path string, text string")).select("target", "package", "version", "vulnerability", "severity")
+
+
+@query(_values(((">= 1, < 2", "1|2|"), ("< 2", ""), (">= 1, <= 2", "1||"), ("= 3", "3||3"), ("<= 4", "0||4")), "stated, events"))
+def ghsa_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(x,) for x in (">= 1, < 2", "< 2", ">= 1, <= 2", "= 3", "<= 4")], "stated string")
+    e = feeds.ghsa_events(F.col("stated"))
+    first = lambda k: F.coalesce(F.get(F.filter(F.transform(e, lambda x: x[k]), lambda v: v.isNotNull()), F.lit(0)), F.lit(""))
+    return d.select("stated", F.when(e.isNull(), "").otherwise(F.concat_ws("|", first("introduced"), first("fixed"), first("last_affected"))).alias("events"))
+
+
+_OSV = '{"vulns": [{"id": "OSV-1", "modified": "2024", "affected": [{"package": {"ecosystem": "PyPI", "name": "Flask"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.1"}]}], "versions": ["9"]}]}]}'
+
+
+@query(_values((("2.0", "ecosystem-range"), ("9", "exact-version")), "version, method"))
+def feed_osv_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    adv = feeds.osv(feeds.records(spark.createDataFrame([("f", _OSV)], "path string, text string")))
+    comps = spark.createDataFrame([("pip", "flask", v, None, "requirements.txt") for v in ("2.0", "2.1", "9", None)], "ecosystem string, name string, version string, purl string, manifest_path string")
+    return vuln.match(comps, feeds.packages(adv)).select("version", "method")
+
+
+@query(_values(tuple((feed, "pkg", "1.0", versions.SAME.get(eco.lower(), eco.lower())) for feed, eco in feeds.FIXED_FEEDS.items()), "source, name, fixed, ecosystem"))
+def feed_fixed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([('{"id": "X-1", "package": "Pkg", "fixed": "1.0"}',)], "record string")
+    out = None
+    for feed in feeds.FIXED_FEEDS:
+        one = feeds.fixed_feed(rows, feed).select("source", "name", F.col("ranges")[0][1]["fixed"].alias("fixed"), "ecosystem")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_DIFF = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n keep\n-old\n+password=abcdefgh\n+new\ndiff --git a/n.txt b/n.txt\nnew file mode 100644\n--- /dev/null\n+++ b/n.txt\n@@ -0,0 +1 @@\n+hello\n"
+
+
+@query(_values((("x.py", "modify", "context", 1, "keep"), ("x.py", "modify", "removed", 2, "old"), ("x.py", "modify", "added", 2, "password=abcdefgh"), ("x.py", "modify", "added", 3, "new"), ("n.txt", "create", "added", 1, "hello")), "path, operation, line_type, line, content"))
+def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.diff_lines(diff.diff_files(spark.createDataFrame([(1, _DIFF)], "diff_id int, text string"))).select("path", "operation", "line_type", "line", "content")
+
+
+@query(_values((("x.py", 2, "CRT-SEC-014"),), "file, line, rule_id"))
+def scan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = diff.diff_lines(diff.diff_files(spark.createDataFrame([(1, _DIFF)], "diff_id int, text string"))).where("line_type = 'added'")
+    return scan.findings(lines).select("file", "line", "rule_id")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(ltrim(t), '^[=+\\-@]') THEN '''' || t ELSE t END AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN ' +' WHEN 2 THEN 'x=' ELSE '@' END || source AS t FROM documents)")
+def report_csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.get(F.array(*map(F.lit, ("=", " +", "x=", "@"))), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", escape.csv_safe(F.concat(lead, "source")).alias("cell"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(url, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C') AS cell FROM pages")
+def report_github_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", escape.github(F.col("url")).alias("cell"))
+
+
+@query("SELECT s_nationkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier) WHERE k <= 3")
+def seed_top_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.top_of_each(table(spark, sf_dir, "supplier"), "s_nationkey", [F.desc("s_acctbal"), "s_suppkey"], 3).select("s_nationkey", "s_suppkey")
+
+
+@query("SELECT 'npm' AS eco, '1.2.3' AS v, r AS range, h AS hit FROM (VALUES ('^1.0.0', true), ('~1.2.0', true), ('~1.1.0', false), ('>=1.0.0 <1.2.3', false), ('1.x || 3.x', true), ('1.2', true), ('^0.2.3', false), ('*', true), ('=1.2.3', true)) AS t(r, h)")
+def npm_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ("^1.0.0", "~1.2.0", "~1.1.0", ">=1.0.0 <1.2.3", "1.x || 3.x", "1.2", "^0.2.3", "*", "=1.2.3")
+    out = None
+    for r in rows:
+        one = spark.createDataFrame([("npm", "1.2.3")], "eco string, v string").select("eco", "v", F.lit(r).alias("range"), npm.in_range(F.col("v"), r).alias("hit"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.versions import ecosystem
+
 EVENT = "struct<introduced:string,fixed:string,last_affected:string>"
 OSV = f"struct<id:string,aliases:array<string>,summary:string,details:string,published:string,modified:string,withdrawn:string,schema_version:string,severity:array<struct<type:string,score:string>>,references:array<struct<type:string,url:string>>,database_specific:struct<severity:string>,affected:array<struct<package:struct<ecosystem:string,name:string,purl:string>,ranges:array<struct<type:string,events:array<{EVENT}>>>,versions:array<string>>>>"
 
@@ -43,8 +45,6 @@ def osv(rows: DataFrame, source: str = "osv") -> DataFrame:
 
 def packages(advisories: DataFrame) -> DataFrame:
     """(advisory_id, ecosystem, name, purl, aliases, withdrawn, source, versions, ranges) of osv()."""
-    from palisade.functions.versions import ecosystem
-
     x = advisories.where("reject_reason is null").select(F.col("id").alias("advisory_id"), "aliases", "withdrawn", "source", F.explode("affected").alias("a"))
     ranges = F.transform(F.coalesce("a.ranges", F.array().cast(f"array<struct<type:string,events:array<{EVENT}>>>")), lambda r: r["events"])
     return x.select("advisory_id", ecosystem(F.col("a.package.ecosystem")).alias("ecosystem"), F.lower("a.package.name").alias("name"), "a.package.purl", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "withdrawn", "source", F.coalesce("a.versions", F.array().cast("array<string>")).alias("versions"), ranges.alias("ranges"))
@@ -148,11 +148,9 @@ def fixed_feed(rows: DataFrame, feed: str) -> DataFrame:
     x = rows.select(d.alias("d")).select("d.*")
     names = F.when(F.size(F.coalesce("binary_packages", F.array().cast("array<string>"))) > 0, F.col("binary_packages")).otherwise(F.array("package"))
     null = F.lit(None).cast("string")
-    from palisade.functions.versions import ecosystem
-
     ok = F.col("id").isNotNull() & F.col("package").isNotNull() & F.col("fixed").isNotNull()
-    return x.where(ok).select(
-        F.col("id").alias("advisory_id"), ecosystem(F.lit(FIXED_FEEDS[feed])).alias("ecosystem"), F.lower(F.explode(names)).alias("name"), null.alias("purl"), F.array().cast("array<string>").alias("aliases"), null.alias("withdrawn"), F.lit(feed).alias("source"),
+    return x.where(ok).withColumn("one", F.explode(names)).select(
+        F.col("id").alias("advisory_id"), ecosystem(F.lit(FIXED_FEEDS[feed])).alias("ecosystem"), F.lower("one").alias("name"), null.alias("purl"), F.array().cast("array<string>").alias("aliases"), null.alias("withdrawn"), F.lit(feed).alias("source"),
         F.array().cast("array<string>").alias("versions"), F.array(F.array(_event(F.lit("0"), null, null), _event(null, F.col("fixed"), null))).alias("ranges"), F.coalesce("severity", "urgency", F.lit("Unknown")).alias("severity"),
     )
 
