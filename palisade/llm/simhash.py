@@ -318,7 +318,8 @@ def link_fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42, radi
     named = found.join(classes, found.node == classes.fp).select("root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join of all rows stands on plain exchanges and a fingerprint of many rows is split
+    of = materialize(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     out = rows.join(of, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
