@@ -301,3 +301,30 @@ def test_graph(spark):
 
 def test_custom_rule_order():
     assert Rule("CRT-CUSTOM-0123456789AB", "X", "low", "abc").kind == "secret"
+
+
+def test_control_documents(spark):
+    from palisade.functions import control, ed25519
+    from palisade.sources import statements
+
+    # a published test vector of RFC 8032
+    key = bytes.fromhex("3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c")
+    sig = bytes.fromhex("92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00")
+    assert ed25519.verify(key, b"\x72", sig) and not ed25519.verify(key, b"\x73", sig) and not ed25519.verify(key, b"\x72", sig[:63] + b"\x01")
+    c = control.parse_config(json.dumps({"profile": "strict", "pattern_overrides": {"TOKEN_LITERAL": {"severity": "low"}}, "custom_patterns": [{"name": "X", "regex": "abc[0-9]{3}"}], "file_patterns": {"ignore_paths": ["t/*"]}}).encode())
+    rules = control.configured(builtin_rules(), c)
+    assert rules[-1].rule_id.startswith("CRT-CUSTOM-") and {r.severity for r in rules if r.name == "TOKEN_LITERAL"} == {"low"} and c.ignore == ("t/*",)
+    for bad in (b"[]", b'{"x": 1}', b'{"profile": "none"}', b'{"profile": "strict", "profile": "strict"}', b"\xff"):
+        with pytest.raises(ValueError):
+            control.parse_config(bad)
+    for bad in ("a|b", "a*", "a{1,2}", "(a)", "a{999}"):
+        with pytest.raises(ValueError):
+            control.linear_pattern(bad)
+    assert control.linear_pattern(r"ab[0-9+]{3}\.") and control.parse_hook(b'{"schema": "s", "version": 1, "event": "post-change", "diff": "d"}') == "d"
+    with pytest.raises(ValueError):
+        control.parse_pack(json.dumps({"schema": "s", "version": 1, "key_id": "k", "pack": {}, "signature": "0" * 128}).encode(), {"k": key})
+    f = lambda d: spark.createDataFrame([("f", json.dumps(d))], "path string, text string")
+    v = statements.vex(f({"statements": [{"vulnerability": {"@id": "CVE-1"}, "products": [{"@id": "pkg:a/b@1"}], "status": "not_affected"}, {"vulnerability": "CVE-2", "products": ["p"], "status": "fixed"}]})).collect()
+    assert sorted((r.vulnerability, r.products[0], r.reject_reason) for r in v) == [("CVE-1", "pkg:a/b@1", "not_affected without a justification"), ("CVE-2", "p", None)]
+    s = statements.suppressions(f({"version": 2, "entries": [{"fingerprint": "sha256:" + "0" * 64, "reason": "r", "owner": "o", "ticket": "t", "scope": "s", "expires_at": "2024-01-01"}, {"fingerprint": "x", "reason": "r"}]})).collect()
+    assert sorted(r.reject_reason or "" for r in s) == ["", "malformed fingerprint"]
