@@ -31,3 +31,9 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}/palisade-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its files give fewer partitions than there are; a large table stays as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

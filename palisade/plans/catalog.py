@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import escape, npm, versions
 from palisade.functions.registry import ContextRule
+from palisade.functions.tables import spread
 from palisade.operators import classify, context, correlate, enrich, lifecycle, policy, quality, scan, vuln
 from palisade.plans import snapshots
 from palisade.sources import diff, feeds, manifests, sbom
@@ -38,9 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, text) dealt to all cores: a table of one file would be one task."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.concat_ws("/", F.lit("docs"), "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text", "doc_id").repartition(spark.sparkContext.defaultParallelism)
+    return spread(d.select(F.concat_ws("/", F.lit("docs"), "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text", "doc_id"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +73,13 @@ def scan_findings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT file, CAST(line AS BIGINT) AS line, 'CRT-SEC-016' AS rule_id, m AS matched_text FROM (SELECT file, line, unnest(regexp_extract_all(content, '{_TOKEN}')) AS m FROM ({_lines('pages', chr(39) + 'pages/' + chr(39) + ' || page_id || ' + chr(39) + '.html' + chr(39), 'html')}))")
 def scan_findings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text")).repartition(spark.sparkContext.defaultParallelism)
+    p = spread(table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text")))
     return scan.findings(scan.file_lines(p)).select("file", F.col("line").cast("long").alias("line"), "rule_id", "matched_text")
 
 
 @query(f"SELECT file, CAST(line AS BIGINT) AS line, 'CRT-SEC-016' AS rule_id FROM (SELECT file, line, unnest(regexp_extract_all(content, '{_TOKEN}')) AS m FROM ({_lines('conversations', chr(39) + 'chats/' + chr(39) + ' || conv_id || ' + chr(39) + '/' + chr(39) + ' || turn || ' + chr(39) + '.txt' + chr(39), 'text')}))")
 def scan_findings_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("chats/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".txt")).alias("path"), "text").repartition(spark.sparkContext.defaultParallelism)
+    c = spread(table(spark, sf_dir, "conversations").select(F.concat(F.lit("chats/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".txt")).alias("path"), "text"))
     return scan.findings(scan.file_lines(c)).select("file", F.col("line").cast("long").alias("line"), "rule_id")
 
 
