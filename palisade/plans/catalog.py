@@ -48,7 +48,8 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).select("file", "line", "rule_id", "pattern_name", "severity", "fingerprint")
+    """One row: what the rule scan finds in all documents, and the exit code."""
+    return policy.summary(found(spark, sf_dir))
 
 
 # Scan
