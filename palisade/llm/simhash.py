@@ -26,6 +26,8 @@ BITS = 64
 SAMPLE = 1500
 #: Members of a bucket that one task compares at once; larger buckets are dealt in pairs of blocks.
 BLOCK = 512
+#: Members from which on a bucket's links are too many to verify each.
+CROWD = 128
 #: Cost of one probe row (shuffled and sorted) in comparisons of two fingerprints.
 PROBE_COST = 60.0
 
@@ -194,26 +196,29 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _thinned(a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of many true links: each node's three nearest, those of the node with most links,
-    and a spanning set."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    keep = np.zeros(len(a), bool)
-    degree = np.bincount(at, minlength=len(nodes))
-    hub = int(degree.argmax())
-    keep |= (x == hub) | (y == hub)
-    for p, q in ((x, y), (y, x)):
-        order = np.lexsort((q, dist, p))
-        first = np.concatenate(([True], p[order][1:] != p[order][:-1]))
-        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        keep[order[rank < 3]] = True
-    return a[keep], b[keep]
+def _crowded(fp: np.ndarray, ident: np.ndarray, size: np.ndarray, fps: np.ndarray, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a crowded bucket's links: those of each member to its two nearest by all fingerprints."""
+    near = _popcount(fp[:, None] ^ fp[None, :]) <= radius
+    near &= ident[:, None] != ident[None, :]
+    if ratio:
+        near &= np.minimum(size[:, None], size[None, :]) >= ratio * np.maximum(size[:, None], size[None, :])
+    far = np.zeros(near.shape, np.int32)
+    for t in range(fps.shape[1]):
+        far += _popcount(fps[:, t][:, None] ^ fps[:, t][None, :])
+    far[~near] = 1 << 30
+    keep = np.zeros(near.shape, bool)
+    for _ in range(2):
+        best = far.argmin(axis=1)
+        row = np.flatnonzero(far[np.arange(len(best)), best] < 1 << 30)
+        keep[row, best[row]] = True
+        far[row, best[row]] = 1 << 30
+    x, y = np.nonzero(keep)
+    return ident[x], ident[y]
 
 
 def compare_sorted(gid: np.ndarray, fp: np.ndarray, ident: np.ndarray, radius: int, every: bool, size: np.ndarray | None = None, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) between members of a bucket within the radius; gid is sorted."""
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    got: list[tuple[np.ndarray, np.ndarray]] = []
     idx, d = np.arange(len(gid)), 0
     while len(idx):
         d += 1
@@ -226,23 +231,11 @@ def compare_sorted(gid: np.ndarray, fp: np.ndarray, ident: np.ndarray, radius: i
             hit &= np.minimum(s, t) >= ratio * np.maximum(s, t)
         if hit.any():
             at = idx[hit]
-            got.append((ident[at], ident[at + d], dist[hit], gid[at]))
+            got.append((ident[at], ident[at + d]))
     if not got:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b, dist, g = (np.concatenate(x) for x in zip(*got, strict=True))
-    if not every:
-        return _spanning(a, b)
-    group, where, count = np.unique(g, return_inverse=True, return_counts=True)
-    members = np.bincount(np.searchsorted(group, gid[np.isin(gid, group)]), minlength=len(group))
-    crowded = (members > BLOCK // 4) & (count > 8 * members)
-    if not crowded.any():
-        return a, b
-    plain = ~crowded[where]
-    out = [(a[plain], b[plain])]
-    for k in np.flatnonzero(crowded):
-        m = where == k
-        out.append(_thinned(a[m], b[m], dist[m]))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+    return (a, b) if every else _spanning(a, b)
 
 
 def hamming_links(nodes: DataFrame, radius: int, *, every: bool = False, ratio: float = 0.0) -> DataFrame:
@@ -251,10 +244,9 @@ def hamming_links(nodes: DataFrame, radius: int, *, every: bool = False, ratio:
     nodes: (id long, fps array<long>, size int); two nodes link if any fingerprint of the
     same position is within the radius. Without ``every``, a bucket yields a set of edges
     that connects what its links connect, one for each member at most. With ``every`` it
-    yields its links; only buckets of over BLOCK / 4 members with over eight links a member
-    are thinned to each member's three nearest, the links of the best connected one and so
-    on, in which all of them stay connected. A bucket of more than BLOCK members is dealt
-    out in pairs of blocks, so no task holds it alone.
+    yields its links; in a bucket of over CROWD members, where links grow with the square, those
+    to each member's two nearest by all its fingerprints stand for them. A bucket of more members than the limit is dealt out in pairs of blocks, so
+    no task holds it alone.
     """
     spark = nodes.sparkSession
     n = nodes.count()
@@ -262,40 +254,49 @@ def hamming_links(nodes: DataFrame, radius: int, *, every: bool = False, ratio:
     near = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     sample = [r[0] for r in nodes.where(near).select(F.col("fps")[0]).limit(4 * SAMPLE).collect()]
     plan = choose_partitions(np.array(sample, dtype=np.int64), n, radius)
+    limit = CROWD if every else BLOCK
     keyed = (
-        nodes.select("id", "size", F.posexplode("fps").alias("at", "fp"))
-        .select("id", "size", "fp", "at", F.explode(probe_keys(F.col("fp"), plan)).alias("key"))
-        .select("id", "size", "fp", F.xxhash64("at", "key").alias("key"))
+        nodes.select("id", "size", "fps", F.posexplode("fps").alias("at", "fp"))
+        .select("id", "size", "fps", "fp", "at", F.explode(probe_keys(F.col("fp"), plan)).alias("key"))
+        .select("id", "size", "fps", "fp", F.xxhash64("at", "key").alias("key"))
     )
-    hot = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
+    hot = keyed.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
     hot = materialize(hot, "hot")
     x = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int")
     dealt = (
         keyed.join(maybe_broadcast(hot, hot.count()), "key", "left")
         .withColumn("x", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(x))
         .withColumn("y", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("gid"), "fp", "id", "size")
+        .select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("gid"), "fp", "id", "size", F.when(F.col("blocks").isNotNull() & F.lit(every), F.col("fps")).alias("fps"))
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+        held: list[pd.DataFrame] = []
         rows = 0
 
-        def done(x: np.ndarray) -> pd.DataFrame:
-            a, b = compare_sorted(x[0], x[1], x[2], radius, every, x[3], ratio)
+        def done(x: pd.DataFrame) -> pd.DataFrame:
+            gid, fp, ident, size = (x[c].to_numpy(np.int64) for c in ("gid", "fp", "id", "size"))
+            crowd = x["fps"].notna().to_numpy()
+            plain = ~crowd
+            found = [compare_sorted(gid[plain], fp[plain], ident[plain], radius, every, size[plain], ratio)]
+            at = np.flatnonzero(crowd)
+            for part in np.split(at, np.flatnonzero(np.diff(gid[at])) + 1) if len(at) else []:
+                found.append(_crowded(fp[part], ident[part], size[part], np.stack(x["fps"].iloc[part].to_list()).astype(np.int64), radius, ratio))
+            a, b = (np.concatenate(y) for y in zip(*found, strict=True))
             return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
         for pdf in batches:
-            held.append(np.stack([pdf[c].to_numpy(np.int64) for c in ("gid", "fp", "id", "size")]))
+            held.append(pdf)
             rows += len(pdf)
             if rows >= 100_000:
-                x = np.concatenate(held, axis=1)
-                cut = int(np.searchsorted(x[0], x[0][-1]))
+                x = pd.concat(held, ignore_index=True)
+                last = x["gid"].iloc[-1]
+                cut = int(np.searchsorted(x["gid"].to_numpy(), last))
                 if cut:
-                    yield done(x[:, :cut])
-                held, rows = [x[:, cut:]], x.shape[1] - cut
+                    yield done(x.iloc[:cut])
+                held, rows = [x.iloc[cut:]], len(x) - cut
         if rows:
-            yield done(np.concatenate(held, axis=1))
+            yield done(pd.concat(held, ignore_index=True))
 
     return dealt.repartition("gid").sortWithinPartitions("gid").mapInPandas(compare, "a long, b long").distinct()
 
