@@ -340,11 +340,11 @@ def _mixed(h: np.ndarray, table: int) -> np.ndarray:
 
 
 def sketch(text: str | None, tables: int, shingle: int) -> tuple[int, list[int], int]:
-    """(class of the word sequence, a fingerprint of its distinct words for each table, shingles)."""
+    """(class of the word sequence, a fingerprint of its distinct words for each table, distinct shingles)."""
     words = words_of(text)
     cls = xxhash.xxh64_intdigest(b" ".join(words), 7) - (1 << 63)
     h = np.sort(shingle_hashes(list(dict.fromkeys(words)), 1, 42))
-    return cls, [majority(_mixed(h, t)) for t in range(tables)], max(1, len(words) - shingle + 1)
+    return cls, [majority(_mixed(h, t)) for t in range(tables)], len(np.unique(shingle_hashes(words, shingle, 42)))
 
 
 def shingle_set(text: str | None, shingle: int) -> bytes:
