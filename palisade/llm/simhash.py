@@ -9,7 +9,7 @@ in one partition, so probing each partition within its threshold finds every pai
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +26,10 @@ BITS = 64
 SAMPLE = 1500
 #: Members of a bucket that one task compares at once; larger buckets are dealt in pairs of blocks.
 BLOCK = 512
-#: Members from which on a bucket's links are too many to verify each.
+#: Members from which on a shingle's documents are verified in blocks instead of in pairs.
 CROWD = 128
+#: Documents that common shingles are told on, those of them that hold one, and common shingles; they only choose the order.
+COMMON_DOCS, COMMON_LEAST, COMMON_MOST = 20_000, 4, 200_000
 #: Cost of one probe row (shuffled and sorted) in comparisons of two fingerprints.
 PROBE_COST = 60.0
 
@@ -196,108 +198,77 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _crowded(fp: np.ndarray, ident: np.ndarray, size: np.ndarray, fps: np.ndarray, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of a crowded bucket's links: those of each member to its two nearest by all fingerprints."""
-    near = _popcount(fp[:, None] ^ fp[None, :]) <= radius
-    near &= ident[:, None] != ident[None, :]
-    if ratio:
-        near &= np.minimum(size[:, None], size[None, :]) >= ratio * np.maximum(size[:, None], size[None, :])
-    far = np.zeros(near.shape, np.int32)
-    for t in range(fps.shape[1]):
-        far += _popcount(fps[:, t][:, None] ^ fps[:, t][None, :])
-    far[~near] = 1 << 30
-    keep = np.zeros(near.shape, bool)
-    for _ in range(2):
-        best = far.argmin(axis=1)
-        row = np.flatnonzero(far[np.arange(len(best)), best] < 1 << 30)
-        keep[row, best[row]] = True
-        far[row, best[row]] = 1 << 30
-    x, y = np.nonzero(keep)
-    return ident[x], ident[y]
-
-
-def compare_sorted(gid: np.ndarray, fp: np.ndarray, ident: np.ndarray, radius: int, every: bool, size: np.ndarray | None = None, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) between members of a bucket within the radius; gid is sorted."""
+def compare_sorted(gid: np.ndarray, fp: np.ndarray, ident: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what links of members of a bucket within the radius connect; gid is sorted."""
     got: list[tuple[np.ndarray, np.ndarray]] = []
     idx, d = np.arange(len(gid)), 0
     while len(idx):
         d += 1
         idx = idx[idx + d < len(gid)]
         idx = idx[gid[idx + d] == gid[idx]]
-        dist = _popcount(fp[idx] ^ fp[idx + d])
-        hit = (dist <= radius) & (ident[idx] != ident[idx + d])
-        if ratio and size is not None:
-            s, t = size[idx], size[idx + d]
-            hit &= np.minimum(s, t) >= ratio * np.maximum(s, t)
+        hit = (_popcount(fp[idx] ^ fp[idx + d]) <= radius) & (ident[idx] != ident[idx + d])
         if hit.any():
             at = idx[hit]
             got.append((ident[at], ident[at + d]))
     if not got:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
-    return (a, b) if every else _spanning(a, b)
+    return _spanning(*(np.concatenate(x) for x in zip(*got, strict=True)))
+
+
+def _by_bucket(compare: Callable[..., tuple[np.ndarray, ...]], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas over rows sorted by the first of columns: compare's links of whole buckets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        rows = 0
+
+        def done(x: np.ndarray) -> pd.DataFrame:
+            a, b, *more = compare(*x)
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)} | {f"c{i}": c for i, c in enumerate(more)}).drop_duplicates()
+
+        for pdf in batches:
+            held.append(np.stack([pdf[c].to_numpy(np.int64) for c in columns]))
+            rows += len(pdf)
+            if rows >= 100_000:
+                x = np.concatenate(held, axis=1)
+                cut = int(np.searchsorted(x[0], x[0, -1]))
+                if cut:
+                    yield done(x[:, :cut])
+                held, rows = [x[:, cut:]], x.shape[1] - cut
+        if rows:
+            yield done(np.concatenate(held, axis=1))
+
+    return run
 
 
-def hamming_links(nodes: DataFrame, radius: int, *, every: bool = False, ratio: float = 0.0) -> DataFrame:
+def hamming_links(nodes: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints differ in at most radius bits.
 
-    nodes: (id long, fps array<long>, size int); two nodes link if any fingerprint of the
-    same position is within the radius. Without ``every``, a bucket yields a set of edges
-    that connects what its links connect, one for each member at most. With ``every`` it
-    yields its links; in a bucket of over CROWD members, where links grow with the square, those
-    to each member's two nearest by all its fingerprints stand for them. A bucket of more members than the limit is dealt out in pairs of blocks, so
-    no task holds it alone.
+    nodes: (id long, fps array<long>); two nodes link if any fingerprint of the same
+    position is within the radius. A bucket yields a set of edges that connects what its links
+    connect, one for each member at most. A bucket of over BLOCK members is dealt out in
+    pairs of blocks, so no task holds it alone.
     """
-    spark = nodes.sparkSession
     n = nodes.count()
     share = min(1.0, SAMPLE / max(n, 1))
     near = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     sample = [r[0] for r in nodes.where(near).select(F.col("fps")[0]).limit(4 * SAMPLE).collect()]
     plan = choose_partitions(np.array(sample, dtype=np.int64), n, radius)
-    limit = CROWD if every else BLOCK
     keyed = (
-        nodes.select("id", "size", "fps", F.posexplode("fps").alias("at", "fp"))
-        .select("id", "size", "fps", "fp", "at", F.explode(probe_keys(F.col("fp"), plan)).alias("key"))
-        .select("id", "size", "fps", "fp", F.xxhash64("at", "key").alias("key"))
+        nodes.select("id", F.posexplode("fps").alias("at", "fp"))
+        .select("id", "fp", "at", F.explode(probe_keys(F.col("fp"), plan)).alias("key"))
+        .select("id", "fp", F.xxhash64("at", "key").alias("key"))
     )
-    hot = keyed.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
+    hot = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
     hot = materialize(hot, "hot")
     x = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int")
     dealt = (
         keyed.join(maybe_broadcast(hot, hot.count()), "key", "left")
         .withColumn("x", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(x))
         .withColumn("y", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("gid"), "fp", "id", "size", F.when(F.col("blocks").isNotNull() & F.lit(every), F.col("fps")).alias("fps"))
+        .select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))).alias("gid"), "fp", "id")
     )
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        rows = 0
-
-        def done(x: pd.DataFrame) -> pd.DataFrame:
-            gid, fp, ident, size = (x[c].to_numpy(np.int64) for c in ("gid", "fp", "id", "size"))
-            crowd = x["fps"].notna().to_numpy()
-            plain = ~crowd
-            found = [compare_sorted(gid[plain], fp[plain], ident[plain], radius, every, size[plain], ratio)]
-            at = np.flatnonzero(crowd)
-            for part in np.split(at, np.flatnonzero(np.diff(gid[at])) + 1) if len(at) else []:
-                found.append(_crowded(fp[part], ident[part], size[part], np.stack(x["fps"].iloc[part].to_list()).astype(np.int64), radius, ratio))
-            a, b = (np.concatenate(y) for y in zip(*found, strict=True))
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-        for pdf in batches:
-            held.append(pdf)
-            rows += len(pdf)
-            if rows >= 100_000:
-                x = pd.concat(held, ignore_index=True)
-                last = x["gid"].iloc[-1]
-                cut = int(np.searchsorted(x["gid"].to_numpy(), last))
-                if cut:
-                    yield done(x.iloc[:cut])
-                held, rows = [x.iloc[cut:]], len(x) - cut
-        if rows:
-            yield done(pd.concat(held, ignore_index=True))
-
+    compare = _by_bucket(lambda gid, fp, ident: compare_sorted(gid, fp, ident, radius), ["gid", "fp", "id"])
     return dealt.repartition("gid").sortWithinPartitions("gid").mapInPandas(compare, "a long, b long").distinct()
 
 
@@ -314,7 +285,7 @@ def link_fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42, radi
     """
     rows = materialize(with_fingerprint(docs, shingle, seed), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = hamming_links(classes.select(F.col("fp").alias("id"), F.array("fp").alias("fps"), F.lit(0).alias("size")), radius)
+    links = hamming_links(classes.select(F.col("fp").alias("id"), F.array("fp").alias("fps")), radius)
     found = components(links)
     named = found.join(classes, found.node == classes.fp).select("root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -327,24 +298,76 @@ def link_fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42, radi
 
 # The pipeline's near-duplicates: exact similarity of five-word shingles verifies.
 
-#: Odd constants of a published 64-bit mixer (fixed values).
-MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def _mixed(h: np.ndarray, table: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        z = h + np.uint64((table + 1) * MIX[0] & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[1])
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[2])
-        return z ^ (z >> np.uint64(31))
+def sketch(text: str | None, shingle: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> tuple[int, int, list[int]]:
+    """(class of the word sequence, distinct shingles, prefix).
 
-
-def sketch(text: str | None, tables: int, shingle: int) -> tuple[int, list[int], int]:
-    """(class of the word sequence, a fingerprint of its distinct words for each table, distinct shingles)."""
+    The prefix is the first shingles in an order of all shingles, common ones last: as many
+    that two texts of the similarity always share one.
+    """
     words = words_of(text)
     cls = xxhash.xxh64_intdigest(b" ".join(words), 7) - (1 << 63)
-    h = np.sort(shingle_hashes(list(dict.fromkeys(words)), 1, 42))
-    return cls, [majority(_mixed(h, t)) for t in range(tables)], len(np.unique(shingle_hashes(words, shingle, 42)))
+    h = np.unique(shingle_hashes(words, shingle, 42))
+    at = np.searchsorted(common, h)
+    last = np.zeros(len(h), np.int64)
+    if len(common):
+        at[at == len(common)] = 0
+        last = np.where(common[at] == h, rank[at], 0)
+    most = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    return cls, len(h), h[np.lexsort((h, last))][:most].view(np.int64).tolist()
+
+
+def compare_prefixes(token: np.ndarray, ident: np.ndarray, packed: np.ndarray, crowd: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of texts that share a prefix shingle, token is sorted, and whether they stand for
+    a bucket of over CROWD texts, of which each text's with the first are given. Pairs that sizes and
+    positions keep under the similarity, and those of one crowd (0 is none), are left out."""
+    size, pos = packed >> 32, packed & 0xFFFFFFFF
+    at, count = np.unique(token, return_index=True, return_counts=True)[1:]
+    many, first = np.repeat(count, count) > CROWD, np.repeat(at, count)
+    star = np.flatnonzero(many & (first != np.arange(len(token))))
+    got: list[tuple[np.ndarray, np.ndarray]] = [(ident[first[star]], ident[star])]
+    idx, d = np.flatnonzero(~many), 0
+    while len(idx):
+        d += 1
+        idx = idx[idx + d < len(token)]
+        idx = idx[token[idx + d] == token[idx]]
+        to = idx + d
+        hit = np.minimum(size[idx] - pos[idx], size[to] - pos[to]) >= similarity / (1 + similarity) * (size[idx] + size[to]) - 1e-6
+        hit &= ((crowd[idx] != crowd[to]) | (crowd[idx] == 0)) & (ident[idx] != ident[to])
+        if hit.any():
+            got.append((ident[idx[hit]], ident[to[hit]]))
+    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+    return a, b, np.arange(len(a)) < len(star)
+
+
+def compare_blocks(side: np.ndarray, ident: np.ndarray, bags: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what pairs at the similarity connect: pairs between two sides, or of all if there is one."""
+    size = np.array([len(x) for x in bags], np.int64)
+    order = np.lexsort((size, side))
+    side, ident, size, bags = side[order], ident[order], size[order], [bags[i] for i in order]
+    first = int((side == side[0]).sum())
+    alone = first == len(side)
+    ends = np.cumsum(size)
+    starts = ends - size
+    names, codes = np.unique(np.concatenate(bags), return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    base = 0 if alone else first
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(first):
+        # sizes rise within a side
+        low = i + 1 if alone else base + int(np.searchsorted(size[base:], similarity * size[i] - 1e-6))
+        high = base + int(np.searchsorted(size[base:], size[i] / similarity + 1e-6, "right"))
+        if low >= high:
+            continue
+        own = codes[starts[i] : ends[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[codes[starts[low] : ends[high - 1]]], starts[low:high] - starts[low], dtype=np.int64)
+        mark[own] = False
+        hit = low + np.flatnonzero(both / (size[i] + size[low:high] - both) >= similarity)
+        if len(hit):
+            got.append((np.full(len(hit), ident[i]), ident[hit]))
+    if not got:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return _spanning(*(np.concatenate(x) for x in zip(*got, strict=True)))
 
 
 def shingle_set(text: str | None, shingle: int) -> bytes:
@@ -359,30 +382,59 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, tables: int = 8, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row_key, doc_id, group_id, keep, copies) for every different (doc_id, text) of docs.
 
-    Candidates are texts of which one of ``tables`` independent SimHash fingerprints of
-    their distinct words is within the radius; the Jaccard similarity of their sets of
-    ``shingle`` words, at ``similarity`` or more, verifies each, and verified links form the
-    groups. keep is true for the least doc_id of each group. Null, empty and word-less texts
-    are one group; repeated rows are counted in ``copies``.
+    Texts link if the Jaccard similarity of their sets of ``shingle`` words is ``similarity``
+    or more; links form the groups. Such texts always share one of the first shingles of
+    each in any fixed order, so those that share one are compared, and no link is lost. Texts
+    that a shingle of over CROWD texts connects form a crowd, of which all pairs are compared in
+    pairs of blocks and a block yields a spanning set of edges. keep is true for the least
+    doc_id of each group. Null, empty and word-less texts are one group; repeated rows are
+    counted in ``copies``.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = StructType().add("cls", LongType()).add("fps", ArrayType(LongType())).add("n", LongType())
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(words_of(t), shingle, 42)).view(np.int64) for t in texts], dtype=object)
+
+    share = min(1.0, COMMON_DOCS / max(docs.count(), 1))
+    near = F.pmod(F.xxhash64(F.lit("common"), row_key()), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    often = docs.where(near).select(F.explode(shingles("text")).alias("s")).groupBy("s").count().where(F.col("count") >= COMMON_LEAST)
+    often = often.orderBy(F.desc("count"), "s").limit(COMMON_MOST).collect()
+    common, rank = np.array([r[0] for r in often], np.int64).view(np.uint64), np.array([r[1] for r in often], np.int64)
+    order = np.argsort(common)
+    shared = spark.sparkContext.broadcast((common[order], rank[order]))
+    kind = StructType().add("cls", LongType()).add("n", LongType()).add("prefix", ArrayType(LongType()))
 
     @F.pandas_udf(kind)
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(t, tables, shingle) for t in texts], columns=["cls", "fps", "n"])
+        return pd.DataFrame([sketch(t, shingle, similarity, *shared.value) for t in texts], columns=["cls", "n", "prefix"])
 
     rows = materialize(docs.select("doc_id", row_key().alias("rk"), of("text").alias("s")).select("doc_id", "rk", "s.*"), "sketches")
     id_ = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    classes = rows.groupBy("cls").agg(F.min(F.struct(id_.alias("doc_id"), F.col("rk"), F.col("fps"), F.col("n"))).alias("m")).select("cls", "m.*")
+    classes = rows.groupBy("cls").agg(F.min(F.struct(id_.alias("doc_id"), F.col("rk"), F.col("n"), F.col("prefix"))).alias("m")).select("cls", "m.*")
     classes = materialize(classes, "classes")
-    pairs = materialize(hamming_links(classes.select(F.col("cls").alias("id"), "fps", F.col("n").alias("size")), radius, every=True, ratio=similarity * 0.98), "pairs")
-    # shingle sets of the representatives that are in a pair
-    met = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rk"), "cls").select("rk", "cls")
+    # shingles that many texts are likely to hold; a bucket that is not foreseen here is told when it is read
+    hot = spark.createDataFrame([(r[0],) for r in often if r[1] > CROWD * share], "token long")
+    hot_n = sum(r[1] > CROWD * share for r in often)
+    crowded = classes.select("cls", F.explode("prefix").alias("token")).join(maybe_broadcast(hot, hot_n), "token")
+    least = crowded.groupBy("token").agg(F.min("cls").alias("b"))
+    stars = materialize(crowded.join(maybe_broadcast(least, hot_n), "token").select(F.col("cls").alias("a"), "b"), "stars")
+    known = components(stars).select(F.col("node").alias("cls"), F.col("root").alias("crowd"))
+    plain = classes.select("cls", "n", "prefix").join(maybe_broadcast(known, known.count()), "cls", "left")
+    plain = plain.select("cls", F.col("n") * F.lit(1 << 32), F.coalesce("crowd", F.lit(0)).alias("crowd"), F.posexplode("prefix").alias("pos", "token")).toDF("cls", "n", "crowd", "pos", "token")
+    plain = plain.select("token", "cls", (F.col("n") + F.col("pos")).alias("packed"), "crowd").join(maybe_broadcast(hot, hot_n), "token", "left_anti")
+    compare = _by_bucket(lambda *x: compare_prefixes(*x, similarity), ["token", "cls", "packed", "crowd"])
+    met = plain.repartition("token").sortWithinPartitions("token").mapInPandas(compare, "a long, b long, c0 boolean").distinct()
+    met = materialize(met, "met")
+    pairs = met.where("not c0").select("a", "b")
+    crowds = materialize(components(stars.unionByName(met.where("c0").select("a", "b"))).select(F.col("node").alias("cls"), F.col("root").alias("crowd")), "crowds")
+    crowds_n = crowds.count()
+    # shingle sets of the representatives that are in a pair or a crowd
+    met = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(crowds.select("cls")).distinct().join(classes.select("cls", "rk"), "cls").select("rk", "cls")
     met = materialize(met, "met")
 
     @F.pandas_udf(BinaryType())
@@ -398,6 +450,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
 
     held = pairs.join(bags.select(F.col("cls").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("cls").alias("b"), F.col("bag").alias("y")), "b")
     links = held.select("a", "b", alike("x", "y").alias("j")).where(F.col("j") >= similarity).select("a", "b")
+
+    def block(x: pd.DataFrame) -> pd.DataFrame:
+        a, b = compare_blocks(x["x"].to_numpy(np.int64), x["cls"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in x["bag"]], similarity)
+        return pd.DataFrame({"a": a, "b": b})
+
+    if crowds_n:
+        parts = materialize(crowds.groupBy("crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).cast("int").alias("blocks")), "parts")
+        x = F.pmod(F.xxhash64(F.lit("block"), "cls"), F.col("blocks")).cast("int")
+        dealt = crowds.join(maybe_broadcast(parts, parts.count()), "crowd").withColumn("x", x).join(bags, "cls").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select(F.xxhash64("crowd", F.least("x", "y"), F.greatest("x", "y")).alias("gid"), "x", "cls", "bag")
+        links = links.unionByName(dealt.groupBy("gid").applyInPandas(block, "a long, b long"))
     found = components(links)
     known = found.join(classes.select(F.col("cls").alias("node"), "doc_id", "rk"), "node")
     least = known.groupBy("root").agg(F.min(F.struct("doc_id", "rk")).alias("g"))
