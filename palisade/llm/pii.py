@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -114,8 +114,17 @@ def ssn(value: str, c: Cipher) -> str | None:
             return f"{s[:3]}-{s[3:5]}-{s[5:]}"
 
 
+#: Ten digits in three groups, without a country code or brackets.
+PLAIN = r"[2-9][0-9]{2}([ .-])[2-9][0-9]{2}\1[0-9]{4}"
+
+
 def phone(value: str, c: Cipher) -> str | None:
     d = re.sub(r"[^0-9]", "", value)
+    if re.fullmatch(PLAIN, value):
+        while True:
+            d = c.digits(d, "plain phone")
+            if re.fullmatch(PLAIN, new := _digits_in(value, d)):
+                return new
     if not 8 <= len(d) <= 15:
         return None
     head = len(re.match(r"\+?([0-9]*)", value)[1]) if value.startswith("+") else 0
@@ -204,8 +213,28 @@ KINDS: dict[str, tuple[str, Callable[[str, Cipher], str | None]]] = {
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ssn),
     "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])", address),
     "card": (r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", card),
-    "phone": (r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{3}\)[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])", phone),
+    "phone": (r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{3}\)[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])(?<![0-9][.-])" + PLAIN + r"(?![0-9A-Za-z]|[.-][0-9])", phone),
 }
+#: Kinds of separated groups whose match may run on into digits or words behind the value.
+GROUPED = ("iban", "card", "phone")
+
+
+def _matches(kind: str, text: str, taken: list[tuple[int, int]], c: Cipher) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of a kind's values outside taken. If a match of groups fails, its
+    shorter beginnings are tried, then the search goes on behind its first group."""
+    pattern, change = KINDS[kind]
+    form, at = re.compile(pattern), 0
+    while m := form.search(text, at):
+        breaks = [b.start() for b in re.finditer("[ .-]", m[0])] if kind in GROUPED else []
+        at = m.start() + breaks[0] if breaks and breaks[0] else m.end()
+        for n in [len(m[0]), *reversed(breaks)]:
+            end = m.start() + n
+            if any(m.start() < e and s < end for s, e in taken) or (n < len(m[0]) and not form.fullmatch(m[0][:n])):
+                continue
+            if (new := change(m[0][:n], c)) is not None:
+                yield m.start(), end, new
+                at = end
+                break
 
 
 def rewrite(text: str | None, c: Cipher) -> tuple[str | None, list[str], int]:
@@ -215,15 +244,12 @@ def rewrite(text: str | None, c: Cipher) -> tuple[str | None, list[str], int]:
     found: list[tuple[int, int, str, str]] = []
     if re.search(r"[0-9@]", text):
         taken: list[tuple[int, int]] = []
-        for kind, (pattern, change) in KINDS.items():
+        for kind in KINDS:
             if kind == "email" and "@" not in text:
                 continue
-            for m in re.finditer(pattern, text):
-                if any(m.start() < e and s < m.end() for s, e in taken):
-                    continue
-                if (new := change(m[0], c)) is not None:
-                    found.append((m.start(), m.end(), kind, new))
-                    taken.append((m.start(), m.end()))
+            got = list(_matches(kind, text, taken, c))
+            found += [(start, end, kind, new) for start, end, new in got]
+            taken += [(start, end) for start, end, _ in got]
     if not found:
         return text, [], 0
     found.sort()
