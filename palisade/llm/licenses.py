@@ -6,6 +6,7 @@ Only DataFrame functions run here.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ TEMPLATES = (
     ("proprietary", "proprietary and confidential unauthorized copying of this file is strictly prohibited"),
 )
 CONTAINMENT = 0.9
+#: Words of a window for each word of a template, so that as many others may stand between.
+SPAN = 2
 
 
 def normal(text: Column) -> Column:
@@ -70,10 +73,10 @@ def prefix_index(sets: list[tuple[str, list[str]]], rank: dict[str, int], contai
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """Every row of docs as (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
-    A line is a block; it gets a template's label if it holds at least ``containment`` of the
-    template's distinct words. Words are ranked by their count over all texts; the rarest words
-    of a template (its prefix) find candidate blocks, whose length and the positions of the
-    prefix word bound the overlap before it is counted. score is the greatest containment, 1 with
+    A text gets a template's label if a window of SPAN times as many words as the template has,
+    over line ends, holds at least ``containment`` of the template's distinct words. Words are
+    ranked by their count over all texts; the rarest words of a template (its prefix) find where
+    windows may stand, and the template's words around one bound the overlap before windows are counted. score is the greatest containment, 1 with
     a base phrase, 0 without any label. Null texts count as empty and have no label; repeated
     rows are scanned alike; an empty table gives no rows; other columns are ignored.
     """
@@ -92,7 +95,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
     tail = _spaces(F.element_at(pieces, -1)) - 1 + F.size(F.split(F.element_at("hits", -1), " "))
     last = F.when(some, n_words - tail)
     named = F.array_compact(F.array(*[F.when(F.array_contains(F.transform("hits", F.lower), p), F.lit(label)) for p, label in BASE]))
-    found = _similar(F.col("text"), sets, rank, index, containment)
+    spans = [SPAN * len(said.replace(".", " ").split()) for _, said in templates]
+    found = _similar(F.col("text"), sets, spans, rank, index, containment)
     rows = rows.select("doc_id", n_words.alias("n_words"), F.size("hits").cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), named.alias("base"), found.alias("found"))
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
@@ -106,23 +110,33 @@ def _spaces(x: Column) -> Column:
     return (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).cast("long")
 
 
-def _similar(text: Column, sets: list[tuple[str, list[str]]], rank: dict[str, int], index: dict[str, list[tuple[int, int]]], containment: float) -> Column:
-    """Array of struct(label, share) over the blocks."""
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
+def _similar(text: Column, sets: list[tuple[str, list[str]]], spans: list[int], rank: dict[str, int], index: dict[str, list[tuple[int, int]]], containment: float) -> Column:
+    """Array of struct(label, share) over the windows around prefix words."""
     quick = "(?i)(?:^|" + GAP[:-1] + ")(?:" + "|".join(sorted(index)) + ")(?:$|" + GAP[:-1] + ")"
-    blocks = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda b: b.rlike(quick))
     kind = "array<struct<label:string,share:double>>"
     ranked = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
-    table = F.create_map(*[x for w, at in index.items() for x in (F.lit(rank[w]), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in at]))])
-    full = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(tokens)).alias("n"), F.lit(math.ceil(containment * len(tokens) - 1e-9)).alias("need"), F.array(*[F.lit(r) for r in sorted(rank[w] for w in tokens)]).alias("r")) for label, tokens in sets])
-
-    def of_block(block: Column) -> Column:
-        own = F.array_distinct(F.split(F.lower(F.btrim(F.regexp_replace(block, GAP, " "))), " "))
-        # the block's template words by rank; words of no template never overlap, so only their number counts for nothing
-        known = F.array_sort(F.filter(F.transform(own, lambda w: F.try_element_at(ranked, w)), lambda r: r.isNotNull()))
-        met = F.flatten(F.transform(known, lambda r, j: F.transform(F.coalesce(F.try_element_at(table, r), F.array().cast("array<struct<t:int,p:int>>")), lambda e: F.struct(e["t"].alias("t"), e["p"].alias("p"), j.alias("j")))))
-        fits = F.filter(met, lambda m: (F.size(known) >= F.get(full, m["t"])["need"]) & (F.least(F.get(full, m["t"])["n"] - m["p"], F.size(known) - m["j"]) + F.least(m["p"], m["j"]) >= F.get(full, m["t"])["need"]))
-        share = lambda t: F.struct(F.get(full, t)["label"].alias("label"), (F.size(F.array_intersect(F.get(full, t)["r"], known)) / F.get(full, t)["n"]).cast("double").alias("share"))
-        ok = F.transform(F.array_distinct(F.transform(fits, lambda m: m["t"])), lambda t: F.struct(share(t).alias("s"), (F.size(F.array_intersect(F.get(full, t)["r"], known)) >= F.get(full, t)["need"]).alias("ok")))
-        return F.transform(F.filter(ok, lambda x: x["ok"]), lambda x: x["s"])
-
-    return F.when(F.coalesce(text, F.lit("")).rlike(quick), F.flatten(F.transform(blocks, of_block))).otherwise(F.array().cast(kind))
+    table = F.create_map(*[x for w, at in index.items() for x in (F.lit(rank[w]), F.array(*[F.lit(t) for t, _ in at]))])
+    full = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(tokens)).alias("n"), F.lit(math.ceil(containment * len(tokens) - 1e-9)).alias("need"), F.lit(span).alias("span"), F.array(*[F.lit(r) for r in sorted(rank[w] for w in tokens)]).alias("r")) for (label, tokens), span in zip(sets, spans, strict=True)])
+    words = F.split(F.lower(F.btrim(F.regexp_replace(text, GAP, " "))), " ")
+    # positions and ranks of the text's template words
+    known = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), F.try_element_at(ranked, w).alias("r"))), lambda k: k["r"].isNotNull())
+
+    def of_known(known: Column) -> Column:
+        met = F.flatten(F.transform(known, lambda k: F.transform(F.coalesce(F.try_element_at(table, k["r"]), F.array().cast("array<int>")), lambda t: F.struct(k["i"].alias("i"), F.get(full, t).alias("t")))))
+
+        def overlap(m: Column) -> Column:
+            span, need = m["t"]["span"], m["t"]["need"]
+            near = F.filter(known, lambda k: (k["i"] > m["i"] - span) & (k["i"] < m["i"] + span) & F.array_contains(m["t"]["r"], k["r"]))
+            held = lambda near, s: F.size(F.array_distinct(F.transform(F.filter(near, lambda k: (k["i"] >= s) & (k["i"] < s + span)), lambda k: k["r"])))
+            most = lambda near: F.when(F.size(near) >= need, F.array_max(F.transform(F.filter(near, lambda k: k["i"] <= m["i"]), lambda k: held(near, k["i"])))).otherwise(F.lit(0))
+            return F.struct(m["t"]["label"].alias("label"), m["t"]["n"].alias("n"), need.alias("need"), _let(near, most).alias("both"))
+
+        fits = F.filter(F.transform(met, overlap), lambda x: x["both"] >= x["need"])
+        return F.transform(fits, lambda x: F.struct(x["label"].alias("label"), (x["both"] / x["n"]).cast("double").alias("share")))
+
+    return F.when(F.coalesce(text, F.lit("")).rlike(quick), _let(known, of_known)).otherwise(F.array().cast(kind))
