@@ -50,12 +50,16 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
 
 
 def row_key(text: str | Column = "text", doc_id: str | Column = "doc_id") -> Column:
-    """One long for a row's id and text; rows that agree in both agree in it."""
-    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), F.coalesce(F.col(text), F.lit("\x00")))
+    """Two independent longs for a row's id and text; rows that agree in both agree in it.
+
+    One hash of 64 bits would join unlike rows by chance among tens of billions.
+    """
+    of = (F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), F.coalesce(F.col(text), F.lit("\x00")))
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit("second"), *of).alias("b"))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs' rows whose row_key is not among those of gone, a table of one column of longs."""
+    """docs' rows whose row_key is not among those of gone, a table of one column of row keys."""
     keys = gone.toDF("__rk").distinct()
     return docs.withColumn("__rk", row_key()).join(maybe_broadcast(keys, gone.count()), "__rk", "left_anti").select(*docs.columns)
 

@@ -80,7 +80,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGL
     items = benchmark_items(benchmark, shingle)
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # 1 to shingle
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "row_key long, doc_id long, item_id long, first_word int, n_words int, distance int, similarity double")
+        return docs.sparkSession.createDataFrame([], "row_key struct<a:bigint,b:bigint>, doc_id long, item_id long, first_word int, n_words int, distance int, similarity double")
     spots = items.select("n", "k", F.posexplode("sh").alias("q", "s")).groupBy("k", "s").agg(F.collect_set(F.struct("n", "q")).alias("at"))
     spots = materialize(spots, "spots")
     spots_n = spots.count()

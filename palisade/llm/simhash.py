@@ -17,19 +17,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
+from pyspark.sql.types import LongType
 
-from .common import components, materialize, maybe_broadcast, row_key, small_batches, without
+from .common import components, materialize, maybe_broadcast, small_batches
 
 BITS = 64
 #: Fingerprints that the partitioning is estimated on; a bounded sample, taken by hash.
 SAMPLE = 1500
 #: Members of a bucket that one task compares at once; larger buckets are dealt in pairs of blocks.
 BLOCK = 512
-#: Members from which on a shingle's documents are verified in blocks instead of in pairs.
-CROWD = 128
-#: Documents that common shingles are told on, those of them that hold one, and common shingles; they only choose the order.
-COMMON_DOCS, COMMON_LEAST, COMMON_MOST = 20_000, 4, 200_000
 #: Cost of one probe row (shuffled and sorted) in comparisons of two fingerprints.
 PROBE_COST = 60.0
 
@@ -294,191 +290,3 @@ def link_fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42, radi
     of = materialize(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     out = rows.join(of, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# The pipeline's near-duplicates: exact similarity of five-word shingles verifies.
-
-def sketch(text: str | None, shingle: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> tuple[int, int, list[int]]:
-    """(class of the word sequence, distinct shingles, prefix).
-
-    The prefix is the first shingles in an order of all shingles, common ones last: as many
-    that two texts of the similarity always share one.
-    """
-    words = words_of(text)
-    cls = xxhash.xxh64_intdigest(b" ".join(words), 7) - (1 << 63)
-    h = np.unique(shingle_hashes(words, shingle, 42))
-    at = np.searchsorted(common, h)
-    last = np.zeros(len(h), np.int64)
-    if len(common):
-        at[at == len(common)] = 0
-        last = np.where(common[at] == h, rank[at], 0)
-    most = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
-    return cls, len(h), h[np.lexsort((h, last))][:most].view(np.int64).tolist()
-
-
-def compare_prefixes(token: np.ndarray, ident: np.ndarray, packed: np.ndarray, crowd: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of texts that share a prefix shingle, token is sorted, and whether they stand for
-    a bucket of over CROWD texts, of which each text's with the first are given. Pairs that sizes and
-    positions keep under the similarity, and those of one crowd (0 is none), are left out."""
-    size, pos = packed >> 32, packed & 0xFFFFFFFF
-    at, count = np.unique(token, return_index=True, return_counts=True)[1:]
-    many, first = np.repeat(count, count) > CROWD, np.repeat(at, count)
-    star = np.flatnonzero(many & (first != np.arange(len(token))))
-    got: list[tuple[np.ndarray, np.ndarray]] = [(ident[first[star]], ident[star])]
-    idx, d = np.flatnonzero(~many), 0
-    while len(idx):
-        d += 1
-        idx = idx[idx + d < len(token)]
-        idx = idx[token[idx + d] == token[idx]]
-        to = idx + d
-        hit = np.minimum(size[idx] - pos[idx], size[to] - pos[to]) >= similarity / (1 + similarity) * (size[idx] + size[to]) - 1e-6
-        hit &= ((crowd[idx] != crowd[to]) | (crowd[idx] == 0)) & (ident[idx] != ident[to])
-        if hit.any():
-            got.append((ident[idx[hit]], ident[to[hit]]))
-    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
-    return a, b, np.arange(len(a)) < len(star)
-
-
-def compare_blocks(side: np.ndarray, ident: np.ndarray, bags: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what pairs at the similarity connect: pairs between two sides, or of all if there is one."""
-    size = np.array([len(x) for x in bags], np.int64)
-    order = np.lexsort((size, side))
-    side, ident, size, bags = side[order], ident[order], size[order], [bags[i] for i in order]
-    first = int((side == side[0]).sum())
-    alone = first == len(side)
-    ends = np.cumsum(size)
-    starts = ends - size
-    names, codes = np.unique(np.concatenate(bags), return_inverse=True)
-    mark = np.zeros(len(names), bool)
-    base = 0 if alone else first
-    got: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(first):
-        # sizes rise within a side
-        low = i + 1 if alone else base + int(np.searchsorted(size[base:], similarity * size[i] - 1e-6))
-        high = base + int(np.searchsorted(size[base:], size[i] / similarity + 1e-6, "right"))
-        if low >= high:
-            continue
-        own = codes[starts[i] : ends[i]]
-        mark[own] = True
-        both = np.add.reduceat(mark[codes[starts[low] : ends[high - 1]]], starts[low:high] - starts[low], dtype=np.int64)
-        mark[own] = False
-        hit = low + np.flatnonzero(both / (size[i] + size[low:high] - both) >= similarity)
-        if len(hit):
-            got.append((np.full(len(hit), ident[i]), ident[hit]))
-    if not got:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return _spanning(*(np.concatenate(x) for x in zip(*got, strict=True)))
-
-
-def shingle_set(text: str | None, shingle: int) -> bytes:
-    return np.unique(shingle_hashes(words_of(text), shingle, 42)).tobytes()
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
-
-
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row_key, doc_id, group_id, keep, copies) for every different (doc_id, text) of docs.
-
-    Texts link if the Jaccard similarity of their sets of ``shingle`` words is ``similarity``
-    or more; links form the groups. Such texts always share one of the first shingles of
-    each in any fixed order, so those that share one are compared, and no link is lost. Texts
-    that a shingle of over CROWD texts connects form a crowd, of which all pairs are compared in
-    pairs of blocks and a block yields a spanning set of edges. keep is true for the least
-    doc_id of each group. Null, empty and word-less texts are one group; repeated rows are
-    counted in ``copies``.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(words_of(t), shingle, 42)).view(np.int64) for t in texts], dtype=object)
-
-    share = min(1.0, COMMON_DOCS / max(docs.count(), 1))
-    near = F.pmod(F.xxhash64(F.lit("common"), row_key()), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    often = docs.where(near).select(F.explode(shingles("text")).alias("s")).groupBy("s").count().where(F.col("count") >= COMMON_LEAST)
-    often = often.orderBy(F.desc("count"), "s").limit(COMMON_MOST).collect()
-    common, rank = np.array([r[0] for r in often], np.int64).view(np.uint64), np.array([r[1] for r in often], np.int64)
-    order = np.argsort(common)
-    shared = spark.sparkContext.broadcast((common[order], rank[order]))
-    kind = StructType().add("cls", LongType()).add("n", LongType()).add("prefix", ArrayType(LongType()))
-
-    @F.pandas_udf(kind)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(t, shingle, similarity, *shared.value) for t in texts], columns=["cls", "n", "prefix"])
-
-    rows = materialize(docs.select("doc_id", row_key().alias("rk"), of("text").alias("s")).select("doc_id", "rk", "s.*"), "sketches")
-    id_ = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    classes = rows.groupBy("cls").agg(F.min(F.struct(id_.alias("doc_id"), F.col("rk"), F.col("n"), F.col("prefix"))).alias("m")).select("cls", "m.*")
-    classes = materialize(classes, "classes")
-    # shingles that many texts are likely to hold; a bucket that is not foreseen here is told when it is read
-    hot = spark.createDataFrame([(r[0],) for r in often if r[1] > CROWD * share], "token long")
-    hot_n = sum(r[1] > CROWD * share for r in often)
-    crowded = classes.select("cls", F.explode("prefix").alias("token")).join(maybe_broadcast(hot, hot_n), "token")
-    least = crowded.groupBy("token").agg(F.min("cls").alias("b"))
-    stars = materialize(crowded.join(maybe_broadcast(least, hot_n), "token").select(F.col("cls").alias("a"), "b"), "stars")
-    known = components(stars).select(F.col("node").alias("cls"), F.col("root").alias("crowd"))
-    plain = classes.select("cls", "n", "prefix").join(maybe_broadcast(known, known.count()), "cls", "left")
-    plain = plain.select("cls", F.col("n") * F.lit(1 << 32), F.coalesce("crowd", F.lit(0)).alias("crowd"), F.posexplode("prefix").alias("pos", "token")).toDF("cls", "n", "crowd", "pos", "token")
-    plain = plain.select("token", "cls", (F.col("n") + F.col("pos")).alias("packed"), "crowd").join(maybe_broadcast(hot, hot_n), "token", "left_anti")
-    compare = _by_bucket(lambda *x: compare_prefixes(*x, similarity), ["token", "cls", "packed", "crowd"])
-    met = plain.repartition("token").sortWithinPartitions("token").mapInPandas(compare, "a long, b long, c0 boolean").distinct()
-    met = materialize(met, "met")
-    pairs = met.where("not c0").select("a", "b")
-    crowds = materialize(components(stars.unionByName(met.where("c0").select("a", "b"))).select(F.col("node").alias("cls"), F.col("root").alias("crowd")), "crowds")
-    crowds_n = crowds.count()
-    # shingle sets of the representatives that are in a pair or a crowd
-    met = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(crowds.select("cls")).distinct().join(classes.select("cls", "rk"), "cls").select("rk", "cls")
-    met = materialize(met, "met")
-
-    @F.pandas_udf(BinaryType())
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle) for t in texts])
-
-    texts = docs.select(row_key().alias("rk"), "text").join(maybe_broadcast(met, met.count()), "rk")
-    bags = materialize(texts.select("cls", sets("text").alias("bag")), "bags").dropDuplicates(["cls"])
-
-    @F.pandas_udf(DoubleType())
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(p, q) for p, q in zip(a, b, strict=True)], dtype=float)
-
-    held = pairs.join(bags.select(F.col("cls").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("cls").alias("b"), F.col("bag").alias("y")), "b")
-    links = held.select("a", "b", alike("x", "y").alias("j")).where(F.col("j") >= similarity).select("a", "b")
-
-    def block(x: pd.DataFrame) -> pd.DataFrame:
-        a, b = compare_blocks(x["x"].to_numpy(np.int64), x["cls"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in x["bag"]], similarity)
-        return pd.DataFrame({"a": a, "b": b})
-
-    if crowds_n:
-        parts = materialize(crowds.groupBy("crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).cast("int").alias("blocks")), "parts")
-        x = F.pmod(F.xxhash64(F.lit("block"), "cls"), F.col("blocks")).cast("int")
-        dealt = crowds.join(maybe_broadcast(parts, parts.count()), "crowd").withColumn("x", x).join(bags, "cls").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select(F.xxhash64("crowd", F.least("x", "y"), F.greatest("x", "y")).alias("gid"), "x", "cls", "bag")
-        links = links.unionByName(dealt.groupBy("gid").applyInPandas(block, "a long, b long"))
-    found = components(links)
-    known = found.join(classes.select(F.col("cls").alias("node"), "doc_id", "rk"), "node")
-    least = known.groupBy("root").agg(F.min(F.struct("doc_id", "rk")).alias("g"))
-    moved = found.join(least, "root").select(F.col("node").alias("cls"), "g")
-    of_class = classes.join(moved, "cls", "left").select("cls", F.coalesce("g", F.struct("doc_id", "rk")).alias("g"))
-    each = rows.groupBy("rk", "cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    out = each.join(of_class, "cls")
-    return out.select(F.col("rk").alias("row_key"), "doc_id", F.col("g.doc_id").alias("group_id"), (F.col("rk") == F.col("g.rk")).alias("keep"), "copies")
-
-
-def deduplicate(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs of which one for each near-duplicate group stays, with docs' columns."""
-    judged = materialize(near_duplicates(docs, **options), "judged")
-    out = without(docs, judged.where("not keep").select("row_key"))
-    twice = judged.where("keep and copies > 1").select(F.col("row_key").alias("__rk"))
-    if not twice.isEmpty():
-        many = maybe_broadcast(twice, twice.count())
-        marked = out.withColumn("__rk", row_key())
-        once = marked.join(many, "__rk", "left_semi").dropDuplicates(["__rk"])
-        out = marked.join(many, "__rk", "left_anti").unionByName(once).select(*docs.columns)
-    return out

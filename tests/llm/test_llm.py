@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palisade.llm import chatformat, decontaminate, langid, licenses, merkle, mixing, pii, sharding, simhash, urlfilter
+from palisade.llm import chatformat, decontaminate, langid, licenses, merkle, mixing, neardup, pii, sharding, simhash, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, copies string, fp string, row_key string, rate string, h string"
 
@@ -113,15 +113,15 @@ def test_hot_buckets_keep_all_links(spark):
 
 
 def test_near_duplicates_by_brute_force(spark, rows):
-    got = {(r.doc_id, r.group_id) for r in simhash.near_duplicates(docs_of(spark, rows)).collect()}
+    got = {(r.doc_id, r.group_id) for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
     texts = {}
     for i, t, *_ in rows:
         texts.setdefault(i if i is not None else (1 << 63) - 1, []).append(t)
     keys = [(i, k) for i, ts in texts.items() for k in range(len(set(ts)))]
-    bag = {(i, k): simhash.shingle_set(sorted(set(texts[i]), key=str)[k], 5) for i, k in keys}
-    root = components_of(keys, lambda a, b: simhash.jaccard(bag[a], bag[b]) >= 0.8)
+    bag = {(i, k): neardup.shingle_set(sorted(set(texts[i]), key=str)[k], 5) for i, k in keys}
+    root = components_of(keys, lambda a, b: neardup.jaccard(bag[a], bag[b]) >= 0.8)
     assert got == {(None if i == (1 << 63) - 1 else i, root[i, k][0]) for i, k in keys}
-    kept = simhash.deduplicate(docs_of(spark, rows))
+    kept = neardup.deduplicate(docs_of(spark, rows))
     assert kept.columns == docs_of(spark, rows[:1]).columns and kept.count() == len(set(root.values()))
 
 

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import pytest
 
-from palisade.llm import simhash
+from palisade.llm import neardup
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -95,4 +95,4 @@ def test_run_and_queries(spark, folder):
 
 
 def test_words_shorter_than_a_shingle():
-    assert simhash.jaccard(simhash.shingle_set("a b", 5), simhash.shingle_set("A  b", 5)) == 1.0
+    assert neardup.jaccard(neardup.shingle_set("a b", 5), neardup.shingle_set("A  b", 5)) == 1.0
