@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import materialize, maybe_broadcast, numbered
 
 ROLES = ("system", "user", "assistant")
 #: Names of speakers and their roles (fixed values).
@@ -30,11 +30,20 @@ CHUNK = 256
 #: How likely a marker names the true role, and a new role starts inside a turn without one (documented parameters).
 MARKED, SWITCH = 0.98, 0.01
 BUCKETS = (0, 20, 80, 200, 500)
+CODE = re.compile(r"\s*(```|def |class |import |#include|[{}<]|\$ )")
+#: Log probabilities by role, and of a move [from][to].
+Row = tuple[float, ...]
+Table = tuple[Row, ...]
+
+
+def _order() -> list[Column]:
+    """Order of a conversation's turns."""
+    return [F.col(c).asc_nulls_first() for c in ("turn", "text", "role")]
 
 
 def marker(line: str) -> tuple[int | None, str]:
     """(role that a line's marker names, the line without it)."""
-    m = MARKER.match(line)
+    m = MARKER.match(line) if ":" in line or "<|" in line or "#" in line or "[" in line else None
     if not m:
         return None, line
     return NAMES[next(g for g in m.groups() if g).lower()], line[m.end() :]
@@ -42,7 +51,7 @@ def marker(line: str) -> tuple[int | None, str]:
 
 def features(line: str) -> tuple[int, int, int]:
     """(ends in or holds a question mark, looks like code, length class)."""
-    code = bool(re.match(r"\s*(```|def |class |import |#include|[{}<]|\$ )", line)) or line.endswith((";", "{", "}"))
+    code = CODE.match(line) is not None or line.endswith((";", "{", "}"))
     return int("?" in line), int(code), sum(len(line) > b for b in BUCKETS)
 
 
@@ -59,31 +68,36 @@ class Model:
     def __init__(self, start: np.ndarray, turn: np.ndarray, emit: list[np.ndarray]) -> None:
         norm = lambda x: np.log((x + 0.5) / (x + 0.5).sum(axis=-1, keepdims=True))
         n = len(ROLES)
-        self.start, self.turn, self.emit = norm(start), norm(turn), [norm(e) for e in emit]
-        self.stay = np.log(np.full((n, n), SWITCH) + np.eye(n) * (1 - n * SWITCH))
-        self.free = np.log(np.full((n, n), 1 / n))
-        self.mark = np.log(np.full((n, n), (1 - MARKED) / (n - 1)) + np.eye(n) * (MARKED - (1 - MARKED) / (n - 1)))
-
-    def line(self, named: int | None, line: str) -> np.ndarray:
-        out = np.zeros(len(ROLES)) if named is None else self.mark[:, named].copy()
-        for e, f in zip(self.emit, features(line), strict=True):
-            out += e[:, f]
+        rows = lambda x: tuple(tuple(r) for r in x.tolist())
+        self.start, self.turn, self.emit = tuple(norm(start).tolist()), rows(norm(turn)), [rows(norm(e)) for e in emit]
+        self.stay = rows(np.log(np.full((n, n), SWITCH) + np.eye(n) * (1 - n * SWITCH)))
+        self.free = rows(np.log(np.full((n, n), 1 / n)))
+        self.mark = rows(np.log(np.full((n, n), (1 - MARKED) / (n - 1)) + np.eye(n) * (MARKED - (1 - MARKED) / (n - 1))))
+        self.seen: dict[tuple, Row] = {}
+
+    def line(self, named: int | None, said: int | None, line: str) -> Row:
+        """Log probability by role of a line whose marker names ``named`` and whose turn's role column says ``said``."""
+        key = (named, said, *features(line))
+        if (out := self.seen.get(key)) is None:
+            told = [x for x in (named, said) if x is not None]
+            out = self.seen[key] = tuple(sum(self.mark[s][t] for t in told) + sum(e[s][f] for e, f in zip(self.emit, key[2:], strict=True)) for s in range(len(ROLES)))
         return out
 
 
 def fit(turns: DataFrame) -> Model:
-    """Counts over all turns whose role is a known name; a few hundred counts reach the driver."""
+    """Counts over all turns (conv_id, chunk, low, turn, role, text) whose role is a known name; a few
+    hundred counts reach the driver. A conversation starts with the first turn of its chunk ``low``."""
     known = F.create_map(*[x for k, v in NAMES.items() for x in (F.lit(k), F.lit(v))])
-    rows = turns.select("conv_id", "turn", "text", F.try_element_at(known, F.lower(F.trim("role"))).alias("r"))
+    rows = turns.select("conv_id", "chunk", "low", "turn", "text", "role", F.try_element_at(known, F.lower(F.trim("role"))).alias("r"))
     n = len(ROLES)
     start, turn = np.zeros(n), np.zeros((n, n))
-    w = Window.partitionBy("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / CHUNK)).orderBy(F.col("turn").asc_nulls_first(), "text")
-    for r in rows.withColumn("p", F.lag("r").over(w)).groupBy("p", "r").count().collect():
-        if r["r"] is not None:
-            if r["p"] is None:
-                start[r["r"]] += r["count"]
-            else:
-                turn[r["p"], r["r"]] += r["count"]
+    w = Window.partitionBy("conv_id", "chunk").orderBy(*_order())
+    moved = rows.withColumn("p", F.lag("r").over(w)).withColumn("first", (F.row_number().over(w) == 1) & (F.col("chunk") == F.col("low")))
+    for r in moved.where("r is not null").groupBy("p", "r", "first").count().collect():
+        if r["first"]:
+            start[r["r"]] += r["count"]
+        elif r["p"] is not None:
+            turn[r["p"], r["r"]] += r["count"]
     emit = [np.zeros((n, 2)), np.zeros((n, 2)), np.zeros((n, len(BUCKETS) + 1))]
     lines = rows.where("r is not null").select("r", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
     for r in lines.select("r", *_counted(F.col("line"))).groupBy("r", "q", "c", "l").count().collect():
@@ -92,9 +106,8 @@ def fit(turns: DataFrame) -> Model:
     return Model(start, turn, emit)
 
 
-def observe(model: Model, texts: list[str | None], roles: list[str | None]) -> tuple[list[tuple[int, str]], np.ndarray, list[np.ndarray | None]]:
-    """Of the lines of some turns: (turn, line without marker), emissions, and transitions into
-    each (None at the first of all)."""
+def observe(model: Model, texts: list[str | None], roles: list[str | None]) -> tuple[list[tuple[int, str]], list[Row], list[Table]]:
+    """Of the lines of some turns: (turn, line without marker), emissions, and transitions into each."""
     lines: list[tuple[int, str]] = []
     emissions, moves = [], []
     for i, (text, role) in enumerate(zip(texts, roles, strict=True)):
@@ -102,34 +115,51 @@ def observe(model: Model, texts: list[str | None], roles: list[str | None]) -> t
         for k, raw in enumerate((text or "").split("\n")):
             named, line = marker(raw)
             lines.append((i, line))
-            e = model.line(named, line)
-            if k == 0 and named is None and said is not None:
-                e = e + model.mark[:, said]
-            emissions.append(e)
-            moves.append((model.turn if k == 0 else model.free if named is not None else model.stay))
-    return lines, np.array(emissions), moves
+            emissions.append(model.line(named, said if k == 0 and named is None else None, line))
+            moves.append(model.turn if k == 0 else model.free if named is not None else model.stay)
+    return lines, emissions, moves
+
+
+def _step(score: list[float], e: Row, m: Table) -> tuple[list[float], list[int]]:
+    """Scores after one more line, and the state that each best way comes from (the first of equals)."""
+    new, back = [], []
+    for j, own in enumerate(e):
+        best, at = score[0] + m[0][j], 0
+        for i in range(1, len(score)):
+            if (x := score[i] + m[i][j]) > best:
+                best, at = x, i
+        new.append(best + own)
+        back.append(at)
+    return new, back
 
 
-def viterbi(model: Model, emissions: np.ndarray, moves: list[np.ndarray], before: int | None = None, last: int | None = None) -> list[int]:
-    """States of the best path; before is the state ahead of the first line, last that of the last, if known."""
-    score = emissions[0] + (model.start if before is None else moves[0][before])
+def _add(a: Row, b: Row) -> list[float]:
+    return [x + y for x, y in zip(a, b, strict=True)]
+
+
+def viterbi(model: Model, emissions: list[Row], moves: list[Table], before: int | None = None, last: int | None = None) -> list[int]:
+    """States of the best path, of equally good ones that of the least states from the end; before is the
+    state ahead of the first line, last that of the last, if known."""
+    score = _add(emissions[0], model.start if before is None else moves[0][before])
     back = []
     for e, m in zip(emissions[1:], moves[1:], strict=True):
-        ways = score[:, None] + m
-        back.append(ways.argmax(axis=0))
-        score = ways.max(axis=0) + e
-    path = [int(score.argmax()) if last is None else last]
+        score, ways = _step(score, e, m)
+        back.append(ways)
+    path = [max(range(len(score)), key=score.__getitem__) if last is None else last]
     for b in reversed(back):
-        path.append(int(b[path[-1]]))
+        path.append(b[path[-1]])
     return path[::-1]
 
 
-def through(model: Model, emissions: np.ndarray, moves: list[np.ndarray], first: bool) -> np.ndarray:
+def through(model: Model, emissions: list[Row], moves: list[Table], first: bool) -> list[list[float]]:
     """Best scores [state before, state of the last line] of the ways through a chunk."""
-    score = np.tile(emissions[0] + model.start, (len(ROLES), 1)) if first else moves[0] + emissions[0]
-    for e, m in zip(emissions[1:], moves[1:], strict=True):
-        score = (score[:, :, None] + m[None]).max(axis=1) + e
-    return score
+    out = []
+    for s in range(len(ROLES)):
+        score = _add(emissions[0], model.start if first else moves[0][s])
+        for e, m in zip(emissions[1:], moves[1:], strict=True):
+            score, _ = _step(score, e, m)
+        out.append(score)
+    return out
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,23 +190,31 @@ def format_chats(turns: DataFrame) -> DataFrame:
     speaker, are decoded along the conversation in order of turn, then text. Lines of one role in
     a turn are one part, stripped of markers and closing white space, and rendered as
     ``<|role|>\\ntext<|end|>\\n``. Null texts are one empty line; null turns come first; rows
-    with a null conv_id are one conversation; repeated rows are one turn, counted in copies. An
-    empty table gives no rows; other columns are ignored.
+    with a null conv_id are one conversation; repeated rows are one turn, counted in copies; a
+    very long turn is decoded whole. An empty table gives no rows; other columns are ignored.
     """
-    rows = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    rows = materialize(rows.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(0)) / CHUNK).cast("long")), "turns")
+    rows = materialize(turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies")), "rows")
+    # longer conversations are dealt by place, whatever their turns are
+    many = materialize(rows.groupBy("conv_id").count().where(F.col("count") > CHUNK).select(F.col("conv_id").alias("c"), F.lit(True).alias("is_long")), "many")
+    rows = rows.join(maybe_broadcast(many, many.count()), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    short = rows.where("is_long is null").drop("is_long").withColumn("chunk", F.lit(0).cast("long")).withColumn("low", F.lit(0).cast("long"))
+    long_ = None
+    if not many.isEmpty():
+        placed = numbered(rows.where("is_long").drop("is_long"), F.col("conv_id").asc_nulls_first(), *_order())
+        placed = materialize(placed.withColumn("chunk", F.floor(F.col("__n") / CHUNK)).drop("__n"), "placed")
+        lows = placed.groupBy(F.col("conv_id").alias("c")).agg(F.min("chunk").alias("low"))
+        long_ = placed.join(maybe_broadcast(lows, many.count()), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    rows = materialize(short if long_ is None else short.unionByName(long_), "turns")
     model = fit(rows)
-    first = rows.groupBy("conv_id").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    long_ = materialize(first.where("low < high").select(F.col("conv_id").alias("c"), "low"), "long")
-    order = [F.col("conv_id").asc_nulls_first(), F.col("chunk"), F.col("turn").asc_nulls_first(), F.col("text").asc_nulls_first(), F.col("role").asc_nulls_first()]
+    order = [F.col("conv_id").asc_nulls_first(), F.col("chunk"), *_order()]
     ends = None
-    if not long_.isEmpty():
-        parts = rows.join(maybe_broadcast(long_, long_.count()), F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("is_first", F.col("chunk") == F.col("low")).drop("c", "low")
+    if long_ is not None:
+        parts = long_.withColumn("is_first", F.col("chunk") == F.col("low")).drop("low")
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for g in _groups(batches):
                 _, e, m = observe(model, g["text"].tolist(), g["role"].tolist())
-                yield pd.DataFrame({"conv_id": g["conv_id"].iloc[:1], "chunk": g["chunk"].iloc[:1], "m": [through(model, e, m, bool(g["is_first"].iloc[0])).ravel().tolist()]})
+                yield pd.DataFrame({"conv_id": g["conv_id"].iloc[:1], "chunk": g["chunk"].iloc[:1], "m": [sum(through(model, e, m, bool(g["is_first"].iloc[0])), [])]})
 
         scored = parts.repartition("conv_id", "chunk").sortWithinPartitions(*order).mapInPandas(score, f"conv_id {dict(rows.dtypes)['conv_id']}, chunk long, m array<double>")
 
@@ -194,6 +232,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
             return pd.DataFrame({"k": pdf["conv_id"], "n": pdf["chunk"], "before": [None, *last[:-1]], "last": last}).astype({"before": "Int32"})
 
         ends = materialize(scored.groupBy("conv_id").applyInPandas(join, f"k {dict(rows.dtypes)['conv_id']}, n long, before int, last int"), "ends")
+    rows = rows.drop("low")
     if ends is None:
         rows = rows.withColumn("before", F.lit(None).cast("int")).withColumn("last", F.lit(None).cast("int"))
     else:

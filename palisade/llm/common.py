@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a table of longs that may be broadcast; its count is taken first.
@@ -49,6 +49,19 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with ``__n``, its place from 0 in the order, and no task that holds all rows: rows are
+    dealt in ranges of the order, and the ranges' counts, one a partition, give each its start."""
+    placed = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    at, starts = 0, []
+    for r in sorted(placed.groupBy("__p").count().collect()):
+        starts.append((r["__p"], at))
+        at += r["count"]
+    known = F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __start long"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return placed.join(known, "__p").withColumn("__n", F.col("__start") + place).drop("__p", "__start")
+
+
 def row_key(text: str | Column = "text", doc_id: str | Column = "doc_id") -> Column:
     """Two independent longs for a row's id and text; rows that agree in both agree in it.
 

@@ -6,15 +6,20 @@ in a multi-index of Hamming blocks, and verified by weighted-shingle similarity.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialize, maybe_broadcast, row_key, without
 
 BITS, BLOCKS = 64, 8
-#: Bits that a window's fingerprint may differ in; with eight blocks one of them differs in at most one bit.
-RADIUS = 15
+#: Bits that a window's fingerprint may differ in; of eight blocks one then differs in at most two. Of 2,000
+#: windows of similarity 0.8 to 0.85 (tests) the greatest distance is below.
+RADIUS = 23
 SHINGLE, SIMILARITY = 5, 0.8
+#: Weights of shingles are whole multiples of 1 / SCALE, and similarities are compared as whole numbers, so ties are exact.
+SCALE, PARTS = 1 << 20, 10_000
 
 
 def words(text: Column) -> Column:
@@ -41,14 +46,12 @@ def _block(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
-def block_keys(fp: Column, near: bool) -> Column:
-    """(block, value) of each block; with near also the values that differ in one bit."""
-    out = []
-    for i in range(BLOCKS):
-        own = _block(fp, i)
-        values = [own, *([own.bitwiseXOR(F.lit(1 << b)) for b in range(BITS // BLOCKS)] if near else [])]
-        out += [F.struct(F.lit(i).alias("block"), v.alias("value")) for v in values]
-    return F.array(*out)
+def block_keys(fp: Column, apart: int) -> Column:
+    """(block, value) of each block, of all values that differ from it in up to apart bits."""
+    width = BITS // BLOCKS
+    flips = [sum(1 << b for b in some) for n in range(apart + 1) for some in combinations(range(width), n)]
+    each = lambda i: F.transform(F.array(*map(F.lit, flips)), lambda f: F.struct(F.lit(i).alias("block"), _block(fp, i).bitwiseXOR(f).alias("value")))
+    return F.concat(*[each(i) for i in range(BLOCKS)])
 
 
 def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -67,16 +70,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGL
     """(row_key, doc_id, item_id, first_word, n_words, distance, similarity): leaked items.
 
     A window of as many words as the item has is reported if the two fingerprints differ in
-    at most radius (15 or less) bits and their weighted Jaccard similarity (of shingle
-    counts, each weighed by its rarity among the items) is at least ``similarity``; of each
-    text and item the best window stays. A window that shares no shingle with any item is of
-    similarity zero, so fingerprints are only taken where an alignment of a shared shingle puts
-    a window. Items of fewer words than a shingle are one shingle. Null and empty texts and
-    items have no words; repeated rows are reported once; copies of an item under
-    several ids are all reported; an empty table on either side gives no rows.
+    at most radius (23 or less) bits and their weighted Jaccard similarity (of shingle
+    counts, each weighed by its rarity among the items) is at least ``similarity``, a tie included; of each
+    text and item the best window stays, of equal ones the nearest fingerprint's, then the first. A
+    window that shares no shingle with any item is of similarity zero, so fingerprints are only
+    taken where an alignment of a shared shingle puts a window; a passage whose parts stand in
+    another order has no such window as a whole. Items of fewer words than a shingle are one
+    shingle. Null and empty texts and items have no words; very long texts are whole; repeated
+    rows are reported once; copies of an item under several ids are all reported; an empty table
+    on either side gives no rows; other columns are ignored.
     """
-    if not 0 <= radius < 2 * BLOCKS:
-        raise ValueError(f"radius must be below {2 * BLOCKS}")
+    if not 0 <= radius < 3 * BLOCKS:
+        raise ValueError(f"radius must be below {3 * BLOCKS}")
+    apart = radius // BLOCKS
     items = benchmark_items(benchmark, shingle)
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # 1 to shingle
     if not sizes:
@@ -104,16 +110,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGL
     for k in sizes:
         sh = sh.when(F.col("k") == k, shingles(F.col("part"), k))
     shot = materialize(cut.select("rk", "doc_id", "n", "start", sh.alias("wsh")).withColumn("wfp", majority(F.col("wsh"))), "shot")
-    index = items.select("item_id", "n", "fp", F.explode(block_keys(F.col("fp"), True)).alias("b")).select("item_id", "n", "fp", "b.*").distinct()
-    found = shot.select("rk", "n", "start", "wfp", F.explode(block_keys(F.col("wfp"), False)).alias("b")).select("rk", "n", "start", "wfp", "b.*")
-    found = found.join(maybe_broadcast(index, items.count() * BLOCKS * 9, BROADCAST_ROWS // 4), ["n", "block", "value"])
+    index = items.select("item_id", "n", "fp", F.explode(block_keys(F.col("fp"), apart)).alias("b")).select("item_id", "n", "fp", "b.*").distinct()
+    found = shot.select("rk", "n", "start", "wfp", F.explode(block_keys(F.col("wfp"), 0)).alias("b")).select("rk", "n", "start", "wfp", "b.*")
+    found = found.join(maybe_broadcast(index, items.count() * BLOCKS * (1, 9, 37)[apart], BROADCAST_ROWS // 4), ["n", "block", "value"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))).cast("int")
     found = found.withColumn("distance", distance).where(F.col("distance") <= radius).select("rk", "n", "start", "item_id", "distance").distinct()
     # weighted Jaccard over shingle counts
     total = items.select("item_id").distinct().count()
     df = items.select("item_id", F.explode(F.array_distinct("sh")).alias("s")).distinct().groupBy("s").agg(F.count("*").alias("df"))
-    weight = F.log(F.lit(1.0) + F.lit(float(total)) / F.col("df"))
-    heavy = F.log(F.lit(1.0) + F.lit(float(total)))
+    scaled = lambda x: F.round(F.log(F.lit(1.0) + x) * SCALE).cast("long")
+    weight, heavy = scaled(F.lit(float(total)) / F.col("df")), scaled(F.lit(float(total)))
     mine = items.select("item_id", "n", F.explode("sh").alias("s")).groupBy("item_id", "n", "s").agg(F.count("*").alias("c")).join(df, "s").select("item_id", "n", "s", "c", weight.alias("w"))
     bags = mine.groupBy("item_id", "n").agg(F.map_from_entries(F.collect_list(F.struct("s", F.struct("c", "w")))).alias("bag"), F.sum(F.col("c") * F.col("w")).alias("mass"))
     bags = materialize(bags, "bags")
@@ -121,16 +127,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, shingle: int = SHINGL
     # counts of the window's shingles that the item has; others weigh as shingles of no item
     counts = F.transform(F.array_distinct("wsh"), lambda s: F.struct(s.alias("s"), F.size(F.filter("wsh", lambda x: x == s)).alias("c")))
     in_item = lambda e: F.try_element_at(F.col("bag"), e["s"])
-    both = F.aggregate("counts", F.lit(0.0), lambda acc, e: acc + F.coalesce(F.least(e["c"].cast("double"), in_item(e)["c"].cast("double")) * in_item(e)["w"], F.lit(0.0)))
-    more = F.aggregate("counts", F.lit(0.0), lambda acc, e: acc + F.coalesce(F.greatest(e["c"] - in_item(e)["c"], F.lit(0).cast("long")).cast("double") * in_item(e)["w"], e["c"].cast("double") * heavy))
-    scored = pairs.withColumn("counts", counts).withColumn("both", both).withColumn("more", more)
-    scored = scored.select("rk", "doc_id", "item_id", F.col("start").alias("first_word"), F.col("n").alias("n_words"), "distance", (F.col("both") / (F.col("mass") + F.col("more"))).alias("similarity"))
+    zero = F.lit(0).cast("long")
+    both = F.aggregate("counts", zero, lambda acc, e: acc + F.coalesce(F.least(e["c"].cast("long"), in_item(e)["c"]) * in_item(e)["w"], zero))
+    more = F.aggregate("counts", zero, lambda acc, e: acc + F.coalesce(F.greatest(e["c"] - in_item(e)["c"], zero) * in_item(e)["w"], e["c"] * heavy))
+    scored = pairs.withColumn("counts", counts).withColumn("both", both).withColumn("all", F.col("mass") + more)
+    scored = scored.where(F.col("both") * PARTS >= F.lit(round(similarity * PARTS)) * F.col("all"))
+    scored = scored.select("rk", "doc_id", "item_id", F.col("start").alias("first_word"), F.col("n").alias("n_words"), "distance", (F.col("both") / F.col("all")).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("first_word")).alias("f"), "n_words"))
-    out = scored.where(F.col("similarity") >= similarity).groupBy("rk", "doc_id", "item_id").agg(best.alias("b"))
+    out = scored.groupBy("rk", "doc_id", "item_id").agg(best.alias("b"))
     return out.select(F.col("rk").alias("row_key"), "doc_id", "item_id", (-F.col("b.f")).alias("first_word"), F.col("b.n_words").alias("n_words"), (-F.col("b.d")).alias("distance"), F.col("b.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """docs without the rows that hold an item; docs' columns are kept."""
+    """docs without the rows that hold an item; docs' columns are kept. Null and empty texts stay, as
+    do all rows if either table has no item; repeated rows go or stay together."""
     gone = materialize(contaminated(docs, benchmark, **options).select("row_key").distinct(), "gone")
     return without(docs, gone)

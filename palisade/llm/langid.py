@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import materialize, small_batches
 
-#: Longest n-gram; expected training documents of a language; words and n-grams kept of a language.
-LONGEST, FIT_DOCS, FIT_WORDS, FIT_GRAMS = 4, 3000, 60_000, 15_000
-#: Languages that a model holds at most, those with most documents.
-FIT_LANGS = 256
+#: Longest n-gram; expected training documents of a language; how often a word or n-gram occurs in them to be known.
+LONGEST, FIT_DOCS, LEAST = 4, 3000, 2
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+
+
+@functools.cache
+def word_pattern() -> re.Pattern[str]:
+    """Runs of letters and marks, which training takes as words, too (``\\p{L}\\p{M}``)."""
+    ranges, start = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in "LM"
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            ranges.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
+            start = None
+    return re.compile(f"[{''.join(ranges)}]+")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -45,7 +59,7 @@ class Model:
         """Mean of the known n-grams of the greatest length that has any."""
         if (v := self.seen.get(word)) is not None:
             return v
-        marked, v = f"^{word[:200]}$", np.zeros(len(self.langs))
+        marked, v = f"^{word}$", np.zeros(len(self.langs))
         for n in range(LONGEST, 0, -1):
             known = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
             if known:
@@ -56,7 +70,7 @@ class Model:
         return v
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(WORD.findall(text.lower())) if text else Counter()
+        found = Counter(word_pattern().findall(text.lower())) if text else Counter()
         if not self.langs or not found or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0
         vectors = np.array([self.vector(w) for w in found])
@@ -65,41 +79,32 @@ class Model:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS, fit_grams: int = FIT_GRAMS) -> Model:
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, least: int = LEAST) -> Model:
     """A model of docs' text by lang, of rows with both.
 
-    It is fitted on a sample by hash that holds about fit_docs documents of each language
-    and keeps each language's fit_words and, for each length, fit_grams most frequent words
-    and n-grams, so its size is bounded whatever the table's.
+    It is fitted on a sample by hash of about fit_docs documents of each language, taken whole; words and
+    n-grams that occur ``least`` times in a language's are known, the others count as unseen.
+    The model's size thus depends on the number of languages and not on the table's.
     """
     have = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = have.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()
+    counts = have.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not counts:
         return Model([], np.zeros(0), {}, {})
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, fit_docs / r["count"]))) for r in counts])
-    near = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-    words = have.where(near).select("lang", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+")).alias("word")).where("word <> ''")
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, fit_docs / r["count"])) for r in counts], "lang string, share double")
+    near = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    words = have.join(F.broadcast(share), "lang").where(near).select("lang", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+")).alias("word")).where("word <> ''")
     words = materialize(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    marked = F.concat(F.lit("^"), F.substring("word", 1, 200), F.lit("$"))
+    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("marked") - n + 1)), lambda i, n=n: F.substring(F.col("marked"), i, F.lit(n))) for n in range(1, LONGEST + 1)]
     grams = words.select("lang", "n", marked.alias("marked")).select("lang", "n", F.explode(F.concat(*cut)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = materialize(grams.withColumn("len", F.length("gram")), "grams")
 
-    def top(df: DataFrame, what: str, by: list[str], most: int) -> list:
-        total = F.sum("n").over(Window.partitionBy(*by))
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), what))
-        return df.withColumn("total", total).withColumn("rank", rank).where(F.col("rank") <= most).select("lang", what, "n", "total").collect()
-
-    langs = sorted(r["lang"] for r in counts)
+    langs = [r["lang"] for r in counts]
     at = {lang: i for i, lang in enumerate(langs)}
-    total = sum(r["count"] for r in counts)
-    prior = np.zeros(len(langs))
-    for r in counts:
-        prior[at[r["lang"]]] = np.log(r["count"] / total)
+    prior = np.log(np.array([r["count"] for r in counts]) / sum(r["count"] for r in counts))
 
-    def table(rows: list, what: str, length: int | None = None) -> dict[str, np.ndarray]:
-        all_ = np.ones(len(langs))
-        for r in rows:
-            all_[at[r["lang"]]] = r["total"]
+    def table(rows: list, what: str, totals: dict[str, int]) -> dict[str, np.ndarray]:
+        all_ = np.array([totals.get(lang, 0) for lang in langs], float)
         floor = np.log(0.5 / (all_ + 1))
         out: dict[str, np.ndarray] = {}
         for r in rows:
@@ -110,11 +115,12 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS, f
             v[i] = np.log((r["n"] + 0.5) / (all_[i] + 1))
         return out
 
-    known = table([r for r in top(words, "word", ["lang"], fit_words) if r["n"] > 1], "word")
-    sized = top(grams.withColumn("len", F.length("gram")), "gram", ["lang", "len"], fit_grams)
+    known = table(words.where(F.col("n") >= least).collect(), "word", {r[0]: r[1] for r in words.groupBy("lang").agg(F.sum("n")).collect()})
+    totals = {(r[0], r[1]): r[2] for r in grams.groupBy("lang", "len").agg(F.sum("n")).collect()}
+    sized = grams.where(F.col("n") >= least).collect()
     parts: dict[str, np.ndarray] = {}
     for n in range(1, LONGEST + 1):
-        parts |= table([r for r in sized if len(r["gram"]) == n], "gram")
+        parts |= table([r for r in sized if r["len"] == n], "gram", {lang: totals.get((lang, n), 0) for lang in langs})
     return Model(langs, prior, known, parts)
 
 
@@ -156,7 +162,9 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """docs' rows of which the language can be told: others are ``und`` or scored below least."""
+    """docs' rows of which the language can be told: others are ``und`` or scored below least. Null
+    and empty texts are ``und`` and go; repeated rows go or stay together; without a row that has
+    text and lang no language is known and none stays; an empty table stays empty; docs' columns are kept."""
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang"))
     judged = docs.withColumn("__p", predictor(docs, model)("text"))
     return judged.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least)).select(*docs.columns)

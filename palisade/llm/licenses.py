@@ -33,6 +33,19 @@ TEMPLATES = (
     ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4.0"),
     ("proprietary", "proprietary and confidential unauthorized copying of this file is strictly prohibited"),
+    # notices as they stand at the head of files and in license texts
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
+    ("apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"),
 )
 CONTAINMENT = 0.9
 #: Words of a window for each word of a template, so that as many others may stand between.
@@ -140,3 +153,37 @@ def _similar(text: Column, sets: list[tuple[str, list[str]]], spans: list[int],
         return F.transform(fits, lambda x: F.struct(x["label"].alias("label"), (x["both"] / x["n"]).cast("double").alias("share")))
 
     return F.when(F.coalesce(text, F.lit("")).rlike(quick), _let(known, of_known)).otherwise(F.array().cast(kind))
+
+
+def duckdb_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> str:
+    """``scan`` of the table documents in DuckDB's SQL: every window from a template's word on is counted, without an index."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in BASE)
+    rows = ", ".join(
+        f"({k}, '{label}', {SPAN * len(said.replace('.', ' ').split())}, {len(tokens)}, {math.ceil(containment * len(tokens) - 1e-9)}, {quoted(tokens)})"
+        for k, ((label, tokens), (_, said)) in enumerate(zip(token_sets(templates), templates, strict=True))
+    )
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+phrase(label, ph) AS (VALUES {phrases}),
+ahead AS (SELECT rid, i, word, lead(word) OVER x AS w1, lead(word, 2) OVER x AS w2 FROM p WINDOW x AS (PARTITION BY rid ORDER BY i)),
+b AS (
+  SELECT rid, count(*) AS n, min(i) AS low, max(i) AS high, list(DISTINCT label) AS labels
+  FROM ahead JOIN phrase ON word = ph[1] AND w1 = ph[2] AND (len(ph) < 3 OR w2 = ph[3]) GROUP BY rid),
+t(id, label, span, n, need, words) AS (VALUES {rows}),
+tw AS (SELECT id, span, unnest(words) AS word FROM t),
+h AS (SELECT rid, id, span, i, word FROM p JOIN tw USING (word)),
+m AS (
+  SELECT x.rid, x.id, x.i, count(DISTINCT y.word) AS c
+  FROM h x JOIN h y ON x.rid = y.rid AND x.id = y.id AND y.i >= x.i AND y.i < x.i + x.span GROUP BY x.rid, x.id, x.i),
+f AS (SELECT rid, list(DISTINCT label) AS labels, max(c / n) AS share FROM m JOIN t USING (id) WHERE c >= need GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.low::BIGINT AS first_word, b.high::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(f.share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN f USING (rid)
+"""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -17,6 +19,8 @@ from .common import small_batches
 ROUNDS = 10
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
+OLD = FIRST - datetime.date(1000, 1, 1).toordinal()  # days from 1000 on before FIRST
+LATER = datetime.date.max.toordinal() - FIRST - DAYS + 1
 
 
 class Cipher:
@@ -40,9 +44,7 @@ class Cipher:
             return x
         if (found := self.known.get((tweak, bound, x))) is not None:
             return found
-        a = 1
-        while a * a < bound:
-            a += 1 if bound < 10_000 else max(1, (bound - a * a) // (2 * a + 2))
+        a = math.isqrt(bound - 1) + 1
         b, y = -(-bound // a), x
         while True:
             left, right = divmod(y, b)
@@ -162,9 +164,16 @@ def date(value: str, c: Cipher) -> str | None:
             x = datetime.date(year, month, day).toordinal() - FIRST
         except ValueError:
             return None
-        if not 0 <= x < DAYS:
+        # dates of 1900 to 2099 are permuted among themselves, as are those before and after
+        if 0 <= x < DAYS:
+            x = c.permute(x, DAYS, "date")
+        elif x >= DAYS:
+            x = DAYS + c.permute(x - DAYS, LATER, "later date")
+        elif x >= -OLD:
+            x = -1 - c.permute(-1 - x, OLD, "older date")
+        else:
             return None
-        new = datetime.date.fromordinal(FIRST + c.permute(x, DAYS, "date"))
+        new = datetime.date.fromordinal(FIRST + x)
         sep = found[2]
         if d == 4:
             return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
@@ -206,8 +215,8 @@ def secret(value: str, c: Cipher) -> str | None:
 
 
 KINDS: dict[str, tuple[str, Callable[[str, Cipher], str | None]]] = {
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])", email),
-    "secret": (r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])", secret),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])", email),
+    "secret": (r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])", secret),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?![0-9A-Za-z])", iban),
     "date": (r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9/-]|\.[0-9])", date),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ssn),
@@ -260,15 +269,29 @@ def rewrite(text: str | None, c: Cipher) -> tuple[str | None, list[str], int]:
     return "".join([*out, text[at:]]), sorted({f[2] for f in found}), len(found)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"palisade") -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that ``spark.palisade.pii.key`` holds; without one a random key, which the session
+    keeps there, so that its runs agree and no one else can undo them."""
+    said = spark.conf.get("spark.palisade.pii.key", None)
+    if not said:
+        said = secrets.token_hex(32)
+        spark.conf.set("spark.palisade.pii.key", said)
+    return said.encode()
+
+
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """Every row of docs as (doc_id, text, kinds, n_found).
 
     Validated cards (Luhn), IBANs (mod 97), dates, US social security numbers, phone numbers,
     IPv4 addresses, e-mail addresses and hex credentials become other valid values of the same
     format by permutations under key, so equal values stay equal across documents and different
-    ones different; numbers that fail their check stay. Null texts stay null; repeated rows
+    ones different; numbers that fail their check stay, as do dates before the year 1000. Where
+    values of several kinds overlap the kind that stands first in KINDS is taken, of one kind the first value.
+    Null texts stay null; very long texts are changed as a whole; repeated rows
     change alike; an empty table gives no rows; other columns are ignored.
     """
+    if not key:
+        raise ValueError("a key is needed: anyone can undo pseudonyms of a key that is known")
     small_batches(docs.sparkSession)
     kind = StructType().add("text", StringType()).add("kinds", ArrayType(StringType())).add("n_found", IntegerType())
     held: list[Cipher] = []

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, maybe_broadcast
 
-#: Micro-ranges for each shard, bytes that a micro-range holds at most, and most micro-ranges.
-MICRO, MICRO_BYTES, MOST = 256, 64 << 20, 1 << 20
+#: Micro-ranges for each shard, and bytes that one task numbers together.
+MICRO, MICRO_BYTES = 256, 64 << 20
 #: Sampled keys for each micro-range.
 DRAWS = 16
 
@@ -34,8 +34,9 @@ def assign(docs: DataFrame, shards: int = 8, carry: bool = False) -> DataFrame:
     its quantiles, hence micro-ranges; ranges over twice their share are subdivided by a second
     hash of the text, and texts that alone hold an eighth of a shard by a hash of the row. Whole
     micro-ranges are then dealt in key order to the shards, so equal texts stay in one shard
-    unless their copies were too many for it. Micro-ranges number MICRO a shard or one for
-    each MICRO_BYTES; only their sums reach the driver.
+    unless their copies hold an eighth of it. Micro-ranges number MICRO a shard whatever the
+    input, and only their sums reach the driver; slots are numbered in smaller parts of them, of
+    about MICRO_BYTES, whose starts are summed up where the parts are.
 
     Null texts count as empty; null and repeated doc_ids and repeated rows are rows like any
     other; an empty table gives no rows. With carry, docs' own columns are kept and ``shard``
@@ -45,7 +46,7 @@ def assign(docs: DataFrame, shards: int = 8, carry: bool = False) -> DataFrame:
     keys = _keys(docs)
     rows = materialize(docs.select("doc_id", *[c.alias(k) for k, c in keys.items()]), "keys")
     total, n = rows.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.count("*")).first()
-    micro = int(min(MOST, max(shards * MICRO, math.ceil(total / MICRO_BYTES))))
+    micro = shards * MICRO
     draws = DRAWS * micro
     unit = F.pmod(F.xxhash64(F.lit("draw"), "__k3"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = sorted(r[0] for r in rows.where(unit < F.col("__size") * F.lit(draws / max(total, 1))).select("__k1").collect())
@@ -84,17 +85,30 @@ def assign(docs: DataFrame, shards: int = 8, carry: bool = False) -> DataFrame:
         out = ranged(df).join(part_table, ["__r", "__own"], "left")
         return out.withColumn("__sub", F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(by, F.col("__parts")))).drop("__parts")
 
-    at, before, plan = 0, [0] * shards, []
-    sums = grouped(rows).groupBy("__r", "__own", "__sub").agg(F.sum("__size").alias("b"), F.count("*").alias("n")).collect()
+    at, plan = 0, []
+    sums = grouped(rows).groupBy("__r", "__own", "__sub").agg(F.sum("__size").alias("b")).collect()
     for g in sorted(sums, key=lambda g: (g["__r"], g["__own"], g["__sub"])):
-        shard = min(shards - 1, int((at + g["b"] / 2) * shards / total))
-        plan.append((g["__r"], g["__own"], g["__sub"], shard, before[shard]))
-        before[shard] += g["n"]
+        plan.append((g["__r"], g["__own"], g["__sub"], min(shards - 1, int((at + g["b"] / 2) * shards / total)), max(1, math.ceil(g["b"] / MICRO_BYTES))))
         at += g["b"]
-    plan_table = F.broadcast(spark.createDataFrame(plan, "__r long, __own long, __sub long, __shard int, __before long"))  # two a micro-range at most
+    plan_table = F.broadcast(spark.createDataFrame(plan, "__r long, __own long, __sub long, __shard int, __fine_n long"))  # two a micro-range at most
+
+    def fine(df: DataFrame) -> DataFrame:
+        out = grouped(df).join(plan_table, ["__r", "__own", "__sub"])
+        return out.withColumn("__fine", F.pmod(F.xxhash64(F.lit("fine"), "__k3"), F.col("__fine_n")))
+
+    cell = ["__r", "__own", "__sub", "__fine"]
+    counts = materialize(fine(rows).groupBy("__shard", *cell).agg(F.count("*").alias("n")), "counts")
+    # starts: of the micro-ranges in their shard on the driver, of their parts where they are
+    start, before = [], [0] * shards
+    for g in sorted(counts.groupBy("__shard", *cell[:3]).agg(F.sum("n").alias("n")).collect()):
+        start.append((g["__r"], g["__own"], g["__sub"], before[g["__shard"]]))
+        before[g["__shard"]] += g["n"]
+    starts = F.broadcast(spark.createDataFrame(start, "__r long, __own long, __sub long, __start long"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy(*cell[:3]).orderBy("__fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = materialize(counts.withColumn("__ahead", ahead).join(starts, cell[:3]).select(*cell, (F.col("__start") + F.col("__ahead")).alias("__before")), "offsets")
     source = docs.select("*", *[c.alias(k) for k, c in keys.items()]) if carry else rows
-    order = Window.partitionBy("__r", "__own", "__sub").orderBy("__k1", "__k3")
-    placed = grouped(source).withColumn("__slot", F.row_number().over(order) - 1).join(plan_table, ["__r", "__own", "__sub"])
+    order = Window.partitionBy(*cell).orderBy("__k1", "__k3")
+    placed = fine(source).join(maybe_broadcast(offsets, offsets.count(), 200_000), cell).withColumn("__slot", F.row_number().over(order) - 1)
     slot = (F.col("__before") + F.col("__slot")).cast("long")
     if carry:
         return placed.select(*[c for c in docs.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), slot.alias("slot"))
