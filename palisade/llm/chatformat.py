@@ -163,22 +163,29 @@ def through(model: Model, emissions: list[Row], moves: list[Table], first: bool)
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The runs of rows that agree in conv_id and chunk, of sorted batches."""
+    """The runs of rows that agree in conv and chunk, of sorted batches. conv and turn are texts, as numbers
+    beside nulls would become floats."""
     held: list[pd.DataFrame] = []
     at = None
     for pdf in batches:
-        key = pdf["conv_id"].astype("string").fillna("\x00") + "|" + pdf["chunk"].astype("string")
-        for k, part in pdf.groupby((key != key.shift()).cumsum(), sort=False):
-            own = key[part.index[0]]
+        conv, chunk = pdf["conv"].fillna("\x00").to_numpy(object), pdf["chunk"].to_numpy(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], (conv[1:] != conv[:-1]) | (chunk[1:] != chunk[:-1])))) if len(pdf) else []
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            own = (conv[a], chunk[a])
             if held and own != at:
                 yield pd.concat(held)
                 held = []
             at = own
-            held.append(part)
+            held.append(pdf.iloc[a:b])
     if held:
         yield pd.concat(held)
 
 
+def _as_text(rows: DataFrame) -> DataFrame:
+    """rows with conv_id and turn as texts conv and turn."""
+    return rows.withColumn("conv", F.col("conv_id").cast("string")).withColumn("turn", F.col("turn").cast("string")).drop("conv_id")
+
+
 def _none(x: object) -> int | None:
     return None if pd.isna(x) else int(x)
 
@@ -214,9 +221,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for g in _groups(batches):
                 _, e, m = observe(model, g["text"].tolist(), g["role"].tolist())
-                yield pd.DataFrame({"conv_id": g["conv_id"].iloc[:1], "chunk": g["chunk"].iloc[:1], "m": [sum(through(model, e, m, bool(g["is_first"].iloc[0])), [])]})
+                yield pd.DataFrame({"conv": g["conv"].iloc[:1], "chunk": g["chunk"].iloc[:1], "m": [sum(through(model, e, m, bool(g["is_first"].iloc[0])), [])]})
 
-        scored = parts.repartition("conv_id", "chunk").sortWithinPartitions(*order).mapInPandas(score, f"conv_id {dict(rows.dtypes)['conv_id']}, chunk long, m array<double>")
+        scored = _as_text(parts.repartition("conv_id", "chunk").sortWithinPartitions(*order)).mapInPandas(score, "conv string, chunk long, m array<double>")
 
         def join(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("chunk")
@@ -229,14 +236,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
             for b in reversed(back[1:]):
                 last.append(int(b[last[-1]]))
             last = last[::-1]
-            return pd.DataFrame({"k": pdf["conv_id"], "n": pdf["chunk"], "before": [None, *last[:-1]], "last": last}).astype({"before": "Int32"})
+            return pd.DataFrame({"k": pdf["conv"], "n": pdf["chunk"], "before": [None, *last[:-1]], "last": last}).astype({"before": "Int32"})
 
-        ends = materialize(scored.groupBy("conv_id").applyInPandas(join, f"k {dict(rows.dtypes)['conv_id']}, n long, before int, last int"), "ends")
+        ends = materialize(scored.groupBy("conv").applyInPandas(join, "k string, n long, before int, last int"), "ends")
     rows = rows.drop("low")
     if ends is None:
         rows = rows.withColumn("before", F.lit(None).cast("int")).withColumn("last", F.lit(None).cast("int"))
     else:
-        rows = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("chunk") == F.col("n")), "left").drop("k", "n")
+        rows = rows.join(ends, F.col("conv_id").cast("string").eqNullSafe(F.col("k")) & (F.col("chunk") == F.col("n")), "left").drop("k", "n")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches):
@@ -251,10 +258,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
             own = g.iloc[[o[0] for o in out]]
             texts = ["\n".join(x.rstrip() for x in o[3]).rstrip() for o in out]
             yield pd.DataFrame({
-                "conv_id": own["conv_id"].to_numpy(), "turn": own["turn"].to_numpy(), "part": [o[1] for o in out], "role": [o[2] for o in out],
+                "conv": own["conv"].to_numpy(), "turn": own["turn"].to_numpy(), "part": [o[1] for o in out], "role": [o[2] for o in out],
                 "text": texts, "rendered": [f"<|{o[2]}|>\n{t}<|end|>\n" for o, t in zip(out, texts, strict=True)], "copies": own["copies"].to_numpy(),
             })
 
     kinds = dict(rows.dtypes)
-    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, part int, role string, text string, rendered string, copies long"
-    return rows.repartition("conv_id", "chunk").sortWithinPartitions(*order).mapInPandas(decode, schema)
+    dealt = _as_text(rows.repartition("conv_id", "chunk").sortWithinPartitions(*order))
+    out = dealt.mapInPandas(decode, "conv string, turn string, part int, role string, text string, rendered string, copies long")
+    return out.select(F.col("conv").cast(kinds["conv_id"]).alias("conv_id"), F.col("turn").cast(kinds["turn"]).alias("turn"), "part", "role", "text", "rendered", "copies")

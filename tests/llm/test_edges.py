@@ -209,7 +209,7 @@ def test_pseudonyms_of_long_and_old_values(spark):
     c = pii.Cipher(b"k")
     hexes, mail = "0123456789abcdef" * 8, "a1b2" * 40 + "@example.com"
     text, kinds, n = pii.rewrite(f"born 1815-12-10, died 2150-01-02; key {hexes} mail {mail} and again {mail}", c)
-    assert kinds == ["date", "email", "secret"] and n == 5 and hexes not in text and mail not in text and text.split()[-1] == text.split()[-3]
+    assert kinds == ["date", "email", "secret"] and n == 5 and hexes not in text and mail not in text and text.split()[-1] == text.split()[-4]
     assert sorted(c.permute(x, 3001, "all") for x in range(3001)) == list(range(3001))
     docs = docs_of(spark, [(1, "4111111111111111 " + "x" * 500_000, "en", "s"), (2, "4111111111111111", "en", "s"), (2, "4111111111111111", "en", "s")])
     got = pii.pseudonymise(docs, b"k").collect()
