@@ -65,3 +65,34 @@ def verify(key: bytes, message: bytes, signature: bytes) -> bool:
     base: Point = (base_x, BASE_Y, 1, base_x * BASE_Y % P)
     h = int.from_bytes(hashlib.sha512(signature[:32] + key + message).digest(), "little") % ORDER
     return _same(_times(s, base), _add(r, _times(h, a)))
+
+
+def _bytes(a: Point) -> bytes:
+    z = pow(a[2], -1, P)
+    x, y = a[0] * z % P, a[1] * z % P
+    return (y | (x & 1) << 255).to_bytes(32, "little")
+
+
+def _expanded(private: bytes) -> tuple[int, bytes, Point]:
+    """(secret scalar, prefix of nonces, base point) of a private key of 32 bytes."""
+    if len(private) != 32:
+        raise ValueError("a private key has 32 bytes")
+    h = hashlib.sha512(private).digest()
+    scalar = int.from_bytes(h[:32], "little") & ~7 & (1 << 254) - 1 | 1 << 254
+    x = _x_of(BASE_Y, 0)
+    return scalar, h[32:], (x, BASE_Y, 1, x * BASE_Y % P)
+
+
+def public_key(private: bytes) -> bytes:
+    scalar, _, base = _expanded(private)
+    return _bytes(_times(scalar, base))
+
+
+def sign(private: bytes, message: bytes) -> bytes:
+    """A signature after RFC 8032. The arithmetic takes time that depends on the key: sign where no one measures it."""
+    scalar, prefix, base = _expanded(private)
+    key = _bytes(_times(scalar, base))
+    r = int.from_bytes(hashlib.sha512(prefix + message).digest(), "little") % ORDER
+    head = _bytes(_times(r, base))
+    h = int.from_bytes(hashlib.sha512(head + key + message).digest(), "little") % ORDER
+    return head + ((r + h * scalar) % ORDER).to_bytes(32, "little")

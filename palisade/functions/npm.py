@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .versions import COMPARE
+from .versions import compare_as
 
 _PART = re.compile(r"v?(\d+|[*xX])(?:\.(\d+|[*xX]))?(?:\.(\d+|[*xX]))?(?:-([0-9A-Za-z.-]+))?")
 
@@ -56,6 +56,6 @@ def in_range(version: Column, expression: str) -> Column:
         all_ = F.lit(True)
         for token in part.split():
             for op, v in bounds(token):
-                all_ = all_ & tests[op](COMPARE["semver"](version, F.lit(v)))
+                all_ = all_ & tests[op](compare_as("semver", version, F.lit(v)))
         any_ = any_ | all_
-    return F.when(COMPARE["semver"](version, version).isNotNull(), any_)
+    return F.when(compare_as("semver", version, version).isNotNull(), any_)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +38,19 @@ def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores if its files give fewer partitions than there are; a large table stays as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def running(df: DataFrame, by: list[str], order: str, weight: str) -> DataFrame:
+    """df with ``upto``, the sum of weight over a group's rows up to each in the order, and no task that
+    holds a group: rows are dealt in ranges of (by, order), and sums of whole ranges go ahead."""
+    placed = materialize(df.repartitionByRange(*by, order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy(*by, "__p").agg(F.sum(weight).alias("__s"))  # a row for each range of a group
+    ahead = F.sum("__s").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = materialize(sums.withColumn("__ahead", F.coalesce(ahead, F.lit(0))).drop("__s"), "ahead")
+    inside = F.sum(weight).over(Window.partitionBy(*by, "__p").orderBy(order))
+    held = placed.withColumn("__in", inside)
+    same = [held[c].eqNullSafe(ahead[c]) for c in (*by, "__p")]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return held.join(ahead, on).select(*[held[c] for c in df.columns], (held["__in"] + ahead["__ahead"]).alias("upto"))

@@ -1,8 +1,8 @@
 """Version orders of package ecosystems, as columns.
 
-A version becomes a struct of token arrays; tokens are structs (a, n, s) that order as the
-ecosystem's do. ``compare`` gives -1, 0 or 1, or null if either version is malformed. Numbers of
-over 38 digits count as malformed.
+``key`` makes of a version arrays of tokens, structs (a, n, s) that order as the ecosystem's do, once for
+each version; ``compare_keys`` then orders any two of them. ``compare`` gives -1, 0 or 1, or null if
+either version is malformed. Numbers of over 38 digits count as malformed.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ ORDERS = {
     "debian": "linux", "ubuntu": "linux", "rpm": "linux", "redhat": "linux", "suse": "linux", "alpine": "linux",
     "pypi": "pep440", "npm": "semver", "golang": "go", "maven": "maven", "nuget": "nuget", "rubygems": "rubygems", "composer": "composer",
 }
+# Fixed values, too: the ranks of qualifiers.
 MAVEN = {"alpha": 1, "a": 1, "beta": 2, "b": 2, "milestone": 3, "m": 3, "rc": 4, "snapshot": 5, "final": 6, "ga": 6, "release": 6, "sp": 7}
 COMPOSER = {"dev": (0, 0), "alpha": (0, 1), "a": (0, 1), "beta": (0, 2), "b": (0, 2), "rc": (0, 3), "stable": (1, 0), "release": (1, 0), "pl": (2, 0), "p": (2, 0)}
 PEP_PRE = {"a": 0, "b": 1, "c": 2, "rc": 2, "pre": 2}
 NUMBER = "decimal(38,0)"
 TOKEN = f"struct<a:int,n:{NUMBER},s:string>"
+KEY = f"array<array<{TOKEN}>>"
 
 
 def ecosystem(name: Column) -> Column:
@@ -59,9 +61,9 @@ def _ids(text: Column, fold: bool) -> Column:
 def _released(pattern: str, groups: int, version: Column, fold: bool) -> Column:
     """Keys of x.y.z[-pre][+build] forms: (release numbers, 1 if final, identifiers)."""
     part = lambda i: F.regexp_extract(version, pattern, i)
-    release = F.array(*[F.coalesce(_num(part(i)), F.lit(0).cast(NUMBER)) for i in range(1, groups + 1)])
+    release = F.array(*[_tok(0, F.coalesce(_num(part(i)), F.lit(0).cast(NUMBER))) for i in range(1, groups + 1)])
     pre = part(groups + 1)
-    key = F.struct(release.alias("r"), (pre == "").cast("int").alias("f"), _ids(pre, fold).alias("p"))
+    key = F.array(release, F.array(_tok((pre == "").cast("int"))), _ids(pre, fold))
     return F.when(version.rlike(pattern) & F.forall(F.array(*[part(i) for i in range(1, groups + 1)]), lambda x: F.length(x) <= 38), key)
 
 
@@ -84,7 +86,7 @@ def _nuget(v: Column) -> Column:
 
 def _generic(v: Column) -> Column:
     bare = F.replace(F.regexp_replace(v, "^v+", ""), F.lit("-"), F.lit("."))
-    return F.transform(F.split(bare, r"\.", -1), lambda t: F.when(_is_num(t), _tok(0, _num(t))).otherwise(_tok(1, 0, F.lower(t))))
+    return F.array(F.transform(F.split(bare, r"\.", -1), lambda t: F.when(_is_num(t), _tok(0, _num(t))).otherwise(_tok(1, 0, F.lower(t)))))
 
 
 def _pep440(v: Column) -> Column:
@@ -103,7 +105,7 @@ def _pep440(v: Column) -> Column:
     n = lambda x: F.get(x, F.lit(0))["n"]
     has_dev = F.size(dev) > 0
     zero = F.lit(0).cast(NUMBER)
-    row = lambda *x: F.array(*[(y if isinstance(y, Column) else F.lit(y)).cast(NUMBER) for y in x])
+    row = lambda *x: F.array(*[_tok(0, y) for y in x])
     phase = (
         F.when(F.size(pre) > 0, row(1, stage, n(pre), F.when(has_dev, 0).otherwise(1), F.coalesce(n(dev), zero)))
         .when(has_dev, row(0, n(dev), 0, 0, 0))
@@ -111,19 +113,19 @@ def _pep440(v: Column) -> Column:
         .otherwise(row(2, 0, 0, 0, 0))
     )
     numbers = F.transform(F.split(release, r"\."), _num)
-    padded = F.concat(numbers, F.array_repeat(zero, F.greatest(8 - F.size(numbers), F.lit(0))))
+    padded = F.transform(F.concat(numbers, F.array_repeat(zero, F.greatest(8 - F.size(numbers), F.lit(0)))), lambda n: _tok(0, n))
     locals_ = F.transform(F.split(F.regexp_replace(local, r"(?:[._-]0+)+$|^0+$", ""), "[._-]"), lambda t: F.when(_is_num(t), _tok(1, _num(t))).otherwise(_tok(0, 0, t)))
     locals_ = F.when(F.regexp_replace(local, r"(?:[._-]0+)+$|^0+$", "") == "", F.array().cast(f"array<{TOKEN}>")).otherwise(locals_)
     fine = (
         raw.rlike(r"^(?:[0-9]+!)?[0-9]+(?:[._-][0-9]+)*[._-]*(?:(?:a|b|rc|c|pre|post|rev|r|dev)[0-9]*[._-]*)*(?:\+[a-z0-9]+(?:[._-][a-z0-9]+)*)?$")
         & (F.size(pre) <= 1) & (F.size(post) <= 1) & (F.size(dev) <= 1) & F.forall(numbers, lambda x: x.isNotNull())
     )
-    return F.when(fine, F.struct(F.coalesce(_num(epoch), zero).alias("e"), padded.alias("r"), phase.alias("p"), locals_.alias("l")))
+    return F.when(fine, F.array(F.array(_tok(0, F.coalesce(_num(epoch), zero))), padded, phase, locals_))
 
 
 def _pieces(v: Column, valid: str, pattern: str, word: Callable[[Column], Column], number: int) -> Column:
     each = F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(0)), lambda t: F.when(_is_num(t), _tok(number, _num(t))).otherwise(word(F.lower(t))))
-    return F.when(v.rlike(valid) & F.forall(each, lambda t: t["n"].isNotNull()), each)
+    return F.when(v.rlike(valid) & F.forall(each, lambda t: t["n"].isNotNull()), F.array(each))
 
 
 def _maven(v: Column) -> Column:
@@ -152,7 +154,7 @@ def _linux(v: Column) -> Column:
     word = lambda t: F.when(t == "~", _tok(0)).when(t == "^", _tok(0, 0, "^")).otherwise(_tok(1, 0, t))
     core = _pieces(rest, "^[0-9A-Za-z.+~^_-]+$", r"~|\^|[0-9]+|[A-Za-z]+", word, 2)
     # the epoch goes first as a token of a kind that no other has, so it decides before all others
-    return F.when(core.isNotNull(), F.concat(F.array(F.struct(F.lit(9).alias("a"), epoch.alias("n"), F.lit("").alias("s"))), core))
+    return F.when(core.isNotNull(), F.array(F.concat(F.array(_tok(9, epoch)), F.get(core, F.lit(0)))))
 
 
 def _padded(left: Column, right: Column, pad: Callable[[Column], Column]) -> Column:
@@ -161,46 +163,62 @@ def _padded(left: Column, right: Column, pad: Callable[[Column], Column]) -> Col
     return F.aggregate(signs, F.lit(0), lambda acc, s: F.when(acc != 0, acc).otherwise(s))
 
 
-def _plain(key: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
-    return lambda left, right: _sign(key(left), key(right))
+KEYS: dict[str, Callable[[Column], Column]] = {
+    "generic": _generic, "semver": _semver, "pep440": _pep440, "go": _go, "nuget": _nuget, "maven": _maven, "rubygems": _rubygems, "composer": _composer, "linux": _linux,
+}
+#: What a missing token counts as in the orders that fill the shorter version up; the others compare as arrays do.
+PADS: dict[str, Callable[[Column], Column]] = {
+    "maven": lambda other: F.when(other["a"] == 2, _tok(2)).otherwise(_tok(1, 6)),
+    "rubygems": lambda other: _tok(1), "composer": lambda other: _tok(1), "linux": lambda other: _tok(1),
+}
+
+
+def _by_order(eco: Column, of: Callable[[str], Column]) -> Column:
+    """of(order) by the order of the ecosystem (normalized), the generic one if it has none."""
+    out = None
+    for order in sorted(set(ORDERS.values())):
+        test = eco.isin([e for e, o in ORDERS.items() if o == order])
+        out = F.when(test, of(order)) if out is None else out.when(test, of(order))
+    return out.otherwise(of("generic"))
 
 
-def _padding(key: Callable[[Column], Column], pad: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
-    return lambda left, right: _padded(key(left), key(right), pad)
+def key(eco: Column, version: Column) -> Column:
+    """The tokens of a version under its ecosystem's order, null if it is malformed."""
+    return _by_order(eco, lambda order: KEYS[order](version).cast(KEY))
 
 
-COMPARE: dict[str, Callable[[Column, Column], Column]] = {
-    "generic": _plain(_generic),
-    "semver": _plain(_semver),
-    "pep440": _plain(_pep440),
-    "go": _plain(_go),
-    "nuget": _plain(_nuget),
-    "maven": _padding(_maven, lambda other: F.when(other["a"] == 2, _tok(2)).otherwise(_tok(1, 6))),
-    "rubygems": _padding(_rubygems, lambda other: _tok(1)),
-    "composer": _padding(_composer, lambda other: _tok(1)),
-    "linux": _padding(_linux, lambda other: _tok(1)),
-}
+def compare_keys(eco: Column, left: Column, right: Column) -> Column:
+    """-1, 0 or 1 of two keys of an ecosystem, null if one is."""
+    first = lambda k: F.get(k, F.lit(0))
+    either = left.isNotNull() & right.isNotNull()
+    return F.when(either, _by_order(eco, lambda order: _padded(first(left), first(right), PADS[order]) if order in PADS else _sign(left, right)))
+
+
+def compare_as(order: str, left: Column, right: Column) -> Column:
+    """-1, 0 or 1 of two versions by the order of a name, null if either is malformed."""
+    x, y = KEYS[order](left), KEYS[order](right)
+    return _padded(F.get(x, F.lit(0)), F.get(y, F.lit(0)), PADS[order]) if order in PADS else _sign(x, y)
 
 
 def compare(eco: Column, left: Column, right: Column) -> Column:
     """-1, 0 or 1 by the order of the ecosystem (normalized), the generic one if it has none."""
-    out = None
-    for order in sorted(set(ORDERS.values())):
-        test = eco.isin([e for e, o in ORDERS.items() if o == order])
-        value = COMPARE[order](left, right)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(COMPARE["generic"](left, right))
+    return compare_keys(eco, key(eco, left), key(eco, right))
 
 
-def affected(eco: Column, version: Column, events: Column) -> Column:
-    """struct(hit, bad): whether events (array of struct introduced, fixed, last_affected) put a version in
-    range, and whether a version on the way is malformed.
+def steps(eco: Column, events: Column) -> Column:
+    """Events (array of struct introduced, fixed, last_affected) as steps of kind, whether from "0" on, and key.
 
-    Of an event introduced is taken first, then fixed, then last_affected; "0" introduces all.
+    Of an event introduced is taken first, then fixed, then last_affected.
     """
     kinds = ("introduced", "fixed", "last_affected")
-    steps = F.flatten(F.transform(events, lambda e: F.filter(F.array(*[F.struct(F.lit(k).alias("k"), e[k].alias("v")) for k in kinds]), lambda s: s["v"].isNotNull())))
-    told = F.transform(steps, lambda s: F.struct(s["k"].alias("k"), (s["v"] == "0").alias("zero"), compare(eco, version, s["v"]).alias("c")))
+    each = F.flatten(F.transform(events, lambda e: F.filter(F.array(*[F.struct(F.lit(k).alias("k"), e[k].alias("v")) for k in kinds]), lambda s: s["v"].isNotNull())))
+    return F.transform(each, lambda s: F.struct(s["k"].alias("k"), (s["v"] == "0").alias("zero"), key(eco, s["v"]).alias("key")))
+
+
+def affected(eco: Column, version: Column, steps: Column) -> Column:
+    """struct(hit, bad): whether steps put the version of a key in range, and whether a version on the
+    way is malformed; "0" introduces all."""
+    told = F.transform(steps, lambda s: F.struct(s["k"].alias("k"), s["zero"].alias("zero"), compare_keys(eco, version, s["key"]).alias("c")))
     zero = F.struct(F.lit(False).alias("active"), F.lit(False).alias("hit"), F.lit(False).alias("bad"))
 
     def step(acc: Column, s: Column) -> Column:

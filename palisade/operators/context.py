@@ -43,12 +43,13 @@ def context_matches(lines: DataFrame, rules: list[ContextRule] | None = None, un
         own = F.array(*[F.get(F.col("__c"), F.lit(distinct.index(p))) for p in r.patterns])
         tests.append(F.when(F.col(f"__g{globs.index(r.globs)}") & F.array_contains(own, True), F.struct(F.lit(n).alias("rule"), F.filter(F.transform(own, lambda h, i: F.when(h, i)), lambda i: i.isNotNull()).alias("parts"))))
     hits = out.select(*unit, "line", "content", F.explode(F.array_compact(F.array(*tests))).alias("h")).select(*unit, "line", "content", "h.rule", "h.parts")
-    groups = hits.groupBy(*unit, "rule").agg(F.array_sort(F.collect_list(F.struct("line", "parts", "content"))).alias("ls"))
+    groups = hits.groupBy(*unit, "rule").agg(F.array_sort(F.collect_list(F.struct("line", "parts", F.when(F.array_contains("parts", 0), F.col("content")).alias("content")))).alias("ls"))
     spans, counts = F.array(*[F.lit(r.span) for r in rules]), F.array(*[F.lit(len(r.patterns)) for r in rules])
     groups = groups.withColumn("__span", F.get(spans, F.col("rule"))).withColumn("__n", F.get(counts, F.col("rule")))
 
-    def sequence(anchor: Column) -> Column:
-        """Lines of the further patterns after an anchor, in order; fewer if one is missing."""
+    def sequence(anchor: Column, at: Column) -> Column:
+        """Lines of the further patterns after the anchor at a place, in order; fewer if one is missing.
+        No more lines than the span can follow within it."""
         zero = F.struct(anchor["line"].alias("at"), F.array().cast("array<int>").alias("got"))
 
         def step(acc: Column, x: Column) -> Column:
@@ -56,10 +57,10 @@ def context_matches(lines: DataFrame, rules: list[ContextRule] | None = None, un
             fits = (x["line"] > acc["at"]) & (x["line"] - anchor["line"] <= F.col("__span")) & (want < F.col("__n")) & F.array_contains(x["parts"], want)
             return F.when(fits, F.struct(x["line"].alias("at"), F.concat(acc["got"], F.array(x["line"].cast("int"))).alias("got"))).otherwise(acc)
 
-        return F.aggregate("ls", zero, step, lambda acc: acc["got"])
+        return F.aggregate(F.slice("ls", at + 2, F.col("__span")), zero, step, lambda acc: acc["got"])
 
-    anchors = F.filter("ls", lambda x: F.array_contains(x["parts"], 0))
-    each = F.transform(anchors, lambda a: F.struct(sequence(a).alias("got"), a["line"].alias("line"), a["content"].alias("content")))
+    starts = lambda x: F.array_contains(x["parts"], 0)
+    each = F.filter(F.transform("ls", lambda a, i: F.when(starts(a), F.struct(sequence(a, i).alias("got"), a["line"].alias("line"), a["content"].alias("content")))), lambda m: m.isNotNull())
     found = groups.select(*unit, "rule", "__n", F.explode(F.array(each)).alias("e")).select(*unit, "rule", "__n", F.explode("e").alias("m")).where(F.size("m.got") == F.col("__n") - 1)
     first = found.groupBy(*unit, "rule", F.col("m.got").alias("got")).agg(F.min(F.struct("m.line", "m.content")).alias("a"))
     table = lines.sparkSession.createDataFrame([(n, r.rule_id, r.name, r.severity, rx.java(r.patterns[0], True)) for n, r in enumerate(rules)], "rule int, rule_id string, pattern_name string, severity string, anchor string")

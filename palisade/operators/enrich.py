@@ -48,13 +48,18 @@ def intelligence(cves: DataFrame, epss: DataFrame, kev: DataFrame, ssvc: DataFra
     return out.withColumn("in_kev", F.coalesce("in_kev", F.lit(False))).withColumn("ransomware", F.coalesce("ransomware", F.lit("not_evaluable")))
 
 
-def exploitation_policy(report: DataFrame, max_epss: float = 0.5, deny_kev: bool = True, deny_ransomware: bool = True) -> DataFrame:
-    """(cve_id, epss_check, kev_check, ransomware_check, status): failed outweighs not_evaluable, that passed."""
-    e = F.when(F.col("epss").isNull(), "not_evaluable").when(F.col("epss") >= max_epss, "failed").otherwise("passed")
-    k = F.when(F.col("in_kev") & F.lit(deny_kev), "failed").otherwise("passed")
-    r = F.when(F.col("ransomware") == "not_evaluable", "not_evaluable").when((F.col("ransomware") == "known") & F.lit(deny_ransomware), "failed").otherwise("passed")
-    out = report.select("cve_id", e.alias("epss_check"), k.alias("kev_check"), r.alias("ransomware_check"))
-    each = F.array("epss_check", "kev_check", "ransomware_check")
+def exploitation_policy(report: DataFrame, epss_fail: float = 0.10, fail_on_ransomware: bool = True) -> DataFrame:
+    """(cve_id, ransomware_check, epss_check, ssvc_check, status): failed outweighs not_evaluable, that passed.
+
+    A known ransomware campaign fails; so does a score at the threshold or above, and one that is
+    missing cannot be evaluated. SSVC records (column ssvc_complete, if there is one) state no
+    decision of their own, so the check passes only where all are marked complete.
+    """
+    r = F.when((F.col("ransomware") == "known") & F.lit(fail_on_ransomware), "failed").otherwise("passed")
+    e = F.when(F.col("epss").isNull(), "not_evaluable").when(F.col("epss") >= epss_fail, "failed").otherwise("passed")
+    s = F.when(F.coalesce(F.col("ssvc_complete") if "ssvc_complete" in report.columns else F.lit(False), F.lit(False)), "passed").otherwise("not_evaluable")
+    out = report.select("cve_id", r.alias("ransomware_check"), e.alias("epss_check"), s.alias("ssvc_check"))
+    each = F.array("ransomware_check", "epss_check", "ssvc_check")
     return out.withColumn("status", F.when(F.array_contains(each, "failed"), "failed").when(F.array_contains(each, "not_evaluable"), "not_evaluable").otherwise("passed"))
 
 

@@ -99,20 +99,25 @@ def baseline_counters(found: DataFrame, baseline: DataFrame) -> DataFrame:
     return out.withColumn("stale", F.col("total") - F.col("matched"))
 
 
-def summary(found: DataFrame, changes: DataFrame | None = None, fail_on: str = "low", warn_on: str = "low") -> DataFrame:
-    """One row of counts by severity and type, failing and warning ones, and the exit code."""
+def summary(found: DataFrame, changes: DataFrame | None = None, fail_on: str = "low", warn_on: str = "low", rejected: DataFrame | None = None) -> DataFrame:
+    """One row of counts by severity and type, failing and warning ones, and the exit code: 1 with a
+    failing secret, 2 with another failing finding, 3 without either if lines were rejected, else 0."""
     rows = found.select("type", "severity")
     if changes is not None:
         rows = rows.unionByName(changes.select(F.lit("config").alias("type"), "severity"))
     r, fail, warn = rank(F.col("severity")), SEVERITIES.index(fail_on), SEVERITIES.index(warn_on)
     failing = lambda t: F.coalesce(F.max((F.col("type") == t) & (r >= fail)), F.lit(False))
-    return rows.agg(
+    out = rows.agg(
         F.count("*").alias("total_findings"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in reversed(SEVERITIES)],
         *[F.count_if(F.col("type") == t).alias(f"{t}_findings") for t in ("secret", "policy", "config")],
         F.count_if(r >= fail).alias("failing"), F.count_if((r >= warn) & (r < fail)).alias("warning"),
         F.when(failing("secret"), 1).when(failing("policy") | failing("config"), 2).otherwise(0).alias("exit_code"),
     )
+    if rejected is None:
+        return out
+    out = out.crossJoin(rejected.agg(F.count("*").alias("rejected_lines")))  # one row each
+    return out.withColumn("exit_code", F.when((F.col("exit_code") == 0) & (F.col("rejected_lines") > 0), 3).otherwise(F.col("exit_code")))
 
 
 def first_seen(found: DataFrame, order: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.tables import materialize, running
+
 
 def confusion(cases: DataFrame, by: list[str] = ()) -> DataFrame:
     """tp, fp, fn and tn of (expected, observed) cases."""
@@ -26,11 +28,19 @@ def nearest_rank(values: Column, percent: int) -> Column:
 
 
 def percentiles(df: DataFrame, value: str, percents: tuple[int, ...], by: list[str] = ()) -> DataFrame:
-    """Nearest-rank percentiles of a column from its distinct values' counts, so that no group's
-    values meet in one task."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = n.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))
+    """Nearest-rank percentiles of a column from running counts of its distinct values, dealt in
+    ranges, so that no group's values meet in one task. Null values are left out."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    upto = materialize(running(n, list(by), value, "n"), "upto")
+    total = upto.groupBy(*by).agg(F.max("upto").alias("total"))
+    if by:
+        total = total.toDF(*[f"__{c}" for c in by], "total")
+        on = F.lit(True)
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        upto = upto.join(total, on).drop(*[f"__{c}" for c in by])
+    else:
+        upto = upto.crossJoin(F.broadcast(total))  # one row
     return upto.groupBy(*by).agg(*[F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col(value))).alias(f"p{p}") for p in percents])
 
 

@@ -24,12 +24,19 @@ SPAN = "array<struct<start:int,negative:int,order:int,text:string,end:int>>"
 def file_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, line, content, too_long): lines from 1, of whole texts; carriage returns stay.
 
-    A null text has no lines; a line over MAX_LINE_CHARS is marked, not scanned.
+    A null text has no lines; a line over MAX_LINE_CHARS is marked: ``matches`` leaves it out and
+    ``rejected`` reports it.
     """
     split = files.select(F.col(path).alias("path"), F.posexplode(F.split(text, "\n", -1)).alias("at", "content"))
     return split.select("path", (F.col("at") + 1).alias("line"), "content", (F.char_length("content") > MAX_LINE_CHARS).alias("too_long"))
 
 
+def rejected(lines: DataFrame) -> DataFrame:
+    """(path, line, n_chars, reason) of the lines that the scan leaves out, which makes its result incomplete."""
+    n = F.char_length("content")
+    return lines.where(n > MAX_LINE_CHARS).select("path", "line", n.alias("n_chars"), F.lit("line-exceeds-limit").alias("reason"))
+
+
 def _spans(line: Column, pattern: Column) -> Column:
     """All matches of a pattern as structs of start, end and text, in characters."""
     found, between = F.regexp_extract_all(line, pattern, F.lit(0)), F.split(line, pattern, -1)
@@ -97,7 +104,7 @@ def matches(lines: DataFrame, rules: list[Rule] | None = None, first_only: bool
     rules = [Rule(**{**r.__dict__, "order": i}) for i, r in enumerate(rules)]
     globs = list(dict.fromkeys(r.globs for r in rules if r.globs))
     path = rx.normal_path(F.col("path"))
-    out = lines.where(~F.col("too_long")) if "too_long" in lines.columns else lines
+    out = lines.where(F.char_length("content") <= MAX_LINE_CHARS)
     out = out.withColumn("__path", path).withColumn("__low", rx.folded(F.col("content")))
     for i, g in enumerate(globs):
         out = out.withColumn(f"__g{i}", rx.any_glob(F.col("__path"), g, relaxed=not first_only))

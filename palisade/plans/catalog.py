@@ -155,9 +155,11 @@ def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT count(*) AS total_findings, CAST(0 AS BIGINT) AS critical, CAST(0 AS BIGINT) AS high, count(*) AS medium, CAST(0 AS BIGINT) AS low, count(*) AS secret_findings, CAST(0 AS BIGINT) AS policy_findings,
-CAST(0 AS BIGINT) AS config_findings, count(*) AS failing, CAST(0 AS BIGINT) AS warning, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code FROM ({_HITS})""")
+CAST(0 AS BIGINT) AS config_findings, count(*) AS failing, CAST(0 AS BIGINT) AS warning, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code,
+(SELECT count(*) FROM ({_lines('documents', _DOC, 'text')}) WHERE length(content) > 262144) AS rejected_lines FROM ({_HITS})""")
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.summary(found(spark, sf_dir))
+    lines = scan.file_lines(documents(spark, sf_dir))
+    return policy.summary(scan.findings(lines), rejected=scan.rejected(lines))
 
 
 _CTX = [ContextRule("CRT-AI-900", "ORDERED_WORDS", "high", 3, (r"\bthe\b", r"\btoken\s*="), ()), ContextRule("CRT-AI-901", "ORDERED_MORE", "low", 2, (r"^licensed", r"\bof\b"), ())]
@@ -214,22 +216,53 @@ _RANGE = "[c.a, c.b, c.c] >= [a.lo, 0, 0] AND [c.a, c.b, c.c] < [a.hi, a.fb, 0]"
 _MATCH = f"SELECT c.p_partkey, a.advisory_id, CASE WHEN c.version = '19.6.2' THEN 'exact-version' ELSE 'ecosystem-range' END AS method FROM ({_COMPONENTS}) c JOIN ({_ADVISORIES}) a ON lower(c.name) = lower(a.name) WHERE NOT a.gone AND (c.version = '19.6.2' OR ({_RANGE}))"
 
 
-def _vuln_query(eco: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = vuln.match(components(spark, sf_dir, eco), packages(spark, sf_dir, eco))
-        return m.select(F.regexp_extract("component_purl", "@([0-9]+)$", 1).cast("long").alias("p_partkey"), "advisory_id", "method")
-
-    run.__name__ = f"vuln_match_{eco}"
-    return run
+#: Of each ecosystem the ends that versions take in turn and where they stand among those of one release
+#: (0 is least), and what begins every eleventh version (an epoch) or every second (a letter).
+_ENDS = {
+    "npm": ((("-alpha", 0), ("-alpha.1", 1), ("-beta", 2), ("", 3), ("+b7", 3)), ""),
+    "pypi": (((".dev1", 0), ("a1", 1), ("rc2", 2), ("", 3), (".post1", 4)), "1!"),
+    "golang": ((("-0.2020", 0), ("-alpha", 1), ("-rc1", 2), ("", 3), ("+incompatible", 3)), "v"),
+    "maven": ((("-alpha", 0), ("-rc", 1), ("-SNAPSHOT", 2), ("", 3), ("-sp", 4)), ""),
+    "nuget": ((("-alpha", 0), ("-Beta", 1), ("-rc.1", 2), ("", 3), (".0", 3)), ""),
+    "rubygems": (((".a", 0), (".pre", 1), (".pre.1", 2), ("", 3), (".0", 3)), ""),
+    "composer": ((("-dev", 0), ("-alpha", 1), ("-RC1", 2), ("", 3), ("-p1", 4)), ""),
+    "debian": ((("~rc1", 0), ("^git1", 1), ("", 2), ("a", 3), ("-1", 4)), "1:"),
+    "rpm": ((("~beta", 0), ("^1", 1), ("", 2), ("b", 3), ("+1", 4)), "1:"),
+    "alpine": ((("~1", 0), ("", 1), ("_alpha", 2), ("-r1", 3), ("_rc1", 4)), "1:"),
+    "crates.io": ((("", 0), ("-0", 1), ("-1", 2), ("-alpha", 3), (".beta", 4)), ""),
+}
+
+
+def _vuln_query(eco: str) -> tuple[Query, str]:
+    """Matches under an ecosystem's order, and SQL that compares lists of numbers instead of versions."""
+    ends, begin = _ENDS[eco]
+    every = 2 if begin == "v" else 11
 
-
-for _eco in ("npm", "pypi", "golang", "maven", "nuget", "rubygems", "composer", "debian", "rpm", "alpine", "crates.io"):
-    if _eco == "crates.io":
-        _f = _vuln_query(_eco)
-        _f.__name__ = "vuln_match_generic"
-    else:
-        _f = _vuln_query(_eco)
-    query(_MATCH)(_f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        k, s = F.col("p_partkey"), F.col("s_suppkey")
+        end = lambda i: F.get(F.array(*[F.lit(x) for x, _ in ends]), (i % 5).cast("int"))
+        plain = F.concat_ws(".", F.col("p_size") % 20, k % 7, k % 3)
+        version = F.concat(F.when(k % every == 0, begin).otherwise(""), plain, end(k))
+        c = table(spark, sf_dir, "part").select(k, F.lit(eco).alias("ecosystem"), F.col("p_brand").alias("name"), version.alias("version"), F.concat(F.lit("pkg:generic/p@"), k.cast("string")).alias("purl"), F.lit("lock").alias("manifest_path"))
+        p = packages(spark, sf_dir, eco).drop("ranges").join(table(spark, sf_dir, "supplier").select(F.concat(F.lit("ADV-"), s.cast("string")).alias("advisory_id"), s), "advisory_id")
+        event = lambda i, f: F.struct(i.alias("introduced"), f.alias("fixed"), F.lit(None).cast("string").alias("last_affected"))
+        none = F.lit(None).cast("string")
+        ranges = F.array(F.array(event(F.concat((s % 12).cast("string"), F.lit(".0.0")), none), event(none, F.concat(F.concat_ws(".", s % 12 + 3, s % 6, F.lit(0)), end(s)))))
+        return vuln.match(c, p.withColumn("ranges", ranges).drop("s_suppkey")).select(F.regexp_extract("component_purl", "@([0-9]+)$", 1).cast("long").alias("p_partkey"), "advisory_id", "method")
+
+    texts, ranks = str([x for x, _ in ends]), str([r for _, r in ends])
+    epoch = f"CASE WHEN p_partkey % {every} = 0 THEN 1 ELSE 0 END" if begin not in ("", "v") else "0"
+    sql = f"""WITH c AS (SELECT p_partkey, p_brand AS name, CASE WHEN p_partkey % {every} = 0 THEN '{begin}' ELSE '' END || (p_size % 20) || '.' || (p_partkey % 7) || '.' || (p_partkey % 3) || {texts}[1 + p_partkey % 5] AS version,
+[{epoch}, p_size % 20, p_partkey % 7, p_partkey % 3, {ranks}[1 + p_partkey % 5]] AS k FROM part),
+a AS (SELECT 'ADV-' || s_suppkey AS advisory_id, 'Brand#' || (1 + s_suppkey % 5) || (1 + s_suppkey % 3) AS name, [0, s_suppkey % 12, 0, 0, {dict(ends)[""]}] AS lo, [0, s_suppkey % 12 + 3, s_suppkey % 6, 0, {ranks}[1 + s_suppkey % 5]] AS hi FROM supplier WHERE s_suppkey % 10 <> 9)
+SELECT c.p_partkey, a.advisory_id, CASE WHEN c.version = '19.6.2' THEN 'exact-version' ELSE 'ecosystem-range' END AS method FROM c JOIN a ON lower(c.name) = lower(a.name) WHERE c.version = '19.6.2' OR (c.k >= a.lo AND c.k < a.hi)"""
+    run.__name__ = f"vuln_match_{'generic' if eco == 'crates.io' else eco}"
+    return run, sql
+
+
+for _eco in _ENDS:
+    _f, _sql = _vuln_query(_eco)
+    query(_sql)(_f)
 
 
 @query(f"""WITH m AS ({_MATCH}) SELECT c.p_partkey, CASE WHEN n.k > 0 THEN 'affected' ELSE 'not_affected' END AS status, coalesce(n.k, 0) AS matches
@@ -333,10 +366,10 @@ def _intelligence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.intelligence(c.select("cve_id"), epss, kev, ssvc)
 
 
-@query(f"""SELECT c.cve_id, CASE WHEN e.epss >= 0.5 OR k.cve_id IS NOT NULL THEN 'failed' WHEN e.epss IS NULL OR k.cve_id IS NULL THEN 'not_evaluable' ELSE 'passed' END AS status
+@query(f"""SELECT c.cve_id, CASE WHEN e.epss >= 0.1 OR k.ransomware = 'known' THEN 'failed' ELSE 'not_evaluable' END AS status, CASE WHEN e.epss IS NULL THEN 'not_evaluable' WHEN e.epss >= 0.1 THEN 'failed' ELSE 'passed' END AS epss_check
 FROM (SELECT 'CVE-' || c_custkey AS cve_id FROM customer) c LEFT JOIN ({_EPSS}) e USING (cve_id) LEFT JOIN ({_KEV}) k USING (cve_id)""")
 def exploitation_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.exploitation_policy(_intelligence(spark, sf_dir)).select("cve_id", "status")
+    return enrich.exploitation_policy(_intelligence(spark, sf_dir)).select("cve_id", "status", "epss_check")
 
 
 @query(f"SELECT 'CVE-' || s_suppkey AS cve_id, CASE WHEN count(DISTINCT advisory_id) = 0 THEN 'advisory-not-found' ELSE 'advisory-ambiguous' END AS reason FROM supplier LEFT JOIN ({_INDEX}) ON alias = 'CVE-' || s_suppkey GROUP BY s_suppkey HAVING count(DISTINCT advisory_id) <> 1")
