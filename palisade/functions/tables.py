@@ -4,11 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_built: dict[tuple, object] = {}
+
+
+def built(key: tuple, make: Callable[[], object]) -> object:
+    """What make builds, kept for the running application: a large expression over fixed column names
+    takes seconds to build node by node, and is the same in every plan."""
+    own = (SparkContext._active_spark_context.applicationId, *key)
+    if own not in _built:
+        if len(_built) > 200:
+            _built.clear()
+        _built[own] = make()
+    return _built[own]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

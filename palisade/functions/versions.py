@@ -173,25 +173,31 @@ PADS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _by_order(eco: Column, of: Callable[[str], Column]) -> Column:
-    """of(order) by the order of the ecosystem (normalized), the generic one if it has none."""
+def orders_of(ecosystems: set[str]) -> frozenset[str]:
+    """The orders that some ecosystems (normalized) have, beside the generic one."""
+    return frozenset(ORDERS[e] for e in ecosystems if e in ORDERS)
+
+
+def _by_order(eco: Column, of: Callable[[str], Column], only: frozenset[str] | None = None) -> Column:
+    """of(order) by the order of the ecosystem (normalized), the generic one if it has none; with only
+    just those orders are told apart, as no other ecosystem occurs."""
     out = None
-    for order in sorted(set(ORDERS.values())):
+    for order in sorted(set(ORDERS.values()) if only is None else only):
         test = eco.isin([e for e, o in ORDERS.items() if o == order])
         out = F.when(test, of(order)) if out is None else out.when(test, of(order))
-    return out.otherwise(of("generic"))
+    return of("generic") if out is None else out.otherwise(of("generic"))
 
 
-def key(eco: Column, version: Column) -> Column:
+def key(eco: Column, version: Column, only: frozenset[str] | None = None) -> Column:
     """The tokens of a version under its ecosystem's order, null if it is malformed."""
-    return _by_order(eco, lambda order: KEYS[order](version).cast(KEY))
+    return _by_order(eco, lambda order: KEYS[order](version).cast(KEY), only)
 
 
-def compare_keys(eco: Column, left: Column, right: Column) -> Column:
+def compare_keys(eco: Column, left: Column, right: Column, only: frozenset[str] | None = None) -> Column:
     """-1, 0 or 1 of two keys of an ecosystem, null if one is."""
     first = lambda k: F.get(k, F.lit(0))
     either = left.isNotNull() & right.isNotNull()
-    return F.when(either, _by_order(eco, lambda order: _padded(first(left), first(right), PADS[order]) if order in PADS else _sign(left, right)))
+    return F.when(either, _by_order(eco, lambda order: _padded(first(left), first(right), PADS[order]) if order in PADS else _sign(left, right), only))
 
 
 def compare_as(order: str, left: Column, right: Column) -> Column:
@@ -205,20 +211,20 @@ def compare(eco: Column, left: Column, right: Column) -> Column:
     return compare_keys(eco, key(eco, left), key(eco, right))
 
 
-def steps(eco: Column, events: Column) -> Column:
+def steps(eco: Column, events: Column, only: frozenset[str] | None = None) -> Column:
     """Events (array of struct introduced, fixed, last_affected) as steps of kind, whether from "0" on, and key.
 
     Of an event introduced is taken first, then fixed, then last_affected.
     """
     kinds = ("introduced", "fixed", "last_affected")
     each = F.flatten(F.transform(events, lambda e: F.filter(F.array(*[F.struct(F.lit(k).alias("k"), e[k].alias("v")) for k in kinds]), lambda s: s["v"].isNotNull())))
-    return F.transform(each, lambda s: F.struct(s["k"].alias("k"), (s["v"] == "0").alias("zero"), key(eco, s["v"]).alias("key")))
+    return F.transform(each, lambda s: F.struct(s["k"].alias("k"), (s["v"] == "0").alias("zero"), key(eco, s["v"], only).alias("key")))
 
 
-def affected(eco: Column, version: Column, steps: Column) -> Column:
+def affected(eco: Column, version: Column, steps: Column, only: frozenset[str] | None = None) -> Column:
     """struct(hit, bad): whether steps put the version of a key in range, and whether a version on the
     way is malformed; "0" introduces all."""
-    told = F.transform(steps, lambda s: F.struct(s["k"].alias("k"), s["zero"].alias("zero"), compare_keys(eco, version, s["key"]).alias("c")))
+    told = F.transform(steps, lambda s: F.struct(s["k"].alias("k"), s["zero"].alias("zero"), compare_keys(eco, version, s["key"], only).alias("c")))
     zero = F.struct(F.lit(False).alias("active"), F.lit(False).alias("hit"), F.lit(False).alias("bad"))
 
     def step(acc: Column, s: Column) -> Column:

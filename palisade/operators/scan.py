@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from palisade.functions import regexdialect as rx
 from palisade.functions.paths import normal
 from palisade.functions.registry import ASSIGNED, GENERIC, SEVERITIES, Rule, builtin_rules
+from palisade.functions.tables import built
 
 MAX_LINE_CHARS = 256 * 1024
 #: The first part of every finding's fingerprint.
@@ -109,7 +110,16 @@ def matches(lines: DataFrame, rules: list[Rule] | None = None, first_only: bool
     for i, g in enumerate(globs):
         out = out.withColumn(f"__g{i}", rx.any_glob(F.col("__path"), g, relaxed=not first_only))
     gates = {g: F.col(f"__g{i}") for i, g in enumerate(globs)}
-    out = _once(out, "__hits", rule_hits(F.col("content"), F.col("__low"), gates, rules)).where(F.size("__hits") > 0)
+    name = (tuple(rules), first_only, resolved)
+    out = _once(out, "__hits", built(("hits", name), lambda: rule_hits(F.col("content"), F.col("__low"), gates, rules))).where(F.size("__hits") > 0)
+    out = _once(out, "__all", built(("all", name), lambda: _all_spans(rules, first_only)))
+    kept = built(("kept", name), lambda: resolve(F.col("__all"), rules)) if resolved and not first_only else F.col("__all")
+    out = out.withColumn("__m", F.explode(kept))
+    return out.select(*lines.columns, F.col("__m.start").alias("start"), F.col("__m.order").alias("order"), F.col("__m.text").alias("text"))
+
+
+def _all_spans(rules: list[Rule], first_only: bool) -> Column:
+    """Spans of the rules in __hits, checked; with first_only those of the older way."""
     patterns = F.array(*[F.lit(rx.java(r.regex, r.ignore_case)) for r in rules])
     each = F.flatten(
         F.transform("__hits", lambda h: F.transform(
@@ -127,10 +137,7 @@ def matches(lines: DataFrame, rules: list[Rule] | None = None, first_only: bool
         generic = F.array(*[F.lit(r.name in GENERIC) for r in rules])
         some = F.exists(each, lambda s: F.get(vendor, s["order"]))
         each = F.filter(each, lambda s: ~(some & F.get(generic, s["order"])))
-    out = _once(out, "__all", each)
-    kept = resolve(F.col("__all"), rules) if resolved and not first_only else F.col("__all")
-    out = out.withColumn("__m", F.explode(kept))
-    return out.select(*lines.columns, F.col("__m.start").alias("start"), F.col("__m.order").alias("order"), F.col("__m.text").alias("text"))
+    return each
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import versions
 from palisade.functions.paths import normal
+from palisade.functions.tables import built
 
 #: First parts of the digests of advisories, components, occurrences and matches.
 SPACES = {k: f"palisade-{k}-v1" for k in ("source-record", "advisory", "component", "dependency-occurrence", "vulnerability-occurrence")}
@@ -39,15 +40,17 @@ def match(components: DataFrame, packages: DataFrame) -> DataFrame:
     Components without a version and withdrawn advisories match nothing.
     """
     eco, name = versions.ecosystem(F.col("ecosystem")), F.lower(F.trim("name"))
+    # expressions are built for the orders that occur among the packages, of which there are a few
+    only = versions.orders_of({r[0] for r in packages.where("withdrawn is null").select(eco).distinct().collect()})
     # versions are taken apart once for each component and event, not for each pair; the generators keep that on their side of the join
     c = components.where(F.coalesce("version", F.lit("")) != "").withColumn("ecosystem", eco).withColumn("name", name)
-    c = c.select("*", F.explode(F.array(versions.key(F.col("ecosystem"), F.col("version")))).alias("__key"))
+    c = c.select("*", F.explode(F.array(built(("key", only), lambda: versions.key(F.col("ecosystem"), F.col("version"), only)))).alias("__key"))
     p = packages.where("withdrawn is null").select("advisory_id", eco.alias("ecosystem"), F.lower("name").alias("name"), "aliases", "source", "versions", "ranges")
-    p = p.select("*", F.explode(F.array(F.transform("ranges", lambda r: versions.steps(F.col("ecosystem"), r)))).alias("__steps"))
+    p = p.select("*", F.explode(F.array(built(("steps", only), lambda: F.transform("ranges", lambda r: versions.steps(F.col("ecosystem"), r, only))))).alias("__steps"))
     purl = F.coalesce("purl", F.concat(F.lit("pkg:"), F.col("ecosystem"), F.lit("/"), F.col("name"), F.lit("@"), F.col("version")))
     j = c.join(p, ["ecosystem", "name"]).withColumn("purl", purl)
     exact = F.array_contains(F.coalesce("versions", F.array().cast("array<string>")), F.col("version"))
-    told = F.transform("__steps", lambda r: versions.affected(F.col("ecosystem"), F.col("__key"), r))
+    told = built(("told", only), lambda: F.transform("__steps", lambda r: versions.affected(F.col("ecosystem"), F.col("__key"), r, only)))
     j = j.select("*", exact.alias("exact"), F.explode(F.array(told)).alias("told"))
     hit = F.exists("told", lambda t: t["hit"])
     bad = F.exists("told", lambda t: t["bad"])

@@ -357,7 +357,7 @@ def import_vulnrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("cve_id", "exploitation", "advisory_id")
 
 
-@query("SELECT 'CVE-2022-' || (1000 + s_suppkey) AS cve_id, '3.1' AS version, 5.0 + s_suppkey % 5 AS score, '2024-0' || (1 + s_suppkey % 2) AS modified, 'CWE-' || (s_suppkey % 30) AS cwe FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0")
+@query("SELECT 'CVE-2022-' || (1000 + s_suppkey) AS cve_id, '3.1' AS version, CAST(5 + s_suppkey % 5 AS DOUBLE) AS score, '2024-0' || (1 + s_suppkey % 2) AS modified, 'CWE-' || (s_suppkey % 30) AS cwe FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0")
 def import_nvd(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
 

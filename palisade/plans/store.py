@@ -351,7 +351,7 @@ def export_bundle(store: Store, snapshot_id: str, path: str) -> dict:
         Path(folder, "manifest.json").write_bytes(canonical({"schema": BUNDLE, "version": 1, "manifest": m}))
         with tarfile.open(path, "x:gz") as t:
             t.add(f"{folder}/manifest.json", "manifest.json")
-            t.add(f"{store.root}/{snapshot_id}", "snapshot", filter=lambda i: None if i.name.endswith(".crc") else i)
+            t.add(f"{store.root.removeprefix('file:')}/{snapshot_id}", "snapshot", filter=lambda i: None if i.name.endswith(".crc") else i)
     return m
 
 
