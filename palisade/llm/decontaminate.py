@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, materialize, maybe_broadcast, row_key, without
 
 BITS, BLOCKS = 64, 8
-#: Bits that a window's fingerprint may differ in; of eight blocks one then differs in at most two. Of 2,000
-#: windows of similarity 0.8 to 0.85 (tests) the greatest distance is below.
+#: Bits that a window's fingerprint may differ in; of eight blocks one then differs in at most two. The windows at and
+#: above the similarity of tests/llm/test_edges.py are all nearer.
 RADIUS = 23
 SHINGLE, SIMILARITY = 5, 0.8
 #: Weights of shingles are whole multiples of 1 / SCALE, and similarities are compared as whole numbers, so ties are exact.

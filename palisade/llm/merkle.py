@@ -22,7 +22,7 @@ from .common import materialize
 CUT = "(?<=[hnt\\p{P}\\p{S}])[ \\t]+"
 #: Rows of documents that a range of the order holds.
 RANGE_ROWS = 2000
-#: Rows of a document id, as shares of a range, from which on its rows are split by text.
+#: The least long.
 _LOW = -(1 << 63)
 
 

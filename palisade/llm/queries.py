@@ -70,4 +70,4 @@ QUERIES: dict[str, Query] = {
 }
 
 #: Hashes, models and components of the others have no counterpart in DuckDB.
-ORACLE: dict[str, str] = {"op5_license_scan": licenses.duckdb_sql()}
+ORACLE: dict[str, str] = {"op5_license_scan": licenses.duckdb_sql(), "op8_url_filter": urlfilter.duckdb_sql()}

@@ -139,6 +139,16 @@ def test_every_form_of_link(spark):
     ]
     got = {x.page_id: x.verdict for x in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert {k for k, v in got.items() if v == "block"} == {0, *range(1, len(forms) + 1), 60, 61, 62, 63}
+    assert got == {k: v for k, *_, v in sql_rows(urlfilter.duckdb_sql(), pages)}
+
+
+def sql_rows(sql, pages):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    return con.execute(sql).fetchall()
 
 
 def test_components_of_urls_by_brute_force(spark):
