@@ -120,6 +120,8 @@ def test_languages_of_marks_and_long_words(spark):
     by = {x.doc_id: x.lang_pred for x in got}
     assert [by[i] for i in (200, 201, 202, 203)] == ["hi", "hi", "el", "hi"] and len(got) == len(rows)
     assert langid.word_pattern().findall("पढ़ना, don't 12 naïve") == ["पढ़ना", "don", "t", "naïve"]
+    for text in ("Plain 1 two_three", "पढ़ना naïve² Ⅷx", "gothic 𐌰𐌱 x\U0001f600y", ""):
+        assert langid.words_of(text) == langid.word_pattern().findall(text.lower())
 
 
 def test_every_form_of_link(spark):
