@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chatformat, decontaminate, langid, licenses, merkle, mixing, pii, sharding, simhash, urlfilter
+from . import alignment, chatformat, decontaminate, langid, licenses, merkle, mixing, pii, sharding, simhash, tokenfiles, urlfilter, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,18 @@ def op10_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), kind="ends")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.written_digests(table(spark, sf_dir, "documents"), end_id=0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"), letters=6, least=5, every=199, times=5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_sampled_splitter_shards": op10_sampled_splitter_shards,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_token_files": op12_token_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Hashes, models and components of the others have no counterpart in DuckDB.
