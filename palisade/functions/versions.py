@@ -193,6 +193,91 @@ def key(eco: Column, version: Column, only: frozenset[str] | None = None) -> Col
     return _by_order(eco, lambda order: KEYS[order](version).cast(KEY), only)
 
 
+def _token_text(t: Column) -> Column:
+    """A token as text that orders as it does: kind, length and digits of the number, the string's end marked."""
+    n = t["n"].cast("string")
+    number = F.when(n.isNull(), F.lit("\x1f")).otherwise(F.concat(F.char(F.length(n) + 0x20), n))
+    return F.concat(F.char(t["a"] + 0x20), number, F.replace(t["s"], F.lit("\x00"), F.lit("\x00\x7f")), F.lit("\x00\x01"))
+
+
+def _plain_text(key: Column) -> Column:
+    """Arrays that compare as arrays do: a shorter one comes first."""
+    return F.array_join(F.transform(key, lambda part: F.concat(F.array_join(F.transform(part, lambda t: F.concat(F.lit("\x02"), _token_text(t))), ""), F.lit("\x01"))), "")
+
+
+def _filled_text(key: Column) -> Column:
+    """An array that counts as if followed by tokens (1, 0, "") without end.
+
+    Before each other token stands how many of those came since the last: if it is greater than they
+    are, fewer of them make the whole greater, else smaller.
+    """
+    pad = F.struct(F.lit(1).alias("a"), F.lit(0).cast(NUMBER).alias("n"), F.lit("").alias("s"))
+    zero = F.struct(F.lit(0).alias("k"), F.lit("").alias("out"))
+    digits = lambda k: F.lpad(k.cast("string"), 9, "0")
+
+    def step(acc: Column, t: Column) -> Column:
+        lead = F.when(t > pad, F.concat(F.lit("\x03"), digits(F.lit(999_999_999) - acc["k"]))).otherwise(F.concat(F.lit("\x01"), digits(acc["k"])))
+        more = F.struct(F.lit(0).alias("k"), F.concat(acc["out"], lead, _token_text(t)).alias("out"))
+        return F.when(t == pad, F.struct((acc["k"] + 1).alias("k"), acc["out"].alias("out"))).otherwise(more)
+
+    return F.aggregate(F.get(key, F.lit(0)), zero, step, lambda acc: F.concat(acc["out"], F.lit("\x02")))
+
+
+def _release_text(key: Column) -> Column:
+    """The leading numbers without zeros at their end. Versions that differ in them order as they do."""
+    part = F.get(key, F.lit(0))
+    upto = F.array_position(F.transform(part, lambda t: t["a"] == 2), False).cast("int")  # the first word, from 1
+    numbers = F.when(upto > 0, F.slice(part, F.lit(1), upto - 1)).otherwise(part)
+    last = F.array_max(F.transform(numbers, lambda t, i: F.when(t["n"] != 0, i + 1).otherwise(0)))
+    kept = F.slice(numbers, F.lit(1), F.coalesce(last, F.lit(0)).cast("int"))
+    return F.concat(F.array_join(F.transform(kept, lambda t: F.concat(F.lit("\x02"), _token_text(t))), ""), F.lit("\x01"))
+
+
+#: How an order's keys become sortable text. Maven's order, in which a missing token equals both a zero and a
+#: release while the two differ, has no such text of a whole version: that of its release numbers is coarse.
+TEXTS: dict[str, Callable[[Column], Column]] = {"maven": _release_text, "rubygems": _filled_text, "composer": _filled_text, "linux": _filled_text}
+#: Texts below and above that of any key.
+LOWEST, HIGHEST = "", "\U0010ffff"
+
+
+def sortable(eco: Column, key: Column, only: frozenset[str] | None = None) -> Column:
+    """A text of a key, by whose bytes keys of an ecosystem sort: if a's text is less than b's, a is less than b.
+
+    Under all orders but Maven's, keys of equal texts are equal. Null for a null key.
+    """
+    return F.when(key.isNotNull(), _by_order(eco, lambda order: TEXTS.get(order, _plain_text)(key), only))
+
+
+def intervals(eco: Column, steps: Column, only: frozenset[str] | None = None) -> Column:
+    """Of one range's steps the intervals (low, high), as sortable texts, outside which no version is in range.
+
+    A version is in range between an introduced step and the step right after it, if that closes, or above a last one. An
+    interval with a malformed end holds nothing; ends count as inside.
+    """
+    told = F.transform(steps, lambda s: F.struct((s["k"] == "introduced").alias("opens"), F.when(s["k"].eqNullSafe(F.lit("introduced")) & s["zero"], F.lit(LOWEST)).otherwise(sortable(eco, s["key"], only)).alias("at")))
+
+    def pair(s: Column, i: Column) -> Column:
+        after = F.get(told, i + 1)
+        high = F.when(i == F.size(told) - 1, F.lit(HIGHEST)).when(~after["opens"], after["at"])
+        return F.struct(F.when(s["opens"], s["at"]).alias("low"), high.alias("high"))
+
+    return F.filter(F.transform(told, pair), lambda x: x["low"].isNotNull() & x["high"].isNotNull() & (x["low"] <= x["high"]))
+
+
+def merged(spans: Column) -> Column:
+    """Intervals (low, high) joined where they meet, so that none overlaps another."""
+    kind = "array<struct<low:string,high:string>>"
+    zero = F.array().cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        wide = F.struct(last["low"].alias("low"), F.greatest(last["high"], x["high"]).alias("high"))
+        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wide))
+        return F.when((F.size(acc) > 0) & (x["low"] <= last["high"]), joined.cast(kind)).otherwise(F.concat(acc, F.array(x)).cast(kind))
+
+    return F.aggregate(F.array_sort(spans), zero, step)
+
+
 def compare_keys(eco: Column, left: Column, right: Column, only: frozenset[str] | None = None) -> Column:
     """-1, 0 or 1 of two keys of an ecosystem, null if one is."""
     first = lambda k: F.get(k, F.lit(0))

@@ -1,4 +1,4 @@
-"""Components against advisories: one equi-join, then versions and ranges."""
+"""Components against advisories: an interval join over sortable versions, then the ranges themselves."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from palisade.functions import versions
 from palisade.functions.paths import normal
-from palisade.functions.tables import built
+from palisade.functions.tables import built, materialize
+from palisade.operators import rangejoin
 
 #: First parts of the digests of advisories, components, occurrences and matches.
 SPACES = {k: f"palisade-{k}-v1" for k in ("source-record", "advisory", "component", "dependency-occurrence", "vulnerability-occurrence")}
@@ -30,6 +31,27 @@ def canonical_purl(purl: Column) -> Column:
     return F.concat(F.lower(head), version, F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(""), sub)
 
 
+def pairs(components: DataFrame, packages: DataFrame, only: frozenset[str]) -> DataFrame:
+    """(ecosystem, name, version, key, package) of distinct versions and packages that may match: by the list of
+    versions, by an interval of the ranges that holds the version, or by ranges that hold every version.
+
+    components: ecosystem, name, version, key; packages: package (an id), ecosystem, name, versions, steps. No other
+    pair of a name is looked at. A pair comes once from the list and once from the ranges at most.
+    """
+    own = ["ecosystem", "name"]
+    of = F.flatten(F.transform(F.filter("steps", lambda r: r.isNotNull()), lambda r: versions.intervals(F.col("ecosystem"), r, only)))
+    spans = packages.select("package", *own, F.explode(versions.merged(of)).alias("x")).select("package", *own, "x.low", "x.high")
+    spans = materialize(spans, "spans")
+    whole = (F.col("low") == versions.LOWEST) & (F.col("high") == versions.HIGHEST)
+    points = components.select(*own, "version", "key", versions.sortable(F.col("ecosystem"), F.col("key"), only).alias("at"))
+    listed = packages.select("package", *own, F.explode(F.array_distinct("versions")).alias("version"))
+    places = points.select(*own, "at").where("at is not null").distinct()
+    held = rangejoin.holding(places, spans.where(~whole), own, "at", "low", "high")
+    out = components.join(listed, [*own, "version"]).withColumn("listed", F.lit(True))
+    out = out.unionByName(points.join(held, [*own, "at"]).drop("at").withColumn("listed", F.lit(False)))
+    return out.unionByName(points.drop("at").join(spans.where(whole).drop("low", "high"), own).withColumn("listed", F.lit(False)))
+
+
 def match(components: DataFrame, packages: DataFrame) -> DataFrame:
     """Affected (component, advisory) pairs.
 
@@ -38,35 +60,41 @@ def match(components: DataFrame, packages: DataFrame) -> DataFrame:
     matches exactly, else the first range that holds it. ``bad_version`` marks pairs in which a
     version is malformed under the ecosystem's order; such a pair only matches by its list.
     Components without a version and withdrawn advisories match nothing.
+
+    Distinct versions meet packages through the ends of their intervals (see ``pairs``), so the pairs read are
+    about those found, whatever the number of a name's components and advisories.
     """
     eco, name = versions.ecosystem(F.col("ecosystem")), F.lower(F.trim("name"))
+    p = packages.where("withdrawn is null").select("advisory_id", eco.alias("ecosystem"), F.lower("name").alias("name"), "aliases", "source", F.coalesce("versions", F.array().cast("array<string>")).alias("versions"), "ranges")
     # expressions are built for the orders that occur among the packages, of which there are a few
-    only = versions.orders_of({r[0] for r in packages.where("withdrawn is null").select(eco).distinct().collect()})
-    # versions are taken apart once for each component and event, not for each pair; the generators keep that on their side of the join
+    only = versions.orders_of({r[0] for r in p.select("ecosystem").distinct().collect()})
+    # versions are taken apart once for each distinct one and each event, not for each pair
+    p = p.withColumn("steps", built(("steps", only), lambda: F.transform("ranges", lambda r: versions.steps(F.col("ecosystem"), r, only)))).withColumn("package", F.monotonically_increasing_id())
+    p = materialize(p, "packages")
     c = components.where(F.coalesce("version", F.lit("")) != "").withColumn("ecosystem", eco).withColumn("name", name)
-    c = c.select("*", F.explode(F.array(built(("key", only), lambda: versions.key(F.col("ecosystem"), F.col("version"), only)))).alias("__key"))
-    p = packages.where("withdrawn is null").select("advisory_id", eco.alias("ecosystem"), F.lower("name").alias("name"), "aliases", "source", "versions", "ranges")
-    p = p.select("*", F.explode(F.array(built(("steps", only), lambda: F.transform("ranges", lambda r: versions.steps(F.col("ecosystem"), r, only))))).alias("__steps"))
-    purl = F.coalesce("purl", F.concat(F.lit("pkg:"), F.col("ecosystem"), F.lit("/"), F.col("name"), F.lit("@"), F.col("version")))
-    j = c.join(p, ["ecosystem", "name"]).withColumn("purl", purl)
-    exact = F.array_contains(F.coalesce("versions", F.array().cast("array<string>")), F.col("version"))
-    told = built(("told", only), lambda: F.transform("__steps", lambda r: versions.affected(F.col("ecosystem"), F.col("__key"), r, only)))
-    j = j.select("*", exact.alias("exact"), F.explode(F.array(told)).alias("told"))
-    hit = F.exists("told", lambda t: t["hit"])
-    bad = F.exists("told", lambda t: t["bad"])
-    j = j.withColumn("bad_version", F.coalesce(bad, F.lit(False))).where(F.col("exact") | F.coalesce(hit, F.lit(False)) & ~F.col("bad_version"))
+    distinct = c.select("ecosystem", "name", "version").distinct().withColumn("key", built(("key", only), lambda: versions.key(F.col("ecosystem"), F.col("version"), only)))
+    distinct = materialize(distinct, "versions")
+    j = pairs(distinct, p.select("package", "ecosystem", "name", "versions", "steps"), only).join(p.drop("ecosystem", "name"), "package")
+    exact = F.array_contains("versions", F.col("version"))
+    told = built(("told", only), lambda: F.transform("steps", lambda r: versions.affected(F.col("ecosystem"), F.col("key"), r, only)))
+    j = j.where(F.col("listed") | ~exact).select("*", F.explode(F.array(told)).alias("told"))
+    hit = F.coalesce(F.exists("told", lambda t: t["hit"]), F.lit(False))
+    bad = F.coalesce(F.exists("told", lambda t: t["bad"]), F.lit(False))
+    j = j.withColumn("bad_version", bad).where(F.col("listed") | hit & ~F.col("bad_version"))
     fixed = F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten("ranges"), lambda e: e["fixed"]), lambda f: f.isNotNull())))
-    method = F.when(F.col("exact"), "exact-version").otherwise("ecosystem-range")
+    j = j.select("ecosystem", "name", "version", "advisory_id", "aliases", "source", "bad_version", F.when(F.col("listed"), "exact-version").otherwise("ecosystem-range").alias("method"), fixed.alias("fixed_versions"))
+    j = c.join(j, ["ecosystem", "name", "version"])
+    purl = F.coalesce("purl", F.concat(F.lit("pkg:"), F.col("ecosystem"), F.lit("/"), F.col("name"), F.lit("@"), F.col("version")))
     where = normal(F.coalesce("manifest_path", F.lit("__inventory__")))
-    can = canonical_purl(F.col("purl"))
+    can = canonical_purl(purl)
     fp = digest(
         SPACES["vulnerability-occurrence"], digest(SPACES["advisory"], F.col("advisory_id")), digest(SPACES["component"], can),
         digest(SPACES["dependency-occurrence"], can, where, ""),
     )
-    said = F.concat(F.lit("OSV "), F.col("advisory_id"), F.lit(" matched "), F.col("ecosystem"), F.lit("/"), F.col("name"), F.lit(" version "), F.col("version"), F.lit(" by "), method, F.lit("; fixed versions: "), F.when(F.size(fixed) > 0, F.array_join(fixed, ", ")).otherwise("unknown"))
+    said = F.concat(F.lit("OSV "), F.col("advisory_id"), F.lit(" matched "), F.col("ecosystem"), F.lit("/"), F.col("name"), F.lit(" version "), F.col("version"), F.lit(" by "), F.col("method"), F.lit("; fixed versions: "), F.when(F.size("fixed_versions") > 0, F.array_join("fixed_versions", ", ")).otherwise("unknown"))
     return j.select(
-        fp.alias("fingerprint"), "advisory_id", "aliases", F.col("purl").alias("component_purl"), "ecosystem", "name", "version", "manifest_path",
-        F.lit("affected").alias("status"), method.alias("method"), F.lit("high").alias("confidence"), fixed.alias("fixed_versions"), said.alias("explanation"), "source", "bad_version",
+        fp.alias("fingerprint"), "advisory_id", "aliases", purl.alias("component_purl"), "ecosystem", "name", "version", "manifest_path",
+        F.lit("affected").alias("status"), "method", F.lit("high").alias("confidence"), "fixed_versions", said.alias("explanation"), "source", "bad_version",
     )
 
 
