@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from palisade.functions import catalogs, control
 from palisade.functions.safefile import read_regular, write_private
 from palisade.operators import inventory, lifecycle, policy
-from palisade.plans import baselines, packs, reports, scans, store, vulnreports
+from palisade.plans import baselines, packs, reports, scans, store, updates, vulnreports
 from palisade.sources import fetch, git, gitleaks, sbom, statements
 
 DIFF_BYTES = 4 << 20
@@ -122,8 +122,7 @@ def _scan(a: argparse.Namespace, spark: SparkSession) -> int:
     elif a.staged:
         result = scans.diffs(git.staged(spark, "."), **options)
     elif a.git_history:
-        found = scans.history(git.history(spark, ".", a.since_ref, a.max_commits))
-        result = scans.Result(found, spark.createDataFrame([], "type string, file string, severity string, change_type string, category string"), spark.createDataFrame([], "path string, line int, n_chars int, reason string"))
+        result = scans.history(git.history(spark, ".", a.since_ref, a.max_commits), **options)
     else:
         found = gitleaks.load(spark, a.gitleaks_report) if a.gitleaks_report else gitleaks.run(spark, a.gitleaks_binary, ".")
         if options["baseline"] is not None:
@@ -132,8 +131,9 @@ def _scan(a: argparse.Namespace, spark: SparkSession) -> int:
     if a.write_baseline:
         baselines.write(result.findings, a.write_baseline, overwrite=a.force_baseline)
     found = result.findings.withColumn("rule", F.coalesce("rule", F.lit("imported"))) if "rule" in result.findings.columns else result.findings.withColumn("rule", F.lit("imported"))
-    _out(reports.document(found, a.format), a.output)
     counts = result.summary().first().asDict()
+    shown = counts | (result.counters.first().asDict() if result.counters is not None else {})
+    _out(reports.document(found, a.format, result.changes, counts=shown), a.output)
     if not a.quiet:
         sys.stderr.write(json.dumps(counts, sort_keys=True) + "\n")
     code = counts["exit_code"]
@@ -153,10 +153,10 @@ def _vulnerable(spark: SparkSession, root: str, database: str) -> DataFrame:
     at = s.active()
     if at is None:
         raise ValueError("no snapshot is active")
-    advisories = s.table(at, "advisories")
+    advisories = store.read(s, "advisories", at)
     if "severity" not in advisories.columns:
         advisories = advisories.withColumn("severity", F.lit("unknown"))
-    return inventory.findings(inventory.of_folder(spark, root), advisories, s.table(at, "packages"), at).drop("bad_version")
+    return inventory.findings(inventory.of_folder(spark, root), advisories, store.read(s, "packages", at), at).drop("bad_version")
 
 
 def _vuln(a: argparse.Namespace, spark: SparkSession) -> int:
@@ -213,7 +213,7 @@ def _store(a: argparse.Namespace, spark: SparkSession) -> int:
     elif a.action == "rollback":
         _out(store.dumps({"applied": a.apply, "snapshot_id": store.rollback(s, a.snapshot_id) if a.apply else a.snapshot_id}), a.output)
     elif a.action == "update":
-        _out(store.dumps(store.offline_update(s, a.input, a.source_id, a.snapshot_id, a.apply)), a.output)
+        _out(store.dumps(updates.offline_update(s, a.input, a.source_id, a.snapshot_id, a.apply)), a.output)
     elif a.action == "activate":
         _out(store.dumps(store.activate_seed(s, json.loads(_text(a.manifest)), a.apply)), a.output)
     elif a.action == "explain":
@@ -240,7 +240,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "vuln-db":
             return _store(a, spark)
         if a.command == "osv-import":
-            _out(store.dumps(store.offline_update(store.default_store(spark, a.db), a.input, a.source_id, a.snapshot_id, a.activate)), None)
+            _out(store.dumps(updates.offline_update(store.default_store(spark, a.db), a.input, a.source_id, a.snapshot_id, a.activate)), None)
             return 0
         diff = control.parse_hook(sys.stdin.buffer.read(control.HOOK_BYTES + 1))
         base = baselines.load(spark, a.baseline) if a.baseline else None

@@ -77,6 +77,33 @@ def _runs(tree: object) -> tuple[str, ...]:
     return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=())
 
 
+def automaton(literals: list[str]) -> str:
+    """A regex that finds, at every place of a text, the longest of some literals that starts there.
+
+    The literals share their beginnings as in a tree, so a place is left at the first character that no literal goes on with; it
+    matches nothing but looks ahead, so one match does not hide another.
+    """
+    tree: dict = {}
+    for x in literals:
+        node = tree
+        for c in x:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        each = [re.escape(c) + text(below) for c, below in sorted(node.items()) if c]
+        if not each:
+            return ""
+        return f"(?:{'|'.join(each)})" + ("?" if "" in node else "") if len(each) > 1 or "" in node else each[0]
+
+    return f"(?=({text(tree)}))"
+
+
+def literals_in(low: Column, literals: list[str]) -> Column:
+    """The distinct literals that start somewhere in a text, of those at one place the longest alone."""
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(automaton(literals)), F.lit(1)))
+
+
 def folded(text: Column) -> Column:
     """Lower case in which every letter that ignoring case takes for an ASCII one is that one."""
     return F.translate(F.lower(text), "\u017f\u0131", "si")

@@ -164,3 +164,13 @@ def cpe_mappings(proposals: DataFrame) -> DataFrame:
     )
     out = p.select(F.concat(F.lit("cpe-map-"), F.substring(F.sha2(body, 256), 1, 24)).alias("mapping_id"), "cpe", "purl", "confidence", "rationale", F.lit("operator").alias("source"), reason.alias("reject_reason"))
     return out.dropDuplicates(["mapping_id"]).orderBy("mapping_id")
+
+
+def cpe_mapping_report(proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(report, mappings): the recorded mappings in order of id, and one row of their count and a digest of them, which
+    sums of the tasks make."""
+    held = cpe_mappings(proposals).where("reject_reason is null").drop("reject_reason")
+    row = F.sha2(F.to_json(F.struct(*sorted(held.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", i * 8 + 1, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for i in range(8)]
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256))
+    return held.select(row.alias("h")).agg(F.count("*").alias("mapping_count"), digest.alias("content_digest")), held.orderBy("mapping_id")

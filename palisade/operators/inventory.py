@@ -22,14 +22,19 @@ POLICY_SCHEMA, POLICY_BYTES = "palisade.vulnerability-policy", 64 << 10
 
 def of_texts(texts: DataFrame) -> DataFrame:
     """Rows (path, kind, ecosystem, name, version, requirement, reason, purl) of root manifests among texts
-    (path, length, text); manifests that are too long or not supported are warnings."""
+    (path, length, text); manifests that are too long or not supported are warnings. With a column ``repository`` the
+    texts are those of many repositories, each an inventory of its own; path is then repository/path."""
+    several = "repository" in texts.columns
+    key = F.concat_ws("/", F.url_encode("repository"), "path") if several else F.col("path")
     ok = texts.where(F.col("path").rlike(ROOT) & (F.col("length") <= MANIFEST_BYTES))
-    found = manifests.inventory(ok.select("path", "text"))
+    found = manifests.inventory(ok.select(key.alias("path"), "text"), repositories=several)
     odd = texts.where(F.col("path").rlike(UNSUPPORTED) | (F.col("path").rlike(ROOT) & (F.col("length") > MANIFEST_BYTES)))
     reason = F.when(F.col("path").rlike(UNSUPPORTED), "unsupported manifest").otherwise("manifest exceeds limit")
     null = F.lit(None).cast("string")
-    warnings = odd.select("path", F.lit("warning").alias("kind"), null.alias("ecosystem"), null.alias("name"), null.alias("version"), null.alias("requirement"), reason.alias("reason"), null.alias("purl"))
-    return found.unionByName(warnings)
+    warnings = odd.select(key.alias("path"), F.lit("warning").alias("kind"), null.alias("ecosystem"), null.alias("name"), null.alias("version"), null.alias("requirement"), reason.alias("reason"), null.alias("purl"))
+    out = found.unionByName(warnings)
+    parts = F.split("path", "/", 2)
+    return out.withColumn("path", F.concat_ws("/", F.url_decode(parts[0]), parts[1])) if several else out
 
 
 def of_folder(spark: SparkSession, root: str) -> DataFrame:
@@ -47,6 +52,19 @@ def of_sbom(texts: DataFrame) -> DataFrame:
     return out
 
 
+def sbom_report(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reports, components) of SBOMs (path, text): of each its format, stated version, state and numbers of components
+    and of rejected ones, and the components in the order of a report. A document of no known format has state unsupported."""
+    rows = of_sbom(texts)
+    stated = F.coalesce(*[F.get_json_object("text", f"$.{k}") for k in ("specVersion", "spdxVersion", "descriptor.version")])
+    counts = rows.groupBy("path").agg(F.count_if(F.col("reject_reason").isNull()).alias("component_count"), F.count_if(F.col("reject_reason").isNotNull() & (F.col("format") != "unknown")).alias("rejected_count"), F.min("format").alias("format"))
+    out = texts.select("path", stated.alias("spec_version")).join(counts, "path", "left")
+    state = F.when(F.col("format") == "unknown", "unsupported").when(F.col("rejected_count") > 0, "rejected").otherwise("ok")
+    reports = out.select("path", "format", "spec_version", state.alias("state"), F.coalesce("component_count", F.lit(0)).alias("component_count"), F.coalesce("rejected_count", F.lit(0)).alias("rejected_count"))
+    order = [F.coalesce(F.col(c), F.lit("")) for c in ("ecosystem", "name", "version", "purl")]
+    return reports, rows.where("reject_reason is null").orderBy(*order, "path")
+
+
 def report(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(counts, components, unresolved, warnings) in the order of a report."""
     by = lambda kind, *order: rows.where(F.col("kind") == kind).orderBy(*[F.coalesce(c, F.lit("")) for c in order])

@@ -1,7 +1,7 @@
 """The rule scan: lines to findings.
 
-Every line is tested against the rules' literals, then against the patterns whose literal it
-holds; only lines that match go on to spans, overlap resolution and policy. Nothing is
+All rules' literals are looked for in a line at once; the line is then tested against the patterns whose
+literal it holds; only lines that match go on to spans, overlap resolution and policy. Nothing is
 shuffled.
 """
 
@@ -62,17 +62,33 @@ def _crc32_valid(text: Column) -> Column:
 VALIDATORS = {"crc32": _crc32_valid}
 
 
-def rule_hits(line: Column, low: Column, gates: dict[tuple[str, ...], Column], rules: list[Rule]) -> Column:
-    """Orders of the rules that match a line. Literals go first, then the pattern."""
+def candidates(low: Column, rules: list[Rule]) -> Column:
+    """Orders of the rules of which a line holds a literal, and of those without one; all literals are
+    looked for at once."""
+    of: dict[str, set[int]] = {}
+    free = []
+    for r in rules:
+        own = rx.required(r.regex, r.ignore_case)
+        for x in own:
+            of.setdefault(x, set()).add(r.order)
+        if not own:
+            free.append(r.order)
+    always = F.array(*map(F.lit, free)).cast("array<int>")
+    if not of:
+        return always
+    # a literal that another begins with is at its place, too
+    known = {x: sorted(set().union(*[o for y, o in of.items() if x.startswith(y)])) for x in of}
+    held = F.array(*[F.array(*map(F.lit, o)) for o in known.values()])
+    names = F.array(*map(F.lit, known))
+    each = F.transform(rx.literals_in(low, list(known)), lambda x: F.get(held, F.array_position(names, x).cast("int") - 1))
+    return F.array_distinct(F.concat(always, F.flatten(each)))
+
+
+def rule_hits(line: Column, few: Column, gates: dict[tuple[str, ...], Column], rules: list[Rule]) -> Column:
+    """Orders of the candidate rules that match a line."""
     tests = []
     for r in rules:
-        literals = rx.required(r.regex, r.ignore_case)
-        test = line.rlike(rx.java(r.regex, r.ignore_case))
-        if literals:
-            holds = F.lit(False)
-            for x in literals:
-                holds = holds | F.contains(low, F.lit(x))
-            test = holds & test
+        test = F.array_contains(few, r.order) & line.rlike(rx.java(r.regex, r.ignore_case))
         if r.globs:
             test = gates[r.globs] & test
         tests.append(F.when(test, F.lit(r.order)))
@@ -95,11 +111,11 @@ def resolve(spans: Column, rules: list[Rule]) -> Column:
     return F.aggregate(F.array_sort(kept), zero, step, lambda acc: acc["out"])
 
 
-def matches(lines: DataFrame, rules: list[Rule] | None = None, first_only: bool = False, resolved: bool = True) -> DataFrame:
+def matches(lines: DataFrame, rules: list[Rule] | None = None, first_only: bool | str = False, resolved: bool = True) -> DataFrame:
     """(lines' columns, start, order, text) for every match that stays on a line.
 
     first_only takes each rule's first match and does no more than drop generic secrets from
-    lines with a vendor token of CRT-SEC-021 to 134, the older way of scanning.
+    lines with a vendor token of CRT-SEC-021 to 134, the older way of scanning; first_only="each" drops none.
     """
     rules = builtin_rules() if rules is None else rules
     rules = [Rule(**{**r.__dict__, "order": i}) for i, r in enumerate(rules)]
@@ -111,14 +127,15 @@ def matches(lines: DataFrame, rules: list[Rule] | None = None, first_only: bool
         out = out.withColumn(f"__g{i}", rx.any_glob(F.col("__path"), g, relaxed=not first_only))
     gates = {g: F.col(f"__g{i}") for i, g in enumerate(globs)}
     name = (tuple(rules), first_only, resolved)
-    out = _once(out, "__hits", built(("hits", name), lambda: rule_hits(F.col("content"), F.col("__low"), gates, rules))).where(F.size("__hits") > 0)
+    out = _once(out, "__few", built(("few", name), lambda: candidates(F.col("__low"), rules))).where(F.size("__few") > 0)
+    out = _once(out, "__hits", built(("hits", name), lambda: rule_hits(F.col("content"), F.col("__few"), gates, rules))).where(F.size("__hits") > 0)
     out = _once(out, "__all", built(("all", name), lambda: _all_spans(rules, first_only)))
     kept = built(("kept", name), lambda: resolve(F.col("__all"), rules)) if resolved and not first_only else F.col("__all")
     out = out.withColumn("__m", F.explode(kept))
     return out.select(*lines.columns, F.col("__m.start").alias("start"), F.col("__m.order").alias("order"), F.col("__m.text").alias("text"))
 
 
-def _all_spans(rules: list[Rule], first_only: bool) -> Column:
+def _all_spans(rules: list[Rule], first_only: bool | str) -> Column:
     """Spans of the rules in __hits, checked; with first_only those of the older way."""
     patterns = F.array(*[F.lit(rx.java(r.regex, r.ignore_case)) for r in rules])
     each = F.flatten(
@@ -133,6 +150,7 @@ def _all_spans(rules: list[Rule], first_only: bool) -> Column:
     if first_only:
         first = F.array_sort(each)
         each = F.filter(first, lambda s, i: F.coalesce(F.array_position(F.transform(first, lambda x: x["order"]), s["order"]) == i + 1, F.lit(False)))
+    if first_only is True:
         vendor = F.array(*[F.lit("CRT-SEC-021" <= r.rule_id <= "CRT-SEC-134") for r in rules])
         generic = F.array(*[F.lit(r.name in GENERIC) for r in rules])
         some = F.exists(each, lambda s: F.get(vendor, s["order"]))
@@ -140,6 +158,14 @@ def _all_spans(rules: list[Rule], first_only: bool) -> Column:
     return each
 
 
+def secret_matches(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(lines' columns, start, rule_id, pattern_name, text): each secret rule's first match that passes its check, in any
+    file; policy rules, file globs, overlaps and placeholders play no part."""
+    own = [Rule(**{**r.__dict__, "globs": ()}) for r in (builtin_rules() if rules is None else rules) if r.kind == "secret"]
+    found = matches(lines, own, first_only="each", resolved=False).join(F.broadcast(rule_table(lines.sparkSession, own)), "order")
+    return found.select(*lines.columns, "start", "rule_id", "pattern_name", "text")
+
+
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that the optimizer computes in one place: a generator ends the push-down
     of predicates, which would otherwise repeat a costly expression in each."""
@@ -171,8 +197,8 @@ def fingerprint(rule_id: Column, path: Column, text: Column, namespace: str = NA
     return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\u0000", F.lit(namespace), rule_id, normal(path), evidence), 256))
 
 
-def findings(lines: DataFrame, rules: list[Rule] | None = None, **options: object) -> DataFrame:
-    """Findings before policy: a row for each match, with its rule's data and fingerprint.
+def findings(lines: DataFrame, rules: list[Rule] | None = None, keep: tuple[str, ...] = (), **options: object) -> DataFrame:
+    """Findings before policy: a row for each match, with its rule's data and fingerprint, and the lines' columns in keep.
 
     The rules' table is of a size that is known (a few hundred rows) and is broadcast.
     """
@@ -182,5 +208,5 @@ def findings(lines: DataFrame, rules: list[Rule] | None = None, **options: objec
     kind = F.when(F.col("type") == "secret", "secret-pattern").otherwise("policy-pattern")
     return found.select(
         "type", "pattern_name", "severity", F.col("path").alias("file"), "line", "start", F.col("text").alias("matched_text"), F.col("content").alias("line_content"),
-        kind.alias("rule"), "rule_id", "category", "confidence", "remediation", fingerprint(F.col("rule_id"), F.col("path"), F.col("text")).alias("fingerprint"),
+        kind.alias("rule"), "rule_id", "category", "confidence", "remediation", fingerprint(F.col("rule_id"), F.col("path"), F.col("text")).alias("fingerprint"), *keep,
     )

@@ -90,6 +90,12 @@ def scan_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.findings(scan.file_lines(documents(spark, sf_dir)), first_only=True).select("file", F.col("line").cast("long").alias("line"), "rule_id")
 
 
+@query(f"""WITH l AS ({_lines('documents', _DOC, 'text')}) SELECT file, CAST(line AS BIGINT) AS line, 'CRT-SEC-016' AS rule_id, regexp_extract(content, '{_TOKEN}') AS text FROM l WHERE regexp_matches(content, '{_TOKEN}')
+UNION ALL SELECT file, CAST(line AS BIGINT), 'CRT-SEC-019', regexp_extract(content, '{_BASE64}') FROM l WHERE regexp_matches(content, '{_BASE64}')""")
+def scan_secrets_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.secret_matches(scan.file_lines(documents(spark, sf_dir))).select(F.col("path").alias("file"), F.col("line").cast("long").alias("line"), "rule_id", "text")
+
+
 _CASES = (
     ("a.env", 'password = "hunter2xx" sk-ant-api03-{A40} x', (("CRT-SEC-014", 0), ("CRT-SEC-022", 23))),
     ("Dockerfile", "FROM python:latest", (("CRT-IAC-002", 0),)),
@@ -107,10 +113,27 @@ def _filled(x: str) -> str:
     return x.replace("{A40}", "A" * 40).replace("{A36}", "A" * 36).replace("{B36}", "B" * 36)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}', CAST({s} AS BIGINT))" for p, _, hits in _CASES for r, s in hits) + ") AS t(file, rule_id, start)")
+def per_document(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Every document's id with the case, of a short list, that its number among them gives."""
+    cases = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"case long, {schema}")
+    ids = spread(table(spark, sf_dir, "documents").select("doc_id"))
+    return ids.withColumn("case", F.col("doc_id") % len(rows)).join(F.broadcast(cases), "case").drop("case")
+
+
+def _cell(x: object) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
+
+
+def _per_document(rows: list[tuple], names: str, n: int, select: str) -> str:
+    """SQL of what is expected of the documents of each case: rows (case, ...)."""
+    values = ", ".join("(" + ", ".join(map(_cell, r)) + ")" for r in rows)
+    return f"SELECT doc_id, {select} FROM documents JOIN (VALUES {values}) AS t(c, {names}) ON doc_id % {n} = c"
+
+
+@query(_per_document([(i, p, r, s) for i, (p, _, hits) in enumerate(_CASES) for r, s in hits], "file, rule_id, start", len(_CASES), "file, rule_id, CAST(start AS BIGINT) AS start"))
 def scan_overlap_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([(p, 1, _filled(x)) for p, x, _ in _CASES], "path string, line int, content string")
-    return scan.findings(lines).select("file", "rule_id", F.col("start").cast("long").alias("start"))
+    lines = per_document(spark, sf_dir, [(p, _filled(x)) for p, x, _ in _CASES], "path string, content string").withColumnRenamed("doc_id", "line")
+    return scan.findings(lines).select(F.col("line").alias("doc_id"), "file", "rule_id", F.col("start").cast("long").alias("start"))
 
 
 _ALLOW = "pattern:TOKEN_LITERAL path:docs/en/**\nvalue:\nvalue:zzzz".replace("value:\n", "")
@@ -281,9 +304,9 @@ _ORDERED = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{a}', '{b}', {c})" for e, a, b, c in _ORDERED) + ") AS t(eco, l, r, sign)")
+@query(_per_document([(i, *x) for i, x in enumerate(_ORDERED)], "eco, l, r, sign", len(_ORDERED), "eco, l, r, sign"))
 def version_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([x[:3] for x in _ORDERED], "eco string, l string, r string")
+    d = per_document(spark, sf_dir, [x[:3] for x in _ORDERED], "eco string, l string, r string")
     return d.select("*", versions.compare(F.col("eco"), F.col("l"), F.col("r")).alias("sign"))
 
 
@@ -464,7 +487,7 @@ def quality_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.thresholds(quality_metrics(spark, sf_dir), {"advisories": 50, "epss": 1}).withColumn("value", F.coalesce("value", F.lit(-1)))
 
 
-# Sources and reports, on small texts that both sides state
+# Sources and reports: every document stands for a file of a kind, whose text the SQL states, too
 
 _FILES = (
     ("requirements.txt", "Flask==2.0 ; python_version > '3'\nrequests>=2\nnumpy\n-r more.txt\n"),
@@ -477,85 +500,115 @@ _FILES = (
     ("package-lock.json", '{"lockfileVersion": 3, "packages": {"": {"version": "1"}, "node_modules/a": {"version": "1.2.3"}, "node_modules/a/node_modules/@s/b": {"version": "2.0.0"}}}'),
     ("old/package-lock.json", '{"lockfileVersion": 1, "dependencies": {"c": {"version": "3.0.0", "dependencies": {"d": {"version": "4.0.0"}}}}}'),
 )
+#: What each of the files holds: its number and the component's ecosystem, name and version.
 _COMPONENT_ROWS = (
-    ("pypi", "flask", "2.0"), ("golang", "golang.org/x/a", "v1.2.3"), ("golang", "example.com/b", "v0.1.0"), ("golang", "golang.org/x/c", "v1.0.0"), ("cargo", "serde", "1.0.1"), ("pypi", "foo-bar", "1.0"),
-    ("pypi", "baz", "3.1"), ("composer", "v/p", "1.0"), ("npm", "a", "1.2.3"), ("npm", "@s/b", "2.0.0"), ("npm", "c", "3.0.0"), ("npm", "d", "4.0.0"),
+    (0, "pypi", "flask", "2.0"), (1, "golang", "golang.org/x/a", "v1.2.3"), (1, "golang", "example.com/b", "v0.1.0"), (2, "golang", "golang.org/x/a", "v1.2.3"), (2, "golang", "golang.org/x/c", "v1.0.0"), (3, "cargo", "serde", "1.0.1"), (4, "pypi", "foo-bar", "1.0"),
+    (5, "pypi", "baz", "3.1"), (6, "composer", "v/p", "1.0"), (7, "npm", "a", "1.2.3"), (7, "npm", "@s/b", "2.0.0"), (8, "npm", "c", "3.0.0"), (8, "npm", "d", "4.0.0"),
 )
 
 
-def _values(rows: tuple, names: str) -> str:
-    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({names})"
+def _inventory_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Rows of a kind of the documents' files, each in a folder of its own, named by the id."""
+    own = per_document(spark, sf_dir, list(_FILES), "path string, text string")
+    found = manifests.inventory(own.select(F.concat_ws("/", F.col("doc_id").cast("string"), "path").alias("path"), "text"), repositories=True).where(F.col("kind") == kind)
+    return found.withColumn("doc_id", F.split("path", "/")[0].cast("long"))
 
 
-@query(_values(_COMPONENT_ROWS, "ecosystem, name, version"))
+@query(_per_document(list(_COMPONENT_ROWS), "ecosystem, name, version", len(_FILES), "ecosystem, name, version"))
 def inventory_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.inventory(spark.createDataFrame(_FILES, "path string, text string")).where("kind = 'component'").select("ecosystem", "name", "version")
+    return _inventory_of(spark, sf_dir, "component").select("doc_id", "ecosystem", "name", "version")
 
 
-@query(_values((("requests", "version_range"), ("numpy", "version_unknown")), "name, reason"))
+@query(_per_document([(0, "requests", "version_range"), (0, "numpy", "version_unknown")], "name, reason", len(_FILES), "name, reason"))
 def inventory_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.inventory(spark.createDataFrame(_FILES, "path string, text string")).where("kind = 'unresolved'").select("name", "reason")
+    return _inventory_of(spark, sf_dir, "unresolved").select("doc_id", "name", "reason")
+
 
+def _texts(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A text for each document, in which @@ is its id, by a path that is the id."""
+    d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path")))
+    return d.withColumn("text", F.replace(F.lit(text), F.lit("@@"), F.col("path")))
 
-@query(_values((("a", "npm", "ok"), ("b", "?", "missing name or version"), ("d", "?", "repeated component"), ("d", "?", "repeated component")), "name, ecosystem, reject_reason"))
+
+@query("SELECT doc_id, n || doc_id AS name, ecosystem, reason AS reject_reason FROM documents, (VALUES ('a', 'npm', 'ok'), ('b', '?', 'missing name or version'), ('d', '?', 'repeated component'), ('d', '?', 'repeated component')) AS t(n, ecosystem, reason)")
 def sbom_cyclonedx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = '{"bomFormat": "CycloneDX", "specVersion": "1.5", "components": [{"name": "a", "version": "1", "purl": "pkg:npm/a@1"}, {"name": "b", "version": ""}, {"name": "d", "version": "1"}, {"name": "d", "version": "1"}]}'
-    return sbom.cyclonedx(spark.createDataFrame([("f", text)], "path string, text string")).select("name", F.coalesce("ecosystem", F.lit("?")).alias("ecosystem"), F.coalesce("reject_reason", F.lit("ok")).alias("reject_reason"))
+    text = '{"bomFormat": "CycloneDX", "specVersion": "1.5", "components": [{"name": "a@@", "version": "1", "purl": "pkg:npm/a@@@1"}, {"name": "b@@", "version": ""}, {"name": "d@@", "version": "1"}, {"name": "d@@", "version": "1"}]}'
+    return sbom.cyclonedx(_texts(spark, sf_dir, text)).select(F.col("path").cast("long").alias("doc_id"), "name", F.coalesce("ecosystem", F.lit("?")).alias("ecosystem"), F.coalesce("reject_reason", F.lit("ok")).alias("reject_reason"))
 
 
-@query(_values((("a", "1", "crates.io", "pkg:cargo/a@1"),), "name, version, ecosystem, purl"))
+@query("SELECT doc_id, 'a' || doc_id AS name, CAST(doc_id AS VARCHAR) AS version, 'crates.io' AS ecosystem, 'pkg:cargo/a' || doc_id || '@' || doc_id AS purl FROM documents")
 def sbom_spdx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = '{"spdxVersion": "SPDX-2.3", "packages": [{"name": "a", "versionInfo": "1", "externalRefs": [{"referenceType": "purl", "referenceLocator": "pkg:cargo/a@1"}]}]}'
-    return sbom.spdx(spark.createDataFrame([("f", text)], "path string, text string")).select("name", "version", "ecosystem", "purl")
+    text = '{"spdxVersion": "SPDX-2.3", "packages": [{"name": "a@@", "versionInfo": "##", "externalRefs": [{"referenceType": "purl", "referenceLocator": "pkg:cargo/a@@%##"}]}]}'
+    files = _texts(spark, sf_dir, text).withColumn("text", F.replace(F.replace("text", F.lit("##"), F.col("path")), F.lit("%"), F.lit("@")))
+    return sbom.spdx(files).select(F.col("path").cast("long").alias("doc_id"), "name", "version", "ecosystem", "purl")
 
 
-@query(_values((("t", "p", "1", "CVE-1", "high"),), "target, package, version, vulnerability, severity"))
+@query("SELECT doc_id, 't' || doc_id AS target, 'p' AS package, CAST(doc_id AS VARCHAR) AS version, 'CVE-' || doc_id AS vulnerability, 'high' AS severity FROM documents")
 def evidence_trivy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = '{"SchemaVersion": 2, "Results": [{"Target": "t", "Type": "npm", "Vulnerabilities": [{"VulnerabilityID": "CVE-1", "PkgName": "p", "InstalledVersion": "1", "Severity": "HIGH"}]}]}'
-    return sbom.trivy(spark.createDataFrame([("f", text)], "path string, text string")).select("target", "package", "version", "vulnerability", "severity")
+    text = '{"SchemaVersion": 2, "Results": [{"Target": "t@@", "Type": "npm", "Vulnerabilities": [{"VulnerabilityID": "CVE-@@", "PkgName": "p", "InstalledVersion": "@@", "Severity": "HIGH"}]}]}'
+    return sbom.trivy(_texts(spark, sf_dir, text)).select(F.col("path").cast("long").alias("doc_id"), "target", "package", "version", "vulnerability", "severity")
+
 
+_GHSA_FORMS = (">= {k}, < {n}", "< {n}", ">= {k}, <= {n}", "= {k}", "<= {n}")
 
-@query(_values(((">= 1, < 2", "1|2|"), ("< 2", ""), (">= 1, <= 2", "1||"), ("= 3", "3||3"), ("<= 4", "0||4")), "stated, events"))
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '>= ' || doc_id || ', < ' || (doc_id + 1) WHEN 1 THEN '< ' || (doc_id + 1) WHEN 2 THEN '>= ' || doc_id || ', <= ' || (doc_id + 1) WHEN 3 THEN '= ' || doc_id ELSE '<= ' || (doc_id + 1) END AS stated,
+CASE doc_id % 5 WHEN 0 THEN doc_id || '|' || (doc_id + 1) || '|' WHEN 1 THEN '' WHEN 2 THEN doc_id || '||' WHEN 3 THEN doc_id || '||' || doc_id ELSE '0||' || (doc_id + 1) END AS events FROM documents""")
 def ghsa_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(x,) for x in (">= 1, < 2", "< 2", ">= 1, <= 2", "= 3", "<= 4")], "stated string")
+    k, n = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    d = per_document(spark, sf_dir, [(x,) for x in _GHSA_FORMS], "stated string").withColumn("stated", F.replace(F.replace("stated", F.lit("{k}"), k), F.lit("{n}"), n))
     e = feeds.ghsa_events(F.col("stated"))
     first = lambda k: F.coalesce(F.get(F.filter(F.transform(e, lambda x: x[k]), lambda v: v.isNotNull()), F.lit(0)), F.lit(""))
-    return d.select("stated", F.when(e.isNull(), "").otherwise(F.concat_ws("|", first("introduced"), first("fixed"), first("last_affected"))).alias("events"))
+    return d.select("doc_id", "stated", F.when(e.isNull(), "").otherwise(F.concat_ws("|", first("introduced"), first("fixed"), first("last_affected"))).alias("events"))
 
 
-_OSV = '{"vulns": [{"id": "OSV-1", "modified": "2024", "affected": [{"package": {"ecosystem": "PyPI", "name": "Flask"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.1"}]}], "versions": ["9"]}]}]}'
+_OSV = '{"vulns": [{"id": "OSV-@@", "modified": "2024", "affected": [{"package": {"ecosystem": "PyPI", "name": "Flask@@"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.1"}]}], "versions": ["9"]}]}]}'
 
 
-@query(_values((("2.0", "ecosystem-range"), ("9", "exact-version")), "version, method"))
+@query("SELECT doc_id, version, method FROM documents, (VALUES ('2.0', 'ecosystem-range'), ('9', 'exact-version')) AS t(version, method)")
 def feed_osv_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adv = feeds.osv(feeds.records(spark.createDataFrame([("f", _OSV)], "path string, text string")))
-    comps = spark.createDataFrame([("pip", "flask", v, None, "requirements.txt") for v in ("2.0", "2.1", "9", None)], "ecosystem string, name string, version string, purl string, manifest_path string")
-    return vuln.match(comps, feeds.packages(adv)).select("version", "method")
+    adv = feeds.osv(feeds.records(_texts(spark, sf_dir, _OSV)))
+    some = F.explode(F.array(F.lit("2.0"), F.lit("2.1"), F.lit("9"), F.lit(None).cast("string")))
+    comps = _texts(spark, sf_dir, "flask@@").select(F.lit("pip").alias("ecosystem"), F.col("text").alias("name"), some.alias("version"), F.lit(None).cast("string").alias("purl"), F.lit("requirements.txt").alias("manifest_path"))
+    return vuln.match(comps, feeds.packages(adv)).select(F.substring("name", 6, 20).cast("long").alias("doc_id"), "version", "method")
+
+
+_FIXED = [(i, feed, versions.SAME.get(eco.lower(), eco.lower())) for i, (feed, eco) in enumerate(feeds.FIXED_FEEDS.items())]
 
 
-@query(_values(tuple((feed, "pkg", "1.0", versions.SAME.get(eco.lower(), eco.lower())) for feed, eco in feeds.FIXED_FEEDS.items()), "source, name, fixed, ecosystem"))
+@query(_per_document(_FIXED, "source, ecosystem", len(_FIXED), "t.source, 'pkg' || doc_id AS name, doc_id || '.0' AS fixed, ecosystem"))
 def feed_fixed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([('{"id": "X-1", "package": "Pkg", "fixed": "1.0"}',)], "record string")
+    """Each document is a record of one of the feeds."""
+    k = F.col("doc_id")
+    record = F.to_json(F.struct(F.concat(F.lit("X-"), k.cast("string")).alias("id"), F.concat(F.lit("Pkg"), k.cast("string")).alias("package"), F.concat(k.cast("string"), F.lit(".0")).alias("fixed")))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", record.alias("record")))
     out = None
-    for feed in feeds.FIXED_FEEDS:
-        one = feeds.fixed_feed(rows, feed).select("source", "name", F.col("ranges")[0][1]["fixed"].alias("fixed"), "ecosystem")
+    for i, feed, _ in _FIXED:
+        one = feeds.fixed_feed(rows.where(k % len(_FIXED) == i).select("record"), feed)
+        one = one.select(F.substring("name", 4, 20).cast("long").alias("doc_id"), "source", "name", F.col("ranges")[0][1]["fixed"].alias("fixed"), "ecosystem")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-_DIFF = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n keep\n-old\n+password=abcdefgh\n+new\ndiff --git a/n.txt b/n.txt\nnew file mode 100644\n--- /dev/null\n+++ b/n.txt\n@@ -0,0 +1 @@\n+hello\n"
+_DIFF = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n keep\n-old\n+password=abcdefgh\n+new {id}\ndiff --git a/n.txt b/n.txt\nnew file mode 100644\n--- /dev/null\n+++ b/n.txt\n@@ -0,0 +1 @@\n+hello\n"
+_DIFF_ROWS = "(VALUES ('x.py', 'modify', 'context', 1, 'keep'), ('x.py', 'modify', 'removed', 2, 'old'), ('x.py', 'modify', 'added', 2, 'password=abcdefgh'), ('x.py', 'modify', 'added', 3, 'new '), ('n.txt', 'create', 'added', 1, 'hello')) AS t(path, operation, line_type, line, c)"
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diff for each document, with the id on one of its lines."""
+    d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("diff_id")))
+    return diff.diff_lines(diff.diff_files(d.withColumn("text", F.replace(F.lit(_DIFF), F.lit("{id}"), F.col("diff_id").cast("string")))))
 
 
-@query(_values((("x.py", "modify", "context", 1, "keep"), ("x.py", "modify", "removed", 2, "old"), ("x.py", "modify", "added", 2, "password=abcdefgh"), ("x.py", "modify", "added", 3, "new"), ("n.txt", "create", "added", 1, "hello")), "path, operation, line_type, line, content"))
+@query(f"SELECT doc_id, path, operation, line_type, line, CASE c WHEN 'new ' THEN 'new ' || doc_id ELSE c END AS content FROM documents, {_DIFF_ROWS}")
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff_lines(diff.diff_files(spark.createDataFrame([(1, _DIFF)], "diff_id int, text string"))).select("path", "operation", "line_type", "line", "content")
+    return _diffs(spark, sf_dir).select(F.col("diff_id").cast("long").alias("doc_id"), "path", "operation", "line_type", "line", "content")
 
 
-@query(_values((("x.py", 2, "CRT-SEC-014"),), "file, line, rule_id"))
+@query("SELECT doc_id, 'x.py' AS file, 2 AS line, 'CRT-SEC-014' AS rule_id FROM documents")
 def scan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = diff.diff_lines(diff.diff_files(spark.createDataFrame([(1, _DIFF)], "diff_id int, text string"))).where("line_type = 'added'")
-    return scan.findings(lines).select("file", "line", "rule_id")
+    lines = _diffs(spark, sf_dir).where("line_type = 'added'")
+    return scan.findings(lines, keep=("diff_id",)).select(F.col("diff_id").cast("long").alias("doc_id"), "file", "line", "rule_id")
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(ltrim(t), '^[=+\\-@]') THEN '''' || t ELSE t END AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN ' +' WHEN 2 THEN 'x=' ELSE '@' END || source AS t FROM documents)")
@@ -574,11 +627,16 @@ def seed_top_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.top_of_each(table(spark, sf_dir, "supplier"), "s_nationkey", [F.desc("s_acctbal"), "s_suppkey"], 3).select("s_nationkey", "s_suppkey")
 
 
-@query("SELECT 'npm' AS eco, '1.2.3' AS v, r AS range, h AS hit FROM (VALUES ('^1.0.0', true), ('~1.2.0', true), ('~1.1.0', false), ('>=1.0.0 <1.2.3', false), ('1.x || 3.x', true), ('1.2', true), ('^0.2.3', false), ('*', true), ('=1.2.3', true)) AS t(r, h)")
+#: Ranges and, in SQL over a version as a list of numbers, what they hold.
+_NPM = {
+    "^1.0.0": "v >= [1, 0, 0] AND v < [2, 0, 0]", "~1.2.0": "v >= [1, 2, 0] AND v < [1, 3, 0]", "~1.1.0": "v >= [1, 1, 0] AND v < [1, 2, 0]", ">=1.0.0 <1.2.3": "v >= [1, 0, 0] AND v < [1, 2, 3]", "1.x || 3.x": "v[1] IN (1, 3)",
+    "1.2": "v[1] = 1 AND v[2] = 2", "^0.2.3": "v >= [0, 2, 3] AND v < [0, 3, 0]", "*": "true", "=1.2.3": "v = [1, 2, 3]",
+}
+
+
+@query("WITH p AS (SELECT p_partkey, [p_partkey % 4, p_partkey % 5, p_size % 6] AS v FROM part) " + " UNION ALL ".join(f"SELECT p_partkey, '{r}' AS range, {test} AS hit FROM p" for r, test in _NPM.items()))
 def npm_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ("^1.0.0", "~1.2.0", "~1.1.0", ">=1.0.0 <1.2.3", "1.x || 3.x", "1.2", "^0.2.3", "*", "=1.2.3")
-    out = None
-    for r in rows:
-        one = spark.createDataFrame([("npm", "1.2.3")], "eco string, v string").select("eco", "v", F.lit(r).alias("range"), npm.in_range(F.col("v"), r).alias("hit"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    k = F.col("p_partkey")
+    p = spread(table(spark, sf_dir, "part").select(k, F.concat_ws(".", k % 4, k % 5, F.col("p_size") % 6).alias("v")))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("range"), npm.in_range(F.col("v"), r).alias("hit")) for r in _NPM]))
+    return p.select(k, each.alias("x")).select("p_partkey", "x.range", "x.hit")

@@ -33,6 +33,11 @@ def _listed(df: DataFrame, key: list[str], value: Column, order: str, joined: st
     return rows.select(*key, F.array_join(F.transform("l", lambda x: x["__v"]), joined or ",").alias("inside"))
 
 
+def _dealt(key: str) -> Column:
+    """The document that a row's value stands in: fifty a document, so there are as many as the table is long."""
+    return F.expr(f"{key} div 50").cast("string")
+
+
 # Scan: planted tokens of every rule that has a sample
 
 _SAMPLES = sorted(samples.samples(builtin_rules()).items())
@@ -94,7 +99,7 @@ def _gl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gitleaks_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _gl_rows(spark, sf_dir)
     one = _json(F.col("rule").alias("RuleID"), F.col("uri").alias("File"), F.col("at").alias("StartLine"), F.concat(F.lit("fp"), F.col("page_id").cast("string")).alias("Fingerprint"), F.when(F.col("page_id") % 13 == 0, "hunter2").otherwise("REDACTED").alias("Secret"))
-    doc = _listed(r.withColumn("path", (F.col("page_id") % 3).cast("string")), ["path"], one, "page_id").select("path", F.concat(F.lit("["), "inside", F.lit("]")).alias("text"))
+    doc = _listed(r.withColumn("path", _dealt("page_id")), ["path"], one, "page_id").select("path", F.concat(F.lit("["), "inside", F.lit("]")).alias("text"))
     return gitleaks.findings(doc).select("pattern_name", "file", "line", "reject_reason")
 
 
@@ -104,7 +109,7 @@ def gitleaks_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.array(F.struct(F.struct(F.struct(F.col("uri")).alias("artifactLocation"), F.struct(F.col("at").alias("startLine")).alias("region")).alias("physicalLocation")))
     said = F.when(F.col("page_id") % 13 == 0, "found ghp_abc").otherwise("found a key")
     one = _json(F.col("rule").alias("ruleId"), F.struct(said.alias("text")).alias("message"), F.struct(F.col("page_id").cast("string").alias("gitleaksFingerprint")).alias("fingerprints"), place.alias("locations"))
-    doc = _listed(r.withColumn("path", (F.col("page_id") % 3).cast("string")), ["path"], one, "page_id").select("path", F.concat(F.lit('{"version":"2.1.0","runs":[{"results":['), "inside", F.lit("]}]}")).alias("text"))
+    doc = _listed(r.withColumn("path", _dealt("page_id")), ["path"], one, "page_id").select("path", F.concat(F.lit('{"version":"2.1.0","runs":[{"results":['), "inside", F.lit("]}]}")).alias("text"))
     return gitleaks.findings(doc).select("pattern_name", "file", "line", "reject_reason")
 
 
@@ -120,7 +125,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _manifest(name: str, line: Column, head: str = "", tail: str = "", joined: str = "\n") -> object:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = _parts(spark, sf_dir).withColumn("path", F.concat(F.lit("d"), (F.col("p_size") % 4).cast("string"), F.lit(f"/{name}")))
+        p = _parts(spark, sf_dir).withColumn("path", F.concat(F.lit("d"), _dealt("p_partkey"), F.lit(f"/{name}")))
         doc = _listed(p, ["path"], line(), "p_partkey", joined).select("path", F.concat(F.lit(head), "inside", F.lit(tail)).alias("text"))
         out = manifests.inventory(doc).select("kind", "ecosystem", "name", "version", "reason")
         return out.where("kind <> 'warning'")
@@ -151,6 +156,11 @@ for _k, (_name, _line, _head, _tail, _by) in _MANIFESTS.items():
 @query(f"""SELECT CASE WHEN p_size % 3 = 0 THEN 'cyclonedx' WHEN p_size % 3 = 1 THEN 'spdx' ELSE 'syft' END AS format, 'npm' AS ecosystem, 'pkg-' || p_partkey AS name, {_V} AS version,
 CASE WHEN p_partkey % 19 = 0 THEN 'malformed purl' END AS reject_reason FROM part""")
 def sbom_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.of_sbom(_sboms(spark, sf_dir)).select("format", "ecosystem", "name", "version", "reject_reason")
+
+
+def _sboms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty parts an SBOM, of three formats."""
     p = _parts(spark, sf_dir)
     purl = F.concat(F.lit("pkg:npm/"), "name", F.when(F.col("p_partkey") % 19 == 0, " @").otherwise("@"), "version")
     kind = F.col("p_size") % 3
@@ -159,10 +169,9 @@ def sbom_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, _json(F.col("name"), F.col("version").alias("versionInfo"), F.array(F.struct(F.lit("purl").alias("referenceType"), purl.alias("referenceLocator"))).alias("externalRefs")))
         .otherwise(_json(F.col("name"), F.col("version"), F.lit("npm").alias("type"), purl.alias("purl")))
     )
-    doc = _listed(p.withColumn("kind", kind), ["kind"], one, "p_partkey")
+    doc = _listed(p.withColumn("kind", kind).withColumn("block", _dealt("p_partkey")), ["kind", "block"], one, "p_partkey")
     head = F.when(F.col("kind") == 0, '{"bomFormat":"CycloneDX","specVersion":"1.6","components":[').when(F.col("kind") == 1, '{"spdxVersion":"SPDX-2.3","packages":[').otherwise('{"descriptor":{"name":"syft"},"artifacts":[')
-    out = inventory.of_sbom(doc.select(F.col("kind").cast("string").alias("path"), F.concat(head, "inside", F.lit("]}")).alias("text")))
-    return out.select("format", "ecosystem", "name", "version", "reject_reason")
+    return doc.select(F.concat_ws("/", F.col("kind").cast("string"), "block").alias("path"), F.concat(head, "inside", F.lit("]}")).alias("text"))
 
 
 def _evidence(sql: str, name: str, make: object) -> None:
@@ -174,7 +183,7 @@ def _osv_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parts(spark, sf_dir)
     v = F.array(F.struct(F.concat(F.lit("V-"), (F.col("p_partkey") % 50).cast("string")).alias("id"), F.array(F.lit("b"), F.lit("a"), F.lit("b")).alias("aliases")))
     one = _json(F.struct("name", "version", F.lit("npm").alias("ecosystem")).alias("package"), v.alias("vulnerabilities"))
-    doc = _listed(p.withColumn("path", (F.col("p_size") % 3).cast("string")), ["path"], one, "p_partkey").select("path", F.concat(F.lit('{"results":[{"source":{"path":"lock"},"packages":['), "inside", F.lit("]}]}")).alias("text"))
+    doc = _listed(p.withColumn("path", _dealt("p_partkey")), ["path"], one, "p_partkey").select("path", F.concat(F.lit('{"results":[{"source":{"path":"lock"},"packages":['), "inside", F.lit("]}]}")).alias("text"))
     return sbom.osv_scanner(doc).select("package", "version", "vulnerability", F.array_join("aliases", ",").alias("aliases"))
 
 
@@ -183,7 +192,7 @@ def _grype(spark: SparkSession, sf_dir: str) -> DataFrame:
     vulnerability = F.struct(F.concat(F.lit("V-"), (F.col("p_partkey") % 50).cast("string")).alias("id"), F.lit("High").alias("severity"))
     artifact = F.struct("name", "version", F.lit("npm").alias("type"), F.array(F.struct(F.lit("/x").alias("path")), F.struct(F.lit("/y").alias("path"))).alias("locations"))
     one = _json(vulnerability.alias("vulnerability"), F.array(F.struct(F.lit("b").alias("id")), F.struct(F.lit("a").alias("id"))).alias("relatedVulnerabilities"), artifact.alias("artifact"))
-    doc = _listed(p.withColumn("path", (F.col("p_size") % 3).cast("string")), ["path"], one, "p_partkey").select("path", F.concat(F.lit('{"matches":['), "inside", F.lit("]}")).alias("text"))
+    doc = _listed(p.withColumn("path", _dealt("p_partkey")), ["path"], one, "p_partkey").select("path", F.concat(F.lit('{"matches":['), "inside", F.lit("]}")).alias("text"))
     return sbom.grype(doc).select("package", "version", "vulnerability", F.array_join("aliases", ",").alias("aliases"), "target")
 
 
@@ -210,12 +219,12 @@ def _osv_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _inventory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, imports.Imported]:
     p = _parts(spark, sf_dir)
     line = F.concat(F.lit('"node_modules/'), F.col("p_partkey").cast("string"), F.lit('/node_modules/mod-'), (F.col("p_partkey") % 200).cast("string"), F.lit('": {"name": "mod-'), (F.col("p_partkey") % 200).cast("string"), F.lit('", "version": "'), "version", F.lit('"}'))
-    doc = _listed(p.withColumn("path", F.lit("package-lock.json")), ["path"], line, "p_partkey", ", ").select("path", F.concat(F.lit('{"lockfileVersion": 3, "packages": {'), "inside", F.lit("}}")).alias("text"))
+    doc = _listed(p.withColumn("repository", _dealt("p_partkey")), ["repository"], line, "p_partkey", ", ").select("repository", F.lit("package-lock.json").alias("path"), F.concat(F.lit('{"lockfileVersion": 3, "packages": {'), "inside", F.lit("}}")).alias("text"))
     return inventory.of_texts(doc.withColumn("length", F.length("text").cast("long"))), imports.osv(_osv_feed(spark, sf_dir).select("record"))
 
 
 _SEVERITY = "CASE a.s_suppkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'unknown' END"
-_INV = f"""SELECT DISTINCT 'mod-' || (c.p_partkey % 200) AS name, {_V.replace('p_partkey', 'c.p_partkey').replace('p_size', 'c.p_size')} AS version, 'OSV-' || a.s_suppkey AS advisory_id, {_SEVERITY} AS severity, 'snap-1' AS snapshot_id
+_INV = f"""SELECT c.p_partkey // 50 || '/package-lock.json' AS manifest_path, 'mod-' || (c.p_partkey % 200) AS name, {_V.replace('p_partkey', 'c.p_partkey').replace('p_size', 'c.p_size')} AS version, 'OSV-' || a.s_suppkey AS advisory_id, {_SEVERITY} AS severity, 'snap-1' AS snapshot_id
 FROM part c JOIN supplier a ON c.p_partkey % 200 = a.s_suppkey % 200 WHERE [c.p_partkey % 9, c.p_size % 7, c.p_partkey % 4] < [1 + a.s_suppkey % 8, a.s_suppkey % 5, 0]"""
 
 
@@ -225,9 +234,9 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.findings(rows, adv, feed.packages, "snap-1").drop("bad_version")
 
 
-@query(_INV)
+@query(f"SELECT name, version, advisory_id, severity, snapshot_id, manifest_path FROM ({_INV})")
 def inventory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).select("name", "version", "advisory_id", "severity", "snapshot_id")
+    return _found(spark, sf_dir).select("name", "version", "advisory_id", "severity", "snapshot_id", "manifest_path")
 
 
 @query(f"SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'unknown') AS unknown, count(*) AS finding_count FROM ({_INV})")
@@ -247,7 +256,7 @@ def vuln_report_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.get_json_object("value", "$.id").alias("advisory_id"), F.get_json_object("value", "$.properties.aliases[0]").alias("alias"))
 
 
-@query(f"SELECT advisory_id, severity, '[\"CVE-2024-' || (1000 + CAST(substr(advisory_id, 5) AS BIGINT)) || '\"]' AS aliases, 'package-lock.json' AS manifest_path, count(*) AS n FROM ({_INV}) GROUP BY ALL")
+@query(f"SELECT advisory_id, severity, '[\"CVE-2024-' || (1000 + CAST(substr(advisory_id, 5) AS BIGINT)) || '\"]' AS aliases, manifest_path, count(*) AS n FROM ({_INV}) GROUP BY ALL")
 def vuln_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = vulnreports.text_rows(vulnreports.strict(_found(spark, sf_dir), "snap-1"))
     return t.groupBy("advisory_id", "severity", "aliases", "manifest_path").agg(F.count("*").alias("n"))
@@ -279,7 +288,7 @@ def vuln_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_osv(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = _osv_feed(spark, sf_dir).select("record")
     bad = spark.createDataFrame([('{"modified": "2024"}',), ('{"id": "X"}',)], "record string")
-    i = imports.osv(good.unionAll(good.limit(5)).unionAll(bad))
+    i = imports.osv(good.unionAll(good).unionAll(bad))
     one = lambda df, n: df.agg(F.count("*").alias(n))
     return one(i.ledger, "ledger").crossJoin(one(i.advisories, "advisories")).crossJoin(one(i.packages, "packages")).crossJoin(one(i.errors, "errors"))  # one row each
 
@@ -292,12 +301,12 @@ def source_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.groupBy("native_record_id").agg(F.count("*").cast("int").alias("revisions"))
 
 
-@query("SELECT 'GHSA-' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') || '-AAAA-BBBB' AS id, 'CVE-2020-' || (1000 + s_suppkey) AS alias, '1.' || (s_suppkey % 9) AS introduced, '2.' || (s_suppkey % 9) AS fixed FROM supplier WHERE s_suppkey < 10000")
+@query("SELECT regexp_replace('GHSA-' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0'), '^(GHSA-)(....)(....)(....)$', '\\1\\2-\\3-\\4') AS id, 'CVE-2020-' || (1000 + s_suppkey) AS alias, '1.' || (s_suppkey % 9) AS introduced, '2.' || (s_suppkey % 9) AS fixed FROM supplier")
 def import_ghsa(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     rng = F.concat(F.lit(">= 1."), (k % 9).cast("string"), F.lit(", < 2."), (k % 9).cast("string"))
     v = F.array(F.struct(F.struct(F.lit("npm").alias("ecosystem"), F.lit("m").alias("name")).alias("package"), rng.alias("vulnerable_version_range")))
-    record = _json(F.concat(F.lit("ghsa-"), F.lpad(k.cast("string"), 4, "0"), F.lit("-aaaa-bbbb")).alias("ghsa_id"), F.concat(F.lit("CVE-2020-"), (1000 + k).cast("string")).alias("cve_id"), v.alias("vulnerabilities"))
+    record = _json(F.regexp_replace(F.concat(F.lit("ghsa-"), F.lpad(k.cast("string"), 12, "0")), "^(ghsa-)(....)(....)(....)$", "$1$2-$3-$4").alias("ghsa_id"), F.concat(F.lit("CVE-2020-"), (1000 + k).cast("string")).alias("cve_id"), v.alias("vulnerabilities"))
     i = imports.ghsa(table(spark, sf_dir, "supplier").where("s_suppkey < 10000").select(record.alias("record")))
     first = lambda f: F.get(F.filter(F.transform(F.col("affected")[0]["events"], lambda e: e[f]), lambda x: x.isNotNull()), F.lit(0))
     return i.advisories.select("id", F.col("aliases")[0].alias("alias"), first("introduced").alias("introduced"), first("fixed").alias("fixed"))
@@ -494,22 +503,38 @@ def cpe_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.cpe_mappings(p.unionAll(p)).groupBy(F.coalesce("reject_reason", F.lit("recorded")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT count(*) FILTER (p_partkey % 4 > 1) AS mapping_count, true AS same_digest FROM part")
+def cpe_mapping_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's count, and whether the digest is the same for the proposals in another order."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("cpe:2.3:a:v:"), k.cast("string"), F.lit(":1:*:*:*:*:*:*:*")).alias("cpe"), F.when(k % 4 == 0, "npm/a").otherwise(F.concat(F.lit("pkg:npm/a@"), k.cast("string"))).alias("purl"), F.lit("high").alias("confidence"), (k % 4 != 1).alias("operator_approved"), F.lit(" seen ").alias("rationale"))
+    one, _ = decisions.cpe_mapping_report(p)
+    two, _ = decisions.cpe_mapping_report(p.orderBy(F.desc("cpe")))
+    return one.crossJoin(two.select(F.col("content_digest").alias("other"))).select("mapping_count", (F.col("content_digest") == F.col("other")).alias("same_digest"))  # one row each
+
+
+@query(f"""SELECT k || '/' || b AS path, CASE k WHEN 0 THEN 'cyclonedx' WHEN 1 THEN 'spdx' ELSE 'syft' END AS format, CASE k WHEN 0 THEN '1.6' WHEN 1 THEN 'SPDX-2.3' END AS spec_version, count(*) FILTER (p_partkey % 19 <> 0) AS component_count, count(*) FILTER (p_partkey % 19 = 0) AS rejected_count,
+CASE WHEN count(*) FILTER (p_partkey % 19 = 0) > 0 THEN 'rejected' ELSE 'ok' END AS state FROM (SELECT p_partkey, p_size % 3 AS k, p_partkey // 50 AS b FROM part) GROUP BY k, b""")
+def sbom_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.sbom_report(_sboms(spark, sf_dir))[0]
+
+
 # Statements
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'not_affected without a justification' WHEN o_orderkey % 5 = 0 THEN 'unknown status' END AS reject_reason FROM orders WHERE o_orderkey < 4000")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'not_affected without a justification' WHEN o_orderkey % 5 = 0 THEN 'unknown status' END AS reject_reason FROM orders")
 def vex_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     status = F.when(k % 3 == 0, "not_affected").when(k % 5 == 0, "maybe").otherwise("fixed")
     one = _json(F.concat(F.lit("CVE-"), k.cast("string")).alias("vulnerability"), F.array(F.lit("pkg:npm/a@1")).alias("products"), status.alias("status"))
-    doc = _listed(table(spark, sf_dir, "orders").where("o_orderkey < 4000").withColumn("path", (k % 2).cast("string")), ["path"], one, "o_orderkey").select("path", F.concat(F.lit('{"statements":['), "inside", F.lit("]}")).alias("text"))
+    doc = _listed(table(spark, sf_dir, "orders").withColumn("path", _dealt("o_orderkey")), ["path"], one, "o_orderkey").select("path", F.concat(F.lit('{"statements":['), "inside", F.lit("]}")).alias("text"))
     return statements.vex(doc).select(F.regexp_extract("vulnerability", "([0-9]+)$", 1).cast("long").alias("o_orderkey"), "reject_reason")
 
 
-@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'missing reason' WHEN o_orderkey % 5 = 0 THEN 'incomplete lifecycle' ELSE 'ok' END AS outcome, count(*) AS n FROM orders WHERE o_orderkey < 4000 GROUP BY 1")
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'missing reason' WHEN o_orderkey % 5 = 0 THEN 'incomplete lifecycle' ELSE 'ok' END AS outcome, count(*) AS n FROM orders GROUP BY 1")
 def suppression_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     one = _json(F.concat(F.lit("sha256:"), F.sha2(k.cast("string"), 256)).alias("fingerprint"), F.when(k % 3 == 0, " ").otherwise("ok").alias("reason"), F.lit("me").alias("owner"), F.lit("T-1").alias("ticket"), F.lit("repo").alias("scope"), F.when(k % 5 == 0, "never").otherwise("2030-01-01").alias("expires_at"))
-    doc = _listed(table(spark, sf_dir, "orders").where("o_orderkey < 4000").withColumn("path", F.lit("s")), ["path"], one, "o_orderkey").select("path", F.concat(F.lit('{"version":2,"entries":['), "inside", F.lit("]}")).alias("text"))
+    doc = _listed(table(spark, sf_dir, "orders").withColumn("path", _dealt("o_orderkey")), ["path"], one, "o_orderkey").select("path", F.concat(F.lit('{"version":2,"entries":['), "inside", F.lit("]}")).alias("text"))
     return statements.suppressions(doc).groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -541,9 +566,15 @@ def benchmark_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmarks.latency(table(spark, sf_dir, "events").select(F.col("value").alias("elapsed_ms"))).select("count", "min", "max", "p50", "p95")
 
 
-@query("SELECT category, type, severity, CAST(n AS BIGINT) AS rules FROM (VALUES " + ", ".join(f"('{c}', '{t}', '{s}', {n})" for (c, t, s), n in sorted(pd.Series([(r.category, r.kind, r.severity) for r in builtin_rules()]).value_counts().items())) + ") AS t(category, type, severity, n)")
+_RULES = [(r.category, r.kind, r.severity) for r in builtin_rules()]
+
+
+@query(f"SELECT category, type, severity, count(*) AS rules FROM documents JOIN (VALUES {', '.join(str((i, *r)) for i, r in enumerate(_RULES))}) AS t(c, category, type, severity) ON doc_id % {len(_RULES)} = c GROUP BY ALL")
 def detection_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmarks.rule_inventory(scan.rule_table(spark, builtin_rules()))
+    """Each document stands for a use of one of the rules."""
+    rules = scan.rule_table(spark, builtin_rules()).withColumnRenamed("order", "c")
+    used = table(spark, sf_dir, "documents").select((F.col("doc_id") % len(_RULES)).cast("int").alias("c")).join(F.broadcast(rules), "c")
+    return benchmarks.rule_inventory(used)
 
 
 @query("SELECT count(*) AS advisories, CAST(0 AS BIGINT) AS withdrawn_advisories, count(*) AS affected_packages, 'snap-1' AS snapshot_id, 'sha256:x' AS source_digest FROM supplier")
@@ -552,9 +583,12 @@ def metadata_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmarks.metadata_metrics(i.advisories, i.packages, "snap-1", "sha256:x")
 
 
-@query("SELECT status, CAST(n AS BIGINT) AS feeds FROM (VALUES " + ", ".join(f"('{s}', {sum(f[2] == s for f in catalogs.FEEDS)})" for s in sorted({f[2] for f in catalogs.FEEDS})) + ") AS t(status, n)")
+@query(f"SELECT status, count(*) AS feeds FROM documents JOIN (VALUES {', '.join(str((i, f[2])) for i, f in enumerate(catalogs.FEEDS))}) AS t(c, status) ON doc_id % {len(catalogs.FEEDS)} = c GROUP BY status")
 def feed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogs.feed_counts(spark)
+    """Each document stands for a delivery of one of the feeds."""
+    names = F.array(*[F.lit(f[0]) for f in catalogs.FEEDS])
+    rows = table(spark, sf_dir, "documents").select(F.get(names, (F.col("doc_id") % len(catalogs.FEEDS)).cast("int")).alias("source"))
+    return rows.join(F.broadcast(catalogs.feed_catalog(spark)), "source").groupBy("status").agg(F.count("*").alias("feeds"))
 
 
 @query("SELECT 'snap-1' AS snapshot_id, 'retired' AS state, count(*) AS advisories, count(*) AS packages, 'osv' AS source_id FROM supplier UNION ALL SELECT 'snap-2', 'active', count(*), count(*), 'osv' FROM supplier WHERE s_suppkey % 2 = 0")

@@ -36,8 +36,8 @@ def scanner(config: Config | None = None, packs: list[Rule] = ()) -> tuple[list[
     return rules, ordered, config.threshold or threshold, check if config.config_check is None else config.config_check
 
 
-def context_findings(lines: DataFrame, rules: list[ContextRule], added: DataFrame | None = None, unit: list[str] = ("path",)) -> DataFrame:
-    """Matches of ordered rules as findings; with added only those that touch an added line."""
+def context_findings(lines: DataFrame, rules: list[ContextRule], added: DataFrame | None = None, unit: list[str] = ("path",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Matches of ordered rules as findings; with added only those that touch an added line. keep: columns of the unit that stay."""
     hits = context.context_matches(lines, rules, list(unit))
     if added is not None:
         hits = context.touching(hits, added, list(unit))
@@ -45,16 +45,16 @@ def context_findings(lines: DataFrame, rules: list[ContextRule], added: DataFram
     out = hits.join(F.broadcast(table), "rule_id")  # a row a rule
     return out.select(
         F.lit("policy").alias("type"), "pattern_name", "severity", F.col("path").alias("file"), F.col("line").cast("int").alias("line"), F.lit(0).alias("start"), "matched_text", "line_content", F.lit("context-pattern").alias("rule"),
-        "rule_id", "category", "confidence", "remediation", scan.fingerprint(F.col("rule_id"), F.col("path"), F.col("matched_text")).alias("fingerprint"),
+        "rule_id", "category", "confidence", "remediation", scan.fingerprint(F.col("rule_id"), F.col("path"), F.col("matched_text")).alias("fingerprint"), *keep,
     )
 
 
-def _result(lines: DataFrame, context_lines: DataFrame, changes: DataFrame, config: Config | None, packs: list[Rule], allow: list[policy.Allow], baseline: DataFrame | None, added: DataFrame | None = None, unit: list[str] = ("path",)) -> Result:
+def _result(lines: DataFrame, context_lines: DataFrame, changes: DataFrame, config: Config | None, packs: list[Rule], allow: list[policy.Allow], baseline: DataFrame | None, added: DataFrame | None = None, unit: list[str] = ("path",), keep: tuple[str, ...] = ()) -> Result:
     config = config or Config()
     rules, ordered, threshold, check = scanner(config, packs)
-    found = scan.findings(lines, rules)
+    found = scan.findings(lines, rules, keep)
     if ordered:
-        found = found.unionByName(context_findings(context_lines, ordered, added, unit))
+        found = found.unionByName(context_findings(context_lines, ordered, added, unit, keep))
     found = policy.apply_policy(found, threshold=threshold, ignore=list(config.ignore), high=list(config.high), medium=list(config.medium), allow=list(allow))
     raised = changes.withColumn("severity", policy.elevated(F.col("file"), F.col("severity"), list(config.high), list(config.medium)))
     out = Result(found, raised if check else raised.where("false"), scan.rejected(lines), None, config.fail_on, config.warn_on)
@@ -83,27 +83,33 @@ def folder(spark: SparkSession, root: str, recursive: bool = False, **options: o
     return texts(read.unionByName(rest), **options)
 
 
-def diffs(rows: DataFrame, config: Config | None = None, packs: list[Rule] = (), allow: list[policy.Allow] = (), baseline: DataFrame | None = None) -> Result:
+def diffs(rows: DataFrame, config: Config | None = None, packs: list[Rule] = (), allow: list[policy.Allow] = (), baseline: DataFrame | None = None, keep: tuple[str, ...] = ()) -> Result:
     """A scan of the added lines of diffs (diff_id, text); ordered rules see a hunk's new side. A diff that is
-    malformed is reported as rejected, as is a line that is too long."""
+    malformed is reported as rejected, as is a line that is too long. keep may be diff_id, which findings then have."""
     parsed = diff.diff_files(rows)
     lines = diff.diff_lines(parsed)
     side = lines.where("line_type in ('added', 'context')").select("diff_id", "path", "hunk", "line", "content", "line_type")
-    fresh = side.where("line_type = 'added'").select("path", "line", "content", (F.char_length("content") > scan.MAX_LINE_CHARS).alias("too_long"))
+    fresh = side.where("line_type = 'added'").select(*keep, "path", "line", "content", (F.char_length("content") > scan.MAX_LINE_CHARS).alias("too_long"))
     unit = ["diff_id", "path", "hunk"]
     good = parsed.where("reject_reason is null")
     change = F.when(F.col("operation") == "create", "added").when(F.col("operation") == "delete", "deleted").otherwise("modified")
     changes = classify.config_changes(good.select("path", change.alias("change")), F.col("change"))
-    out = _result(fresh, side.drop("line_type"), changes, config, packs, allow, baseline, side.where("line_type = 'added'").select(*unit, "line"), unit)
+    out = _result(fresh, side.drop("line_type"), changes, config, packs, allow, baseline, side.where("line_type = 'added'").select(*unit, "line"), unit, keep)
     bad = parsed.where("reject_reason is not null").select(F.coalesce("path", "diff_id").alias("path"), F.lit(0).alias("line"), F.lit(0).alias("n_chars"), F.col("reject_reason").alias("reason"))
     out.rejected = out.rejected.unionByName(bad)
     return out
 
 
-def history(rows: DataFrame, **options: object) -> DataFrame:
-    """Findings of commits' diffs (diff_id, seq, text), of each fingerprint that of the newest commit, in order of fingerprint."""
-    lines = diff.diff_lines(diff.diff_files(rows)).where("line_type = 'added'").join(rows.select(F.col("diff_id").cast("string").alias("diff_id"), "seq"), "diff_id")
-    found = scan.findings(lines.select("path", "line", "content", "seq").withColumn("path", F.concat(F.col("seq").cast("string"), F.lit("\0"), "path")))
-    found = found.withColumn("seq", F.split("file", "\0")[0].cast("int")).withColumn("file", F.split("file", "\0")[1])
-    found = found.withColumn("fingerprint", scan.fingerprint(F.col("rule_id"), F.col("file"), F.col("matched_text")))
-    return policy.first_seen(policy.apply_policy(found, **options), ["seq", "line", "start"]).orderBy("fingerprint")
+def history(rows: DataFrame, baseline: DataFrame | None = None, **options: object) -> Result:
+    """A scan of commits' diffs (diff_id, seq, text), each as a whole: of each fingerprint the finding of the newest commit (the
+    least seq), of each configuration change one row, and what any commit's scan had to reject, without which a
+    clean result would be an incomplete one. The baseline is applied to the history's findings together.
+    """
+    out = diffs(rows, keep=("diff_id",), **options)
+    seq = rows.select(F.col("diff_id").cast("string").alias("diff_id"), "seq")
+    out.findings = policy.first_seen(out.findings.join(seq, "diff_id"), ["seq", "line", "start"]).orderBy("fingerprint")
+    out.changes = out.changes.dropDuplicates(["type", "file", "severity", "change_type", "category"])
+    if baseline is not None:
+        out.counters = policy.baseline_counters(out.findings, baseline)
+        out.findings = policy.apply_baseline(out.findings, baseline)
+    return out

@@ -12,11 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions.catalogs import PROFILES
 from palisade.functions.control import canonical, signed, strict_json
 from palisade.functions.safefile import read_regular, write_private
 from palisade.operators import quality
-from palisade.sources import archives, feeds, imports
+from palisade.sources import archives, imports
 
 from .snapshots import Store, digest, gate, top_of_each
 
@@ -119,9 +118,10 @@ def sign_manifest(store: Store, snapshot_id: str, key_id: str, private: bytes) -
 def quality_gate(store: Store, snapshot_id: str) -> dict:
     """Whether a snapshot is there, staged, what its manifest states, and without rows that lack their other table."""
     state = {r["snapshot_id"]: r["state"] for r in store.states().collect()}.get(snapshot_id)
-    names = set() if state is None else {r["name"] for r in store.manifest(snapshot_id).collect()}
-    wrong = [] if state is None else store.verify(snapshot_id, {k: v for k, v in KEYS.items() if k in names})
-    checks = {"snapshot_exists": state is not None, "snapshot_state": state == "staged", "content": not any("content" in w for w in wrong), "references": not any("without" in w for w in wrong)}
+    there = state in ("staged", "active", "retired")
+    names = {r["name"] for r in store.manifest(snapshot_id).collect()} if there else set()
+    wrong = [] if not there else store.verify(snapshot_id, {k: v for k, v in KEYS.items() if k in names})
+    checks = {"snapshot_exists": there, "snapshot_state": state == "staged", "content": not any("content" in w for w in wrong), "references": not any("without" in w for w in wrong)}
     return {"healthy": all(checks.values()), "checks": checks, "issues": gate(checks) + wrong, "snapshot_id": snapshot_id}
 
 
@@ -157,13 +157,26 @@ def health(store: Store, snapshot_id: str | None = None) -> dict:
 def schema_status(store: Store) -> DataFrame:
     """(snapshot_id, schema_version, status): current, older (still read), or newer, which is refused."""
     rows = []
-    for r in store.states().where("state <> 'pruned'").collect():  # a row a snapshot
+    for r in store.states().where("state in ('staged', 'active', 'retired')").collect():  # a row a snapshot
         names = {m["name"] for m in store.manifest(r["snapshot_id"]).collect()}
         v = store.table(r["snapshot_id"], "about").first()["schema_version"] if "about" in names else None
         rows.append((r["snapshot_id"], v, "unknown" if v is None else "current" if v == VERSION else "older" if v < VERSION else "newer"))
     return store.spark.createDataFrame(rows, "snapshot_id string, schema_version int, status string")
 
 
+def read(store: Store, name: str, snapshot_id: str | None = None) -> DataFrame:
+    """A table of a snapshot, the active one by default. A snapshot of a newer schema than this code knows is refused,
+    as what its columns mean is not known; an older one is read as it is (``migrate`` adds columns)."""
+    at = snapshot_id or store.active()
+    if at is None:
+        raise KeyError("no snapshot is active")
+    names = {r["name"] for r in store.manifest(at).collect()}
+    version = store.table(at, "about").first()["schema_version"] if "about" in names else None
+    if version is not None and version > VERSION:
+        raise ValueError(f"snapshot {at} has schema {version}, newer than {VERSION}")
+    return store.table(at, name)
+
+
 def migrate(df: DataFrame, schema: str) -> DataFrame:
     """df in a newer schema of the same table: columns that it lacks are null, none is dropped or narrowed."""
     from pyspark.sql.types import StructType
@@ -187,7 +200,7 @@ def info(store: Store) -> dict:
 def reconcile(store: Store) -> dict:
     """All snapshots that verify, and what is wrong with the others; reads only, and names no content."""
     good, issues, sources = [], [], {}
-    for r in sorted(store.states().where("state <> 'pruned'").collect(), key=lambda r: r["snapshot_id"]):
+    for r in sorted(store.states().where("state in ('staged', 'active', 'retired')").collect(), key=lambda r: r["snapshot_id"]):
         try:
             m = manifest(store, r["snapshot_id"])
             wrong = store.verify(r["snapshot_id"], {k: v for k, v in KEYS.items() if k in m["tables"]})
@@ -207,48 +220,6 @@ def reconcile(store: Store) -> dict:
     return out | {"report_sha256": _sha(canonical(out))}
 
 
-def offline_update(store: Store, path: str, source_id: str, snapshot_id: str, apply: bool = False, most: int = 512 << 20) -> dict:
-    """Stages one local feed as a snapshot; with apply it becomes the active one."""
-    raw = read_regular(path, most, "feed")
-    rows = feeds.records(store.spark.createDataFrame([(path, raw.decode("utf-8"))], "path string, text string"))
-    stage(store, snapshot_id, source_id, _sha(raw), tables_of(imports.osv(rows, source_id)))
-    if apply:
-        activate(store, snapshot_id)
-    return manifest(store, snapshot_id) | {"state": "active" if apply else "staged", "activated": apply}
-
-
-def full_update(store: Store, snapshot_id: str, texts: dict[str, str], profile: str = "core", apply: bool = False) -> dict:
-    """A snapshot of all fetched sources of a profile (source id: JSON text): advisories first, then what enriches them.
-
-    A source that the profile does not take is left out; one that fails is named, and nothing is staged then.
-    """
-    spark, chosen = store.spark, PROFILES[profile][0]
-    rows = {s: feeds.records(spark.createDataFrame([(s, t)], "path string, text string"), {"cisa-kev": "vulnerabilities", "epss": "data", "nvd": "vulnerabilities"}.get(s)) for s, t in texts.items() if s in chosen}
-    parts = [imports.osv(rows["osv"])] if "osv" in rows else []
-    if "github-advisories" in rows:
-        parts.append(imports.ghsa(rows["github-advisories"]))
-    if not parts:
-        raise ValueError("no source of advisories")
-    columns = ("id", "aliases", "summary", "details", "published", "modified", "withdrawn", "source")
-    tables = {"advisories": parts[0].advisories.select(*columns), "packages": parts[0].packages, "ledger": parts[0].ledger, "errors": parts[0].errors}
-    for p in parts[1:]:
-        more = tables_of(p)
-        tables["advisories"] = tables["advisories"].unionByName(more["advisories"])
-        tables["ledger"], tables["errors"] = tables["ledger"].unionByName(more["ledger"]), tables["errors"].unionByName(more["errors"])
-        tables["packages"] = tables["packages"].unionByName(more["packages"].withColumn("ranges", F.array("events")).drop("events"), allowMissingColumns=True)
-    index = imports.correlate.alias_index(tables["advisories"])
-    for source, load in (("cisa-kev", imports.kev), ("epss", imports.epss)):
-        if source in rows:
-            hit, rest, bad = load(rows[source], index, True)
-            tables[source.replace("cisa-", "")], tables[f"{source.replace('cisa-', '')}_unresolved"] = hit, rest
-            tables["errors"] = tables["errors"].unionByName(bad.select(F.lit(source).alias("source_id"), F.col("cve_id").alias("id"), F.lit(None).cast("string").alias("content_digest"), "reason"))
-    body = canonical({s: _sha(t.encode()) for s, t in sorted(texts.items()) if s in chosen})
-    stage(store, snapshot_id, "full", _sha(body), tables)
-    if apply:
-        activate(store, snapshot_id)
-    return manifest(store, snapshot_id) | {"state": "active" if apply else "staged", "sources": sorted(rows)}
-
-
 # Seeds: small partial databases with a manifest that says so.
 
 
@@ -351,7 +322,7 @@ def export_bundle(store: Store, snapshot_id: str, path: str) -> dict:
         Path(folder, "manifest.json").write_bytes(canonical({"schema": BUNDLE, "version": 1, "manifest": m}))
         with tarfile.open(path, "x:gz") as t:
             t.add(f"{folder}/manifest.json", "manifest.json")
-            t.add(f"{store.root.removeprefix('file:')}/{snapshot_id}", "snapshot", filter=lambda i: None if i.name.endswith(".crc") else i)
+            t.add(store.folder(snapshot_id).removeprefix("file:"), "snapshot", filter=lambda i: None if i.name.endswith(".crc") else i)
     return m
 
 
@@ -393,8 +364,13 @@ def health_report(status: str, records: int, errors: int, invalid: int) -> bool:
 
 
 def rollback_ready(store: Store, keep: set[str]) -> dict:
-    """Whether a plan of what a prune would delete can be made; it is not applied."""
-    return {"ready": True, "applied": False, "plan": store.prune(keep, apply=False)}
+    """Whether a snapshot that was active before still is what its manifest states, so that it could be again, and
+    what a prune would delete; nothing is applied. A plan that would leave no such snapshot is not ready."""
+    plan = store.prune(keep, apply=False)
+    retired = sorted(r["snapshot_id"] for r in store.states().where("state = 'retired'").collect())
+    wrong = {s: store.verify(s, {k: v for k, v in KEYS.items() if k in {m["name"] for m in store.manifest(s).collect()}}) for s in retired}
+    good = [s for s, issues in wrong.items() if not issues]
+    return {"ready": any(s not in plan for s in good), "applied": False, "plan": plan, "targets": good, "issues": {s: i for s, i in wrong.items() if i}}
 
 
 def production_report(snapshot: dict, healthy: bool, sources: DataFrame, rollback: dict | None = None, recovery: dict | None = None, benchmark: dict | None = None) -> dict:

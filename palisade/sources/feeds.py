@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.tables import materialize
 from palisade.functions.versions import ecosystem
 
 EVENT = "struct<introduced:string,fixed:string,last_affected:string>"
@@ -155,17 +156,39 @@ def fixed_feed(rows: DataFrame, feed: str) -> DataFrame:
     )
 
 
-def csaf_products(rows: DataFrame, depth: int = 12) -> DataFrame:
-    """(record digest, product_id, purl) of CSAF product trees, to a depth of branches."""
-    x = rows.select(F.sha2("record", 256).alias("doc"), F.get_json_object("record", "$.product_tree").alias("node"))
-    out = None
-    for _ in range(depth):
-        product = F.from_json("node", "struct<full_product_names:array<struct<product_id:string,product_identification_helper:struct<purl:string>>>,product:struct<product_id:string,product_identification_helper:struct<purl:string>>,branches:array<string>>").alias("n")
-        level = x.select("doc", product)
-        one = level.select("doc", F.explode(F.array_compact(F.concat(F.array("n.product"), F.coalesce("n.full_product_names", F.array().cast("array<struct<product_id:string,product_identification_helper:struct<purl:string>>>"))))).alias("p"))
-        one = one.where("p.product_id is not null").select("doc", "p.product_id", F.col("p.product_identification_helper.purl").alias("purl"))
-        out = one if out is None else out.unionByName(one)
-        x = level.select("doc", F.explode("n.branches").alias("node"))
+#: Levels of a product tree that one round takes apart.
+LEVELS = 6
+_PRODUCT = "struct<product_id:string,product_identification_helper:struct<purl:string>>"
+
+
+def csaf_products(rows: DataFrame) -> DataFrame:
+    """(doc, product_id, purl) of CSAF product trees of any depth; doc is the record's digest.
+
+    A round takes LEVELS levels apart and writes what lies below them, for the next one; it goes on until no
+    tree has branches left, so the rounds grow with the deepest tree alone. A product that a tree names twice
+    comes twice.
+    """
+    front = rows.select(F.sha2("record", 256).alias("doc"), F.get_json_object("record", "$.product_tree").alias("node")).where("node is not null").dropDuplicates(["doc"])
+    found = []
+    while True:
+        level, parts = front, []
+        for _ in range(LEVELS):
+            product = F.from_json("node", f"struct<full_product_names:array<{_PRODUCT}>,product:{_PRODUCT},branches:array<string>>").alias("n")
+            level = level.select("doc", product)
+            parts.append(level.select("doc", F.explode(F.array_compact(F.concat(F.array("n.product"), F.coalesce("n.full_product_names", F.array().cast(f"array<{_PRODUCT}>"))))).alias("p")).select("doc", "p.product_id", F.col("p.product_identification_helper.purl").alias("purl"), F.lit(None).cast("string").alias("node")))
+            level = level.select("doc", F.explode("n.branches").alias("node"))
+        none = F.lit(None).cast("string")
+        out = level.select("doc", none.alias("product_id"), none.alias("purl"), "node")
+        for x in parts:
+            out = out.unionByName(x.where("product_id is not null"))
+        out = materialize(out, "products")
+        found.append(out.where("product_id is not null").drop("node"))
+        front = out.where("node is not null").select("doc", "node")
+        if front.isEmpty():
+            break
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
     return out
 
 

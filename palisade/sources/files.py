@@ -62,15 +62,18 @@ def listing(spark: SparkSession, root: str, recursive: bool = False) -> DataFram
 
 
 def contents(files: DataFrame, root: str) -> DataFrame:
-    """files (path, length) with their text; bytes that are no UTF-8 become replacement characters."""
+    """files (path, length) with their text; bytes that are no UTF-8 become replacement characters. A file that
+    has grown beyond the limit since it was listed has its new length and no text, so ``accepted`` refuses it."""
     top = str(Path(root).absolute())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, length in zip(pdf["path"], pdf["length"], strict=True):
+            for path in pdf["path"]:
                 with open(os.open(f"{top}/{path}", os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
-                    text = f.read(MAX_FILE_BYTES + 1).decode("utf-8", "replace")
-                yield pd.DataFrame({"path": [path], "length": [length], "text": [text]})
+                    raw = f.read(MAX_FILE_BYTES + 1)
+                    whole = len(raw) <= MAX_FILE_BYTES
+                    now = len(raw) if whole else max(os.fstat(f.fileno()).st_size, len(raw))
+                yield pd.DataFrame({"path": [path], "length": [now], "text": [raw.decode("utf-8", "replace") if whole else ""]})
 
     cores = files.sparkSession.sparkContext.defaultParallelism
     return files.select("path", "length").repartition(cores).mapInPandas(read, "path string, length long, text string")

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.tables import materialize
+
 #: Names of manifests, by parser (fixed values).
 NAMES = {
     "requirements": r"(^|/)requirements[^/]*\.txt$|(^|/)requirements/[^/]+\.txt$", "package_lock": r"(^|/)package-lock\.json$", "cargo_lock": r"(^|/)Cargo\.lock$", "go_mod": r"(^|/)go\.mod$",
@@ -52,14 +54,93 @@ def includes(files: DataFrame) -> DataFrame:
     return rows.select("path", F.concat(folder, F.col("t")).alias("target"))
 
 
-def include_depths(edges: DataFrame, roots: DataFrame, most: int = 8) -> DataFrame:
-    """(path, depth) reached from roots over include edges; at most ``most`` joins, so cycles end."""
-    seen = roots.select("path").distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for d in range(1, most + 1):
-        front = front.join(edges, "path").select(F.col("target").alias("path")).distinct().join(seen, "path", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
+def closure(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(root, path, depth, warning) of the files that includes lead to from each root, the root itself at depth 0.
+
+    edges: path, target; roots: path. Each round joins the files that the last one reached first with the edges and
+    keeps those that are new to their root, until none is; a file's depth is the least. warning is null for a file
+    that is read, ``cycle`` for one that a file no less deep, to which it leads, includes again, and ``depth`` for one beyond
+    most levels, which is not followed. The rounds grow with the longest chain of includes; each is written.
+    """
+    edges = materialize(edges.select("path", "target").where("target is not null").distinct(), "edges")
+    first = roots.select(F.col("path").alias("root"), "path").where("path is not null").distinct()
+    seen = materialize(first.withColumn("depth", F.lit(0)), "reached")
+    front, depth, beyond = seen, 0, None
+    while True:
+        depth += 1
+        step = front.select("root", "path").join(edges, "path").select("root", F.col("target").alias("path")).distinct().join(seen, ["root", "path"], "left_anti").withColumn("depth", F.lit(depth))
+        step = materialize(step, "reached")
+        if step.isEmpty():
+            break
+        if most is not None and depth > most:
+            beyond = step
+            break
+        seen, front = seen.unionByName(step), step
+    out = seen.withColumn("warning", F.lit(None).cast("string"))
+    if beyond is not None:
+        out = out.unionByName(beyond.withColumn("warning", F.lit("depth")))
+    return out.unionByName(_cycles(edges, seen))
+
+
+def _cycles(edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """A row for each file that an include of a root's files, which is no less deep, closes a cycle with."""
+    own = cyclic(edges)
+    ends = lambda c: own.select(F.col("node").alias(c), F.col("cycle").alias(f"{c}_cycle"))
+    inside = edges.join(ends("path"), "path").join(ends("target"), "target").where("path_cycle = target_cycle").select("path", "target")
+    deep = lambda c, d: seen.select("root", F.col("path").alias(c), F.col("depth").alias(d))
+    back = inside.join(deep("path", "from"), "path").join(deep("target", "to"), ["root", "target"]).where(F.col("to") <= F.col("from"))
+    return back.groupBy("root", F.col("target").alias("path")).agg((F.min("from") + 1).cast("int").alias("depth")).withColumn("warning", F.lit("cycle"))
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """(node, cycle) of the nodes of directed edges (path, target) that lead back to themselves: those of one strongly
+    connected part have the same cycle.
+
+    Nodes that nothing leads to, or that lead nowhere, are taken away again and again. Of the rest each takes the
+    greatest name that leads to it; what in turn leads to that name, among those that took it, is its part. Parts are
+    taken away until nothing is left. Rows are never more than the edges.
+    """
+    out = edges.sparkSession.createDataFrame([], "node string, cycle string")
+    rest = edges.select("path", "target").distinct()
+    while True:
+        rest = _trimmed(rest)
+        if rest.isEmpty():
+            return out
+        color = materialize(rest.select(F.col("path").alias("node")).distinct().withColumn("cycle", F.col("node")), "colors")
+        moved = True
+        while moved:
+            come = rest.join(color.withColumnRenamed("node", "path"), "path").groupBy(F.col("target").alias("node")).agg(F.max("cycle").alias("come"))
+            step = color.join(come, "node").select("node", F.greatest("cycle", "come").alias("cycle"), (F.col("come") > F.col("cycle")).alias("moved"))
+            step = materialize(step, "colors")
+            moved, color = not step.where("moved").isEmpty(), step.select("node", "cycle")
+        back = rest.join(color.withColumnRenamed("node", "path").withColumnRenamed("cycle", "a"), "path").join(color.withColumnRenamed("node", "target").withColumnRenamed("cycle", "b"), "target").where("a = b").select("path", "target", F.col("a").alias("cycle"))
+        back = materialize(back, "inside")
+        part = front = color.where("node = cycle")
+        while True:
+            front = back.join(front.select(F.col("node").alias("target"), "cycle"), ["target", "cycle"]).select(F.col("path").alias("node"), "cycle").distinct().join(part, ["node", "cycle"], "left_anti")
+            front = materialize(front, "part")
+            if front.isEmpty():
+                break
+            part = part.unionByName(front)
+        part = materialize(part, "part")
+        out = out.unionByName(part)
+        gone = part.select("node")
+        rest = rest.join(gone.withColumnRenamed("node", "path"), "path", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("path", "target")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges whose nodes have both an edge in and one out, among these again."""
+    rest = materialize(edges, "rest")
+    n = rest.count()
+    while n:
+        into, out = rest.select(F.col("target").alias("path")).distinct(), rest.select(F.col("path").alias("target")).distinct()
+        rest = materialize(rest.join(into, "path", "left_semi").join(out, "target", "left_semi").select("path", "target"), "rest")
+        if (now := rest.count()) == n:
+            break
+        n = now
+    return rest
+
+
 
 
 def package_lock(files: DataFrame) -> DataFrame:
@@ -121,12 +202,14 @@ def composer_lock(files: DataFrame) -> DataFrame:
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {k: globals()[k] for k in NAMES}
 
 
-def inventory(files: DataFrame) -> DataFrame:
-    """What all manifests among files (path, text) name; of one package URL the first by path stays."""
+def inventory(files: DataFrame, repositories: bool = False) -> DataFrame:
+    """What all manifests among files (path, text) name; of one package URL the first by path stays. With repositories a
+    path's first folder is a repository, and of each repository the first stays."""
     out = None
     for k, parse in PARSERS.items():
         one = parse(files.where(F.col("path").rlike(NAMES[k])))
         out = one if out is None else out.unionByName(one)
     out = out.withColumn("purl", F.when(F.col("kind") == "component", F.concat(F.lit("pkg:"), "ecosystem", F.lit("/"), "name", F.lit("@"), "version")))
-    first = out.where("purl is not null").groupBy("purl").agg(F.min(F.struct("path", "kind", "ecosystem", "name", "version", "requirement", "reason")).alias("x")).select("x.*", "purl")
+    own = [F.split("path", "/", 2)[0].alias("__repository")] if repositories else []
+    first = out.where("purl is not null").groupBy(*own, "purl").agg(F.min(F.struct("path", "kind", "ecosystem", "name", "version", "requirement", "reason")).alias("x")).select("x.*", "purl")
     return first.unionByName(out.where("purl is null"))

@@ -81,6 +81,14 @@ def grype(files: DataFrame) -> DataFrame:
     )
 
 
+def evidence_report(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts, findings) of scanners' evidence: of each report (path) its findings and distinct vulnerabilities, and the findings
+    by target, ecosystem, package, version and vulnerability, in ranges of that order; missing parts stand first."""
+    counts = rows.groupBy("path").agg(F.count("*").alias("finding_count"), F.countDistinct("vulnerability").alias("vulnerability_count"))
+    order = [F.coalesce(F.col(c), F.lit("")) for c in ("target", "ecosystem", "package", "version", "vulnerability")]
+    return counts, rows.orderBy(*order, "path")
+
+
 def gitleaks(files: DataFrame) -> DataFrame:
     """Findings of a redacted report, a JSON array; rows whose evidence is not redacted are rejected."""
     d = F.from_json("text", "array<struct<RuleID:string,File:string,StartLine:int,Fingerprint:string,Secret:string,Match:string>>")

@@ -15,7 +15,7 @@ import pytest
 from palisade import __main__ as cli
 from palisade.functions import catalogs, control, ed25519, safefile
 from palisade.operators import decisions, inventory
-from palisade.plans import baselines, benchmarks, packs, scans, vulnreports
+from palisade.plans import baselines, benchmarks, packs, scans, updates, vulnreports
 from palisade.plans import store as stores
 from palisade.sources import archives, fetch, files, gitleaks
 
@@ -68,7 +68,7 @@ def test_diff_and_history(spark):
     rows = spark.createDataFrame([("c2", 0, text), ("c1", 1, text), ("bad", 2, "diff --git nonsense")], "diff_id string, seq int, text string")
     r = scans.diffs(rows.drop("seq"))
     assert r.findings.count() == 2 and r.rejected.count() == 1
-    assert [(x.seq, x.file, x.line) for x in scans.history(rows).collect()] == [(0, "x.py", 2)]
+    assert [(x.seq, x.file, x.line) for x in scans.history(rows).findings.collect()] == [(0, "x.py", 2)]
 
 
 def test_gitleaks_is_strict(spark, tmp_path):
@@ -192,9 +192,9 @@ def test_store(spark, tmp_path):
     s = stores.default_store(spark, str(tmp_path / "db"))
     for k, feed in (("one", OSV[:2]), ("two", OSV)):
         (tmp_path / k).write_text(json.dumps({"vulns": feed}))
-    m = stores.offline_update(s, str(tmp_path / "one"), "osv", "snap-one", apply=True)
+    m = updates.offline_update(s, str(tmp_path / "one"), "osv", "snap-one", apply=True)
     assert (m["advisory_count"], m["affected_package_count"], stores.info(s)["snapshot_id"]) == (2, 2, "snap-one")
-    assert stores.offline_update(s, str(tmp_path / "two"), "osv", "snap-two")["state"] == "staged"
+    assert updates.offline_update(s, str(tmp_path / "two"), "osv", "snap-two")["state"] == "staged"
     assert stores.quality_gate(s, "snap-two")["healthy"] and not stores.quality_gate(s, "none")["healthy"]
     stores.activate(s, "snap-two")
     r = stores.reconcile(s)
@@ -215,7 +215,7 @@ def test_store(spark, tmp_path):
     assert stores.rollback_ready(s, {"snap-two"})["plan"] == []
     (tmp_path / "bad").write_text('[{"id": "X"}]')
     with pytest.raises(ValueError):
-        stores.offline_update(s, str(tmp_path / "bad"), "osv", "snap-bad")
+        updates.offline_update(s, str(tmp_path / "bad"), "osv", "snap-bad")
 
 
 def test_seed_and_full_update(spark, tmp_path):
@@ -228,8 +228,11 @@ def test_seed_and_full_update(spark, tmp_path):
     with pytest.raises(ValueError):
         stores.activate_seed(s, m | {"advisory_count": 7})
     kev = {"vulnerabilities": [{k: "x" for k in ("vendorProject", "product", "vulnerabilityName", "shortDescription", "requiredAction")} | {"cveID": c, "dateAdded": "2024-01-01", "dueDate": "2024-01-02"} for c in ("CVE-2024-1000", "CVE-1999-1000")]}
-    r = stores.full_update(s, "snap-full", {"osv": json.dumps(OSV), "cisa-kev": json.dumps(kev), "nvd": "{}"})
-    assert r["sources"] == ["cisa-kev", "osv"] and s.table("snap-full", "kev").count() == s.table("snap-full", "kev_unresolved").count() == 1
+    paths = {"osv": OSV, "cisa-kev": kev, "nvd": {}}
+    for name, value in paths.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    r = updates.Update(s, "snap-full", {n: str(tmp_path / f"{n}.json") for n in paths}).run()
+    assert r["sources"] == ["cisa-kev", "osv"] and s.table(r["snapshot_id"], "kev").count() == s.table(r["snapshot_id"], "kev_unresolved").count() == 1
 
 
 def test_staged_artifacts_and_catalogs(tmp_path):
