@@ -77,11 +77,16 @@ def _runs(tree: object) -> tuple[str, ...]:
     return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=())
 
 
+#: First characters of literals that are tried one by one.
+CLASS = 6
+
+
 def automaton(literals: list[str]) -> str:
     """A regex that finds, at every place of a text, the longest of some literals that starts there.
 
-    The literals share their beginnings as in a tree, so a place is left at the first character that no literal goes on with; it
-    matches nothing but looks ahead, so one match does not hide another.
+    The literals share their beginnings as in a tree, so a place is left at the first character that no literal goes on with;
+    first characters are told apart by a few classes before they are one by one. It matches nothing but looks ahead, so one
+    match does not hide another.
     """
     tree: dict = {}
     for x in literals:
@@ -96,7 +101,10 @@ def automaton(literals: list[str]) -> str:
             return ""
         return f"(?:{'|'.join(each)})" + ("?" if "" in node else "") if len(each) > 1 or "" in node else each[0]
 
-    return f"(?=({text(tree)}))"
+    first = sorted(c for c in tree if c)
+    groups = [first[i : i + CLASS] for i in range(0, len(first), CLASS)]
+    each = [f"(?=[{''.join(map(re.escape, g))}])(?:{'|'.join(re.escape(c) + text(tree[c]) for c in g)})" for g in groups]
+    return f"(?=({'|'.join(each)}))"
 
 
 def literals_in(low: Column, literals: list[str]) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,11 @@ def built(key: tuple, make: Callable[[], object]) -> object:
     return _built[own]
 
 
+def constant(value: object, kind: str) -> Column:
+    """A list as a column that the optimizer turns into one literal; hundreds of single ones take seconds to build."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

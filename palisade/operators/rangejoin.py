@@ -8,7 +8,7 @@ is then one on equal nodes, in which a group with many rows is spread over as ma
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palisade.functions.tables import materialize, numbered
@@ -45,8 +45,10 @@ def holding(points: DataFrame, spans: DataFrame, by: list[str], at: str, low: st
     ends = spans.select(*by, F.explode(F.array(low, high)).alias("__at"))
     places = numbered(points.select(*by, F.col(at).alias("__at")).where("__at is not null").unionByName(ends).distinct(), *by, "__at")
     place = lambda name, to: places.select(*by, F.col("__at").alias(name), F.col("rank").alias(to))
-    inside = materialize(spans.join(place(low, "__low"), [*by, low]).join(place(high, "__high"), [*by, high]).drop(*by, low, high), "spans")
-    longest = inside.agg(F.max(F.col("__high") - F.col("__low"))).first()[0] or 0
+    widest = Observation()
+    inside = spans.join(place(low, "__low"), [*by, low]).join(place(high, "__high"), [*by, high]).drop(*by, low, high)
+    inside = materialize(inside.observe(widest, F.max(F.col("__high") - F.col("__low")).alias("places")), "spans")
+    longest = widest.get["places"] or 0
     levels = max(1, -(-int(longest).bit_length() // BITS))
     inside = inside.withColumn("__n", F.explode(_nodes(F.col("__low"), F.col("__high"), levels))).select("*", "__n.level", "__n.node").drop("__low", "__high", "__n")
     own = F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright("__place", BITS * i).alias("node")) for i in range(levels)])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palisade.functions import regexdialect as rx
 from palisade.functions.paths import normal
 from palisade.functions.registry import ASSIGNED, GENERIC, SEVERITIES, Rule, builtin_rules
-from palisade.functions.tables import built
+from palisade.functions.tables import built, constant
 
 MAX_LINE_CHARS = 256 * 1024
 #: The first part of every finding's fingerprint.
@@ -78,28 +78,37 @@ def candidates(low: Column, rules: list[Rule]) -> Column:
         return always
     # a literal that another begins with is at its place, too
     known = {x: sorted(set().union(*[o for y, o in of.items() if x.startswith(y)])) for x in of}
-    held = F.array(*[F.array(*map(F.lit, o)) for o in known.values()])
-    names = F.array(*map(F.lit, known))
+    held, names = constant(list(known.values()), "array<array<int>>"), constant(list(known), "array<string>")
     each = F.transform(rx.literals_in(low, list(known)), lambda x: F.get(held, F.array_position(names, x).cast("int") - 1))
     return F.array_distinct(F.concat(always, F.flatten(each)))
 
 
-def rule_hits(line: Column, few: Column, gates: dict[tuple[str, ...], Column], rules: list[Rule]) -> Column:
-    """Orders of the candidate rules that match a line."""
-    tests = []
-    for r in rules:
-        test = F.array_contains(few, r.order) & line.rlike(rx.java(r.regex, r.ignore_case))
-        if r.globs:
-            test = gates[r.globs] & test
-        tests.append(F.when(test, F.lit(r.order)))
-    return F.array_compact(F.array(*tests))
+def rule_hits(line: Column, few: Column, path: Column, rules: list[Rule], relaxed: bool) -> Column:
+    """Orders of the candidate rules that match a line in a file whose path fits the rule's globs. Only a candidate's tests
+    are run; they are found in two steps, by groups of orders."""
+    width = max(1, int(len(rules) ** 0.5))
+
+    def test(r: Rule) -> Column:
+        own = line.rlike(rx.java(r.regex, r.ignore_case))
+        return rx.any_glob(path, r.globs, relaxed) & own if r.globs else own
+
+    def told(order: Column) -> Column:
+        out = None
+        for start in range(0, len(rules), width):
+            inner = None
+            for r in rules[start : start + width]:
+                inner = F.when(order == r.order, test(r)) if inner is None else inner.when(order == r.order, test(r))
+            out = F.when(order < start + width, inner) if out is None else out.when(order < start + width, inner)
+        return F.coalesce(out, F.lit(False))
+
+    return F.filter(few, told) if rules else F.array().cast("array<int>")
 
 
 def resolve(spans: Column, rules: list[Rule]) -> Column:
     """Of the spans of a line, those that stay: a generic secret gives way to a specific one that it
     overlaps; then, by start, greater length and order, spans that overlap none taken before."""
-    generic = F.array(*[F.lit(r.name in GENERIC) for r in rules])
-    specific = F.array(*[F.lit(r.kind == "secret" and r.name not in GENERIC) for r in rules])
+    generic = constant([r.name in GENERIC for r in rules], "array<boolean>")
+    specific = constant([r.kind == "secret" and r.name not in GENERIC for r in rules], "array<boolean>")
     providers = F.filter(spans, lambda s: F.get(specific, s["order"]))
     kept = F.filter(spans, lambda s: ~(F.get(generic, s["order"]) & F.exists(providers, lambda p: (s["start"] < p["end"]) & (p["start"] < s["end"]))))
     zero = F.struct(F.lit(0).alias("upto"), F.array().cast(SPAN).alias("out"))
@@ -119,16 +128,12 @@ def matches(lines: DataFrame, rules: list[Rule] | None = None, first_only: bool
     """
     rules = builtin_rules() if rules is None else rules
     rules = [Rule(**{**r.__dict__, "order": i}) for i, r in enumerate(rules)]
-    globs = list(dict.fromkeys(r.globs for r in rules if r.globs))
     path = rx.normal_path(F.col("path"))
     out = lines.where(F.char_length("content") <= MAX_LINE_CHARS)
     out = out.withColumn("__path", path).withColumn("__low", rx.folded(F.col("content")))
-    for i, g in enumerate(globs):
-        out = out.withColumn(f"__g{i}", rx.any_glob(F.col("__path"), g, relaxed=not first_only))
-    gates = {g: F.col(f"__g{i}") for i, g in enumerate(globs)}
     name = (tuple(rules), first_only, resolved)
     out = _once(out, "__few", built(("few", name), lambda: candidates(F.col("__low"), rules))).where(F.size("__few") > 0)
-    out = _once(out, "__hits", built(("hits", name), lambda: rule_hits(F.col("content"), F.col("__few"), gates, rules))).where(F.size("__hits") > 0)
+    out = _once(out, "__hits", built(("hits", name), lambda: rule_hits(F.col("content"), F.col("__few"), F.col("__path"), rules, not first_only))).where(F.size("__hits") > 0)
     out = _once(out, "__all", built(("all", name), lambda: _all_spans(rules, first_only)))
     kept = built(("kept", name), lambda: resolve(F.col("__all"), rules)) if resolved and not first_only else F.col("__all")
     out = out.withColumn("__m", F.explode(kept))
@@ -137,7 +142,7 @@ def matches(lines: DataFrame, rules: list[Rule] | None = None, first_only: bool
 
 def _all_spans(rules: list[Rule], first_only: bool | str) -> Column:
     """Spans of the rules in __hits, checked; with first_only those of the older way."""
-    patterns = F.array(*[F.lit(rx.java(r.regex, r.ignore_case)) for r in rules])
+    patterns = constant([rx.java(r.regex, r.ignore_case) for r in rules], "array<string>")
     each = F.flatten(
         F.transform("__hits", lambda h: F.transform(
             _spans(F.col("content"), F.get(patterns, h)),
@@ -151,8 +156,8 @@ def _all_spans(rules: list[Rule], first_only: bool | str) -> Column:
         first = F.array_sort(each)
         each = F.filter(first, lambda s, i: F.coalesce(F.array_position(F.transform(first, lambda x: x["order"]), s["order"]) == i + 1, F.lit(False)))
     if first_only is True:
-        vendor = F.array(*[F.lit("CRT-SEC-021" <= r.rule_id <= "CRT-SEC-134") for r in rules])
-        generic = F.array(*[F.lit(r.name in GENERIC) for r in rules])
+        vendor = constant(["CRT-SEC-021" <= r.rule_id <= "CRT-SEC-134" for r in rules], "array<boolean>")
+        generic = constant([r.name in GENERIC for r in rules], "array<boolean>")
         some = F.exists(each, lambda s: F.get(vendor, s["order"]))
         each = F.filter(each, lambda s: ~(some & F.get(generic, s["order"])))
     return each

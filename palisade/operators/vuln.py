@@ -31,23 +31,26 @@ def canonical_purl(purl: Column) -> Column:
     return F.concat(F.lower(head), version, F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(""), sub)
 
 
-def pairs(components: DataFrame, packages: DataFrame, only: frozenset[str]) -> DataFrame:
+def spans_of(steps: Column, only: frozenset[str]) -> Column:
+    """The intervals, none of which overlaps another, outside which no version is in any range (their steps)."""
+    return versions.merged(F.flatten(F.transform(F.filter(steps, lambda r: r.isNotNull()), lambda r: versions.intervals(F.col("ecosystem"), r, only))))
+
+
+def pairs(components: DataFrame, packages: DataFrame) -> DataFrame:
     """(ecosystem, name, version, key, package) of distinct versions and packages that may match: by the list of
     versions, by an interval of the ranges that holds the version, or by ranges that hold every version.
 
-    components: ecosystem, name, version, key; packages: package (an id), ecosystem, name, versions, steps. No other
-    pair of a name is looked at. A pair comes once from the list and once from the ranges at most.
+    components: ecosystem, name, version, key, at (the key's sortable text); packages: package (an id), ecosystem, name, versions,
+    spans (``spans_of`` their steps). No other pair of a name is looked at. A pair comes once from the list and once from the ranges at most.
     """
     own = ["ecosystem", "name"]
-    of = F.flatten(F.transform(F.filter("steps", lambda r: r.isNotNull()), lambda r: versions.intervals(F.col("ecosystem"), r, only)))
-    spans = packages.select("package", *own, F.explode(versions.merged(of)).alias("x")).select("package", *own, "x.low", "x.high")
-    spans = materialize(spans, "spans")
+    spans = packages.select("package", *own, F.explode("spans").alias("x")).select("package", *own, "x.low", "x.high")
     whole = (F.col("low") == versions.LOWEST) & (F.col("high") == versions.HIGHEST)
-    points = components.select(*own, "version", "key", versions.sortable(F.col("ecosystem"), F.col("key"), only).alias("at"))
+    points = components.select(*own, "version", "key", "at")
     listed = packages.select("package", *own, F.explode(F.array_distinct("versions")).alias("version"))
     places = points.select(*own, "at").where("at is not null").distinct()
     held = rangejoin.holding(places, spans.where(~whole), own, "at", "low", "high")
-    out = components.join(listed, [*own, "version"]).withColumn("listed", F.lit(True))
+    out = points.drop("at").join(listed, [*own, "version"]).withColumn("listed", F.lit(True))
     out = out.unionByName(points.join(held, [*own, "at"]).drop("at").withColumn("listed", F.lit(False)))
     return out.unionByName(points.drop("at").join(spans.where(whole).drop("low", "high"), own).withColumn("listed", F.lit(False)))
 
@@ -70,11 +73,14 @@ def match(components: DataFrame, packages: DataFrame) -> DataFrame:
     only = versions.orders_of({r[0] for r in p.select("ecosystem").distinct().collect()})
     # versions are taken apart once for each distinct one and each event, not for each pair
     p = p.withColumn("steps", built(("steps", only), lambda: F.transform("ranges", lambda r: versions.steps(F.col("ecosystem"), r, only)))).withColumn("package", F.monotonically_increasing_id())
-    p = materialize(p, "packages")
+    p = p.select("*", F.explode(F.array(F.col("steps"))).alias("__steps")).drop("steps").withColumnRenamed("__steps", "steps")  # worked out once
+    p = materialize(p.withColumn("spans", built(("spans", only), lambda: spans_of(F.col("steps"), only))), "packages")
     c = components.where(F.coalesce("version", F.lit("")) != "").withColumn("ecosystem", eco).withColumn("name", name)
     distinct = c.select("ecosystem", "name", "version").distinct().withColumn("key", built(("key", only), lambda: versions.key(F.col("ecosystem"), F.col("version"), only)))
+    distinct = distinct.select("*", F.explode(F.array(F.col("key"))).alias("__key")).drop("key").withColumnRenamed("__key", "key")
+    distinct = distinct.withColumn("at", built(("at", only), lambda: versions.sortable(F.col("ecosystem"), F.col("key"), only)))
     distinct = materialize(distinct, "versions")
-    j = pairs(distinct, p.select("package", "ecosystem", "name", "versions", "steps"), only).join(p.drop("ecosystem", "name"), "package")
+    j = pairs(distinct, p.select("package", "ecosystem", "name", "versions", "spans")).join(p.drop("ecosystem", "name", "spans"), "package")
     exact = F.array_contains("versions", F.col("version"))
     told = built(("told", only), lambda: F.transform("steps", lambda r: versions.affected(F.col("ecosystem"), F.col("key"), r, only)))
     j = j.where(F.col("listed") | ~exact).select("*", F.explode(F.array(told)).alias("told"))

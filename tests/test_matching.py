@@ -101,6 +101,7 @@ def test_pairs_read_are_near_those_found(spark):
     p = spark.range(1500).select(F.col("id").alias("package"), F.lit("npm").alias("ecosystem"), F.lit("hot").alias("name"), F.array().cast("array<string>").alias("versions"), F.array(F.array(event(at("id * 2"), none), event(none, at("id * 2 + 5")))).alias("ranges"))
     only = versions.orders_of({"npm"})
     p = p.withColumn("steps", F.transform("ranges", lambda r: versions.steps(F.lit("npm"), r, only))).drop("ranges")
-    read = vuln.pairs(c, p, only).count()
+    p = p.withColumn("spans", vuln.spans_of(F.col("steps"), only))
+    read = vuln.pairs(c.withColumn("at", versions.sortable(F.lit("npm"), F.col("key"), only)), p).count()
     found = sum(min(2 * k + 5, 3000) - 2 * k for k in range(1500))
     assert found <= read <= 1.3 * found  # of 4.5 million pairs of the name
