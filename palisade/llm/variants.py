@@ -1,9 +1,9 @@
 """Groups of spelling variants: words one edit apart, found through their halves.
 
 Of two words one edit apart, one half of either stands unchanged at the start or the end of the other.
-Words are dealt to shards, whose Aho-Corasick automata hold the halves of their words, and to blocks;
-every shard's automaton scans every block's words. What a half meets at the right place and with a
-fitting length is verified.
+Aho-Corasick automata hold the halves of all words, in shards by the halves' outer letters, and scan all words: a word
+goes to the shards of its own first and of its own last letters, as no others hold a half that could stand there. What
+a half meets at the right place and with a fitting length is verified.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, maybe_broadcast
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of a shard and of a block at most, about; the least number of either, so that small inputs have tasks enough.
-CELL_WORDS, LEAST_CELLS = 100_000, 6
+#: Letters by which halves are dealt, words of a shard at most, about, and the least number of shards.
+OUTER, CELL_WORDS, LEAST_CELLS = 3, 20_000, 24
 
 
 def word_counts(docs: DataFrame, letters: int = 6, least: int = 5, every: int = 199) -> DataFrame:
@@ -47,19 +47,28 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
+def _cuts(rest: str) -> set[str]:
+    """A text, and it without each of its letters: of two texts one edit apart, one of either's is the same."""
+    return {rest, *(rest[:i] + rest[i + 1 :] for i in range(len(rest)))}
+
+
 class Halves:
-    """An automaton over both halves of some words."""
+    """An automaton over the first (0), the second (1) or both halves of some words. At a half the words that have it
+    stand under the cuts of their other half."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: list[str], sides: tuple[int, ...] = (0, 1)) -> None:
         import ahocorasick
 
         self.words = words
         held: dict[str, tuple[dict, dict]] = {}
         for i, w in enumerate(words):
             cut = len(w) // 2
-            for side, half in enumerate((w[:cut], w[cut:])):
+            for side in sides:
+                half, rest = (w[cut:], w[:cut]) if side else (w[:cut], w[cut:])
                 if half:
-                    held.setdefault(half, (defaultdict(list), defaultdict(list)))[side][len(w)].append(i)
+                    by_cut = held.setdefault(half, (defaultdict(list), defaultdict(list)))[side]
+                    for c in _cuts(rest):
+                        by_cut[c].append(i)
         self.automaton = ahocorasick.Automaton()
         for half, value in held.items():
             self.automaton.add_word(half, (len(half), *value))
@@ -74,31 +83,50 @@ class Halves:
         n = len(word)
         for end, (size, first, second) in self.automaton.iter(word):
             # a first half must stand at the start, a second half at the end
-            for by_length, placed in ((first, end + 1 == size), (second, end + 1 == n)):
-                if placed:
-                    for length in (n - 1, n, n + 1):
-                        out.update(w for i in by_length.get(length, ()) if one_edit(w := self.words[i], word))
+            for by_cut, placed, rest in ((first, end + 1 == size, word[size:]), (second, end + 1 == n, word[: n - size])):
+                if placed and by_cut:
+                    met = {i for c in _cuts(rest) for i in by_cut.get(c, ())}
+                    out.update(w for i in met if abs(len(w := self.words[i]) - n) <= 1 and one_edit(w, word))
         return out
 
 
 def near_pairs(words: DataFrame, cell_words: int = CELL_WORDS) -> DataFrame:
-    """(word, near), in both directions, of distinct words (a column ``word``) that are one edit apart.
+    """(word, near), in both directions, of distinct words (a column ``word``) of two letters or more that are one edit apart.
 
-    A cell is a shard's automaton and a block's words, both of bounded size, in one task; a word goes to as many
-    cells as there are shards and blocks, and each pair comes from one cell.
+    A shard holds the halves of many outer letters, or a part of those of letters that many words share; such
+    words are scanned in blocks, each by every part. So no task holds more than about cell_words words of either
+    kind, and a word goes to two shards but for those of frequent letters. A pair comes once.
     """
     held = materialize(words.select("word").where("word is not null").distinct(), "words")
-    cells = max(LEAST_CELLS, -(-held.count() // cell_words))
-    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    own = F.pmod(F.xxhash64("word"), F.lit(cells)).cast("int")
-    shards = held.select(own.alias("shard"), every.alias("block"), "word")
-    blocks = held.select(every.alias("shard"), own.alias("block"), "word")
+    n, shortest = held.agg(F.count("*"), F.coalesce(F.min(F.length("word")), F.lit(2 * OUTER))).first()
+    if shortest < 2:
+        raise ValueError("a word of one letter has no halves")
+    buckets, size = max(LEAST_CELLS, -(-2 * n // cell_words)), min(OUTER, shortest // 2)  # no half is shorter
+    outer = F.array(F.struct(F.lit(0).alias("side"), F.substring("word", 1, size).alias("key")), F.struct(F.lit(1).alias("side"), F.substring("word", -size, size).alias("key")))
+    dealt = held.select("word", F.explode(outer).alias("o")).select("word", "o.side", "o.key")
+    many = materialize(dealt.groupBy("side", "key").agg(F.ceil(F.count("*") / cell_words).cast("int").alias("parts")).where("parts > 1"), "many")
+    dealt = dealt.join(maybe_broadcast(many, many.count()), ["side", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    hot = F.col("parts") > 1
+    dealt = dealt.withColumn("bucket", F.when(hot, -1).otherwise(F.pmod(F.xxhash64("side", "key"), F.lit(buckets)).cast("int"))).withColumn("key", F.when(hot, F.col("key")).otherwise(""))
+    own, every = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cell = ("side", "bucket", "key", "part", "block")
+    halves = dealt.select("side", "bucket", "key", own.alias("part"), every.alias("block"), "word")
+    blocks = dealt.select(*[x.alias(f"own_{c}") for c, x in zip(cell, (F.col("side"), F.col("bucket"), F.col("key"), every, own), strict=True)], F.col("word").alias("own_word"))
 
     def scan(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        halves = Halves(shard["word"].tolist())
-        return pd.DataFrame([(w, x) for w in block["word"].tolist() for x in halves.near(w)], columns=["word", "near"])
-
-    return shards.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block")).applyInPandas(scan, "word string, near string")
+        out = []
+        if len(shard) and len(block):
+            side = int(shard["side"].iloc[0])
+            machine = Halves(shard["word"].tolist(), (side,))
+            for w in block["own_word"].tolist():
+                # what the first half meets, too, comes from its shard
+                out += [(w, x) for x in machine.near(w) if not side or not w.startswith(x[: len(x) // 2])]
+        return pd.DataFrame(out, columns=["word", "near"])
+
+    other = [f"own_{c}" for c in cell]
+    # words are short and their scan is long: tasks are not to be merged by their bytes
+    halves, blocks = halves.repartition(buckets, *cell), blocks.repartition(buckets, *other)
+    return halves.groupBy(*cell).cogroup(blocks.groupBy(*other)).applyInPandas(scan, "word string, near string")
 
 
 def group_variants(docs: DataFrame, letters: int = 6, least: int = 5, every: int = 199, times: int = 5) -> DataFrame:
