@@ -49,9 +49,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return each.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
+#: What rows of one document have in common; among them they are numbered.
+SAME = ("doc_id", "source", "__h")
+
+
 def draw(seed: int) -> Column:
-    """A whole number below DRAWS by a hash of seed, doc_id and text."""
-    return F.pmod(F.xxhash64(F.lit(f"mix {seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce(F.xxhash64("text"), F.lit(0))), F.lit(DRAWS))
+    """A whole number below DRAWS by a hash of seed, doc_id, text (``__h``) and a row's number among equal ones (``__o``)."""
+    return F.pmod(F.xxhash64(F.lit(f"mix {seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.col("__h"), F.col("__o")), F.lit(DRAWS))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__h", F.coalesce(F.xxhash64("text"), F.lit(0)))
+
+
+def _apart(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """docs with their rows' numbers among those of equal SAME, of which counts has how many there are (c). Only
+    repeated rows are numbered, dealt in ranges, so many copies are no task's alone."""
+    many = counts.where("c > 1").select(*[F.col(c).alias(f"{c}_many") for c in SAME])
+    if many.isEmpty():
+        return docs.withColumn("__o", F.lit(0).cast("long"))
+    on = _key("doc_id", "doc_id_many") & _key("source", "source_many") & (F.col("__h") == F.col("__h_many"))
+    rest = docs.join(many, on, "left_anti").withColumn("__o", F.lit(0).cast("long"))
+    repeated = docs.join(many, on, "left_semi").withColumn("__all", F.to_json(F.struct(*docs.columns)))
+    placed = numbered(repeated, *[F.col(c).asc_nulls_last() for c in SAME], F.col("__all")).drop("__all")
+    first = placed.groupBy(*SAME).agg(F.min("__n").alias("__first")).select(*[F.col(c).alias(f"{c}_many") for c in SAME], "__first")
+    placed = placed.join(first, on).withColumn("__o", F.col("__n") - F.col("__first"))
+    return rest.unionByName(placed.select(*docs.columns, "__o"))
 
 
 def _stratum(size: Column) -> Column:
@@ -107,8 +130,15 @@ def _plan(rows: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> Da
     return materialize(out.select(F.col("s").alias("__source"), F.col("t").alias("__stratum"), "source_size", "target", "whole", F.coalesce("bound", F.lit(0)).alias("bound")), "plan")
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(seed).alias("drawn")), "sizes")
+def _counted(docs: DataFrame) -> DataFrame:
+    """(SAME, size, c) of distinct documents and how many rows are each."""
+    return materialize(_hashed(docs).select(*SAME, word_count(F.col("text")).alias("size")).groupBy(*SAME, "size").agg(F.count("*").alias("c")), "counted")
+
+
+def _sized(counts: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, size, drawn), a row for each row of the documents; equal ones have draws of their own."""
+    each = counts.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+    return materialize(each.select("doc_id", "source", "size", draw(seed).alias("drawn")), "sizes")
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 0) -> DataFrame:
@@ -118,11 +148,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
     with probability equal to the fraction: by a hash of seed, doc_id and text, in strata of size
     (see ``_plan``), so that the words taken come within a few short documents of the target. The
     probability deviates only where a stratum of a small source cannot make up for the longer
-    documents before it. Reruns agree, and rows repeated in both are drawn alike. Null texts
+    documents before it. Reruns agree; of rows repeated in both as many are taken once
+    more as the fraction says, each by its number among them. Null texts
     have size 0; a null source is a source of its own; a source without words has target 0. An
     empty table gives no rows; other columns are ignored.
     """
-    rows = _sized(docs, seed)
+    rows = _sized(_counted(docs), seed)
     plan = _plan(rows, weights, most, seed)
     out = rows.join(maybe_broadcast(plan, plan.count(), PLAN_ROWS), _key("source", "__source") & (_stratum(F.col("size")) == F.col("__stratum")))
     out = out.withColumn("copies", (F.col("whole") + (F.col("drawn") < F.col("bound")).cast("int")).cast("int"))
@@ -132,9 +163,10 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 0) -> DataFrame:
     """docs with each row as many times as ``mixture`` takes it, docs' columns kept; the same holds
     for nulls, repeated rows and empty tables. Documents without words get no copy beyond floor(rate)."""
-    plan = _plan(_sized(docs, seed), weights, most, seed)
+    counts = _counted(docs)
+    plan = _plan(_sized(counts, seed), weights, most, seed)
     plan = plan.select("__source", "__stratum", F.col("whole").alias("__whole"), F.col("bound").alias("__bound"))
-    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__class", _stratum(F.col("__size")))
+    sized = _apart(_hashed(docs), counts).withColumn("__size", word_count(F.col("text"))).withColumn("__class", _stratum(F.col("__size")))
     out = sized.join(maybe_broadcast(plan, plan.count(), PLAN_ROWS), _key("source", "__source") & _key("__class", "__stratum"))
     out = out.withColumn("__times", (F.col("__whole") + (draw(seed) < F.col("__bound")).cast("int")).cast("int")).where("__times > 0")
     return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
