@@ -89,7 +89,9 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
     A text gets a template's label if a window of SPAN times as many words as the template has,
     over line ends, holds at least ``containment`` of the template's distinct words. Words are
     ranked by their count over all texts; the rarest words of a template (its prefix) find where
-    windows may stand, and the template's words around one bound the overlap before windows are counted. score is the greatest containment, 1 with
+    windows may stand. Of a prefix word only windows in which it is the template's rarest count, so its place
+    in the template and the number of no rarer words around it bound the overlap before windows are counted; what is looked at
+    around it is as long as two windows, whatever the text's length. score is the greatest containment, 1 with
     a base phrase, 0 without any label. Null texts count as empty and have no label; repeated
     rows are scanned alike; an empty table gives no rows; other columns are ignored.
     """
@@ -133,20 +135,27 @@ def _similar(text: Column, sets: list[tuple[str, list[str]]], spans: list[int],
     quick = "(?i)(?:^|" + GAP[:-1] + ")(?:" + "|".join(sorted(index)) + ")(?:$|" + GAP[:-1] + ")"
     kind = "array<struct<label:string,share:double>>"
     ranked = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
-    table = F.create_map(*[x for w, at in index.items() for x in (F.lit(rank[w]), F.array(*[F.lit(t) for t, _ in at]))])
+    # of each prefix token the templates, and how many of their tokens are not rarer
+    table = F.create_map(*[x for w, at in index.items() for x in (F.lit(rank[w]), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(len(sets[t][1]) - q).alias("left")) for t, q in at]))])
     full = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(tokens)).alias("n"), F.lit(math.ceil(containment * len(tokens) - 1e-9)).alias("need"), F.lit(span).alias("span"), F.array(*[F.lit(r) for r in sorted(rank[w] for w in tokens)]).alias("r")) for (label, tokens), span in zip(sets, spans, strict=True)])
     words = F.split(F.lower(F.btrim(F.regexp_replace(text, GAP, " "))), " ")
     # positions and ranks of the text's template words
     known = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), F.try_element_at(ranked, w).alias("r"))), lambda k: k["r"].isNotNull())
 
     def of_known(known: Column) -> Column:
-        met = F.flatten(F.transform(known, lambda k: F.transform(F.coalesce(F.try_element_at(table, k["r"]), F.array().cast("array<int>")), lambda t: F.struct(k["i"].alias("i"), F.get(full, t).alias("t")))))
+        own = lambda k, j: F.transform(F.coalesce(F.try_element_at(table, k["r"]), F.array().cast("array<struct<t:int,left:int>>")), lambda x: F.struct(k["i"].alias("i"), k["r"].alias("r"), j.alias("j"), x["left"].alias("left"), F.get(full, x["t"]).alias("t")))
+        met = F.flatten(F.transform(known, own))
 
         def overlap(m: Column) -> Column:
+            """The greatest overlap of a window in which the token met is the template's rarest; where a rarer one stands, that one meets it."""
             span, need = m["t"]["span"], m["t"]["need"]
-            near = F.filter(known, lambda k: (k["i"] > m["i"] - span) & (k["i"] < m["i"] + span) & F.array_contains(m["t"]["r"], k["r"]))
+            # words around it, of which no more can be near than the window is long
+            around = F.slice(known, F.greatest(F.lit(1), m["j"] + 2 - span), 2 * span)
+            near = F.filter(around, lambda k: (k["i"] > m["i"] - span) & (k["i"] < m["i"] + span) & (k["r"] >= m["r"]) & F.array_contains(m["t"]["r"], k["r"]))
             held = lambda near, s: F.size(F.array_distinct(F.transform(F.filter(near, lambda k: (k["i"] >= s) & (k["i"] < s + span)), lambda k: k["r"])))
-            most = lambda near: F.when(F.size(near) >= need, F.array_max(F.transform(F.filter(near, lambda k: k["i"] <= m["i"]), lambda k: held(near, k["i"])))).otherwise(F.lit(0))
+            # positional filter: what is left of the template from this token on, and of the words around
+            bound = lambda near: F.least(m["left"], F.size(F.array_distinct(F.transform(near, lambda k: k["r"]))))
+            most = lambda near: F.when(bound(near) >= need, F.array_max(F.transform(F.filter(near, lambda k: k["i"] <= m["i"]), lambda k: held(near, k["i"])))).otherwise(F.lit(0))
             return F.struct(m["t"]["label"].alias("label"), m["t"]["n"].alias("n"), need.alias("need"), _let(near, most).alias("both"))
 
         fits = F.filter(F.transform(met, overlap), lambda x: x["both"] >= x["need"])
