@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -229,16 +230,22 @@ GROUPED = ("iban", "card", "phone")
 
 
 def _matches(kind: str, text: str, taken: list[tuple[int, int]], c: Cipher) -> Iterator[tuple[int, int, str]]:
-    """(start, end, pseudonym) of a kind's values outside taken. If a match of groups fails, its
-    shorter beginnings are tried, then the search goes on behind its first group."""
+    """(start, end, pseudonym) of a kind's values outside taken, spans in order of which none overlaps another. If a match
+    of groups fails, its shorter beginnings are tried, then the search goes on behind its first group."""
     pattern, change = KINDS[kind]
     form, at = re.compile(pattern), 0
+    ends = [e for _, e in taken]
+
+    def free(start: int, end: int) -> bool:
+        i = bisect.bisect_right(ends, start)  # the first span that ends behind the start
+        return i == len(taken) or taken[i][0] >= end
+
     while m := form.search(text, at):
         breaks = [b.start() for b in re.finditer("[ .-]", m[0])] if kind in GROUPED else []
         at = m.start() + breaks[0] if breaks and breaks[0] else m.end()
         for n in [len(m[0]), *reversed(breaks)]:
             end = m.start() + n
-            if any(m.start() < e and s < end for s, e in taken) or (n < len(m[0]) and not form.fullmatch(m[0][:n])):
+            if not free(m.start(), end) or (n < len(m[0]) and not form.fullmatch(m[0][:n])):
                 continue
             if (new := change(m[0][:n], c)) is not None:
                 yield m.start(), end, new
@@ -258,7 +265,8 @@ def rewrite(text: str | None, c: Cipher) -> tuple[str | None, list[str], int]:
                 continue
             got = list(_matches(kind, text, taken, c))
             found += [(start, end, kind, new) for start, end, new in got]
-            taken += [(start, end) for start, end, _ in got]
+            if got:
+                taken = sorted(taken + [(start, end) for start, end, _ in got])
     if not found:
         return text, [], 0
     found.sort()
@@ -269,13 +277,17 @@ def rewrite(text: str | None, c: Cipher) -> tuple[str | None, list[str], int]:
     return "".join([*out, text[at:]]), sorted({f[2] for f in found}), len(found)
 
 
+#: Where a session keeps its key.
+KEY = "spark.palisade.pii.secret"
+
+
 def session_key(spark: SparkSession) -> bytes:
-    """The key that ``spark.palisade.pii.key`` holds; without one a random key, which the session
-    keeps there, so that its runs agree and no one else can undo them."""
-    said = spark.conf.get("spark.palisade.pii.key", None)
+    """The key that the setting KEY holds, whose name keeps Spark from showing its value in logs and pages; without
+    one a random key, which the session keeps there, so that its runs agree and no one else can undo them."""
+    said = spark.conf.get(KEY, None)
     if not said:
         said = secrets.token_hex(32)
-        spark.conf.set("spark.palisade.pii.key", said)
+        spark.conf.set(KEY, said)
     return said.encode()
 
 
