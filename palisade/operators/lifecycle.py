@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.registry import SEVERITIES
+from palisade.operators import incidents
 
 CONFIDENCE = ("low", "medium", "high")
 NOT_AFFECTED = "not_affected"
@@ -56,15 +57,15 @@ def _id(kind: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(f"{kind}-sha256:"), F.sha2(F.concat_ws("\u0000", *[F.lit(p) if isinstance(p, str) else p for p in parts]), 256))
 
 
-def graph(found: DataFrame, scope: str) -> DataFrame:
-    """Observation, fact, delta and incident ids of every finding; an id never holds the evidence's text."""
-    kind = F.when(F.col("type") == "secret", "native-line-rule").when(F.col("type") == "config", "config-classifier").otherwise("native-context-rule")
+def graph(found: DataFrame, scope: str, changes: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
+    """Observation, fact, delta and incident ids of every finding, configuration change and good observation of another
+    tool (see ``incidents``); an id never holds the evidence's text. A change's id comes from what changed and the file."""
+    kind = F.when(F.col("type") == "secret", "native-line-rule").otherwise("native-context-rule")
     o = _id("obs", kind, F.col("rule_id"), F.col("file"), F.col("line").cast("string"), F.col("fingerprint"))
     out = found.select("rule_id", "file", "line", "severity", "confidence", "category", kind.alias("source_kind"), o.alias("observation_id"))
+    if changes is not None or external is not None:
+        more = incidents.observations(None, changes, external)
+        out = out.unionByName(more.select(F.col("source_id").alias("rule_id"), F.col("path").alias("file"), "line", "severity", "confidence", "category", "source_kind", "observation_id"))
     out = out.withColumn("fact_id", _id("fact", F.col("rule_id"), F.col("category"), scope, F.col("observation_id")))
     out = out.withColumn("delta_id", _id("delta", "added", F.col("fact_id"), scope)).withColumn("delta", F.lit("added"))
     return out.withColumn("incident_id", _id("incident", "open", scope, F.col("fact_id"), F.col("delta_id"))).withColumn("status", F.lit("open"))
-
-
-def can_transition(current: Column, target: Column) -> Column:
-    return (current == "open") & target.isin("resolved", "superseded")

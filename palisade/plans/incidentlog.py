@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions.tables import materialize
 from palisade.operators import incidents
 from palisade.plans.snapshots import Store
 
@@ -31,13 +32,13 @@ class IncidentLog:
         """
         run = self.last_run() + 1
         stored = self.current()
-        current = incidents.facts(incidents.observations(found, changes, external), scope)
+        seen = materialize(incidents.observations(found, changes, external), "observations")  # the scan runs once
+        current = incidents.facts(seen, scope)
         hidden = None
         if unread is not None:
-            seen = self.places().join(unread.select("path").distinct(), "path", "left_semi")
-            hidden = seen.select("subject").distinct()
+            hidden = self.places().join(unread.select("path").distinct(), "path", "left_semi").select("subject").distinct()
         merged, deltas = incidents.merge(stored, current, run, scope, unread=hidden)
-        placed = incidents.observations(found, changes, external).select("observation_id", "path")
+        placed = seen.select("observation_id", "path")
         places = current.select("subject", F.explode("observation_ids").alias("observation_id")).join(placed, "observation_id").select("subject", "path").distinct()
         tables = {"incidents": merged, "deltas": deltas, "places": self.places().unionByName(places).distinct()}
         name = f"run-{run}"

@@ -297,6 +297,11 @@ def test_graph(spark):
     found = scan.findings(lines_of(spark, [("a", 1, "password=abcdefgh")]))
     g = lifecycle.graph(found, "repo").first()
     assert g.source_kind == "native-line-rule" and g.incident_id.startswith("incident-sha256:") and len({g.fact_id, g.delta_id, g.observation_id}) == 3
+    change = lambda severity, how: spark.createDataFrame([("config", ".env", severity, how, "ENV")], "type string, file string, severity string, change_type string, category string")
+    ids = lambda *a: lifecycle.graph(found, "repo", change(*a)).where("source_kind = 'config-classifier'").first()
+    one = ids("high", "added")
+    assert (one.rule_id, one.line, one.confidence, one.delta) == ("config:added:.env", 0, "high", "added")
+    assert ids("high", "added").incident_id == one.incident_id != ids("high", "deleted").incident_id
 
 
 def test_custom_rule_order():
