@@ -101,8 +101,12 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, least: int = LEAST) -> Model:
     words = have.join(F.broadcast(share), "lang").where(near).select("lang", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+")).alias("word")).where("word <> ''")
     words = materialize(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("marked") - n + 1)), lambda i, n=n: F.substring(F.col("marked"), i, F.lit(n))) for n in range(1, LONGEST + 1)]
-    grams = words.select("lang", "n", marked.alias("marked")).select("lang", "n", F.explode(F.concat(*cut)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def cut(n: int) -> Column:
+        # a word that is shorter than n is its own longest n-gram
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("marked") - n + 1)), lambda i: F.substring(F.col("marked"), i, F.lit(n)))
+
+    grams = words.select("lang", "n", marked.alias("marked")).select("lang", "n", F.explode(F.concat(*[cut(n) for n in range(1, LONGEST + 1)])).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = materialize(grams.withColumn("len", F.length("gram")), "grams")
 
     langs = [r["lang"] for r in counts]
