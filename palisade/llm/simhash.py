@@ -164,6 +164,13 @@ def probe_keys(fp: F.Column, plan: list[tuple[list[int], int]]) -> F.Column:
     """Bucket keys of a fingerprint: its own value in each partition and, within the
     threshold, the neighbouring values whose highest flipped bit it has not set.
     Of two fingerprints that differ so, exactly one reaches the other's bucket."""
+
+    def near(own: F.Column, table: F.Column) -> F.Column:
+        return F.transform(F.filter(table, lambda x: fp.bitwiseAND(x["h"]) == 0), lambda x: own.bitwiseXOR(x["f"]))
+
+    def placed(i: int, keys: F.Column) -> F.Column:
+        return F.transform(keys, lambda k: F.xxhash64(F.lit(i), k))
+
     all_keys = []
     for i, (part, t) in enumerate(plan):
         own = fp.bitwiseAND(F.lit(_signed(sum(1 << p for p in part))))
@@ -171,8 +178,8 @@ def probe_keys(fp: F.Column, plan: list[tuple[list[int], int]]) -> F.Column:
         keys = F.array(own)
         if flips:
             table = F.array(*[F.struct(F.lit(_signed(sum(1 << p for p in c))).alias("f"), F.lit(_signed(1 << max(c))).alias("h")) for c in flips])
-            keys = F.concat(keys, F.transform(F.filter(table, lambda x, fp=fp: fp.bitwiseAND(x["h"]) == 0), lambda x, own=own: own.bitwiseXOR(x["f"])))
-        all_keys.append(F.transform(keys, lambda k, i=i: F.xxhash64(F.lit(i), k)))
+            keys = F.concat(keys, near(own, table))
+        all_keys.append(placed(i, keys))
     return F.concat(*all_keys) if len(all_keys) > 1 else all_keys[0]
 
 
