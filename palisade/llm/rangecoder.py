@@ -16,9 +16,9 @@ import numpy as np
 
 MAGIC, VERSION = b"PTID", 1
 #: Ids of a block at most and at least; blocks side by side at most.
-BLOCK, LEAST_BLOCK, LANES = 4096, 512, 2048
+BLOCK, LEAST_BLOCK, LANES = 2048, 512, 4096
 #: Bits of an order's table of contexts; nodes of the digits' trees below the second level share so many.
-BITS, SHARED = 12, 512
+BITS, SHARED = 11, 256
 #: What is added to a count, and the sums at which a choice's and a digit's counts are halved.
 STEP, MOST_CHOICE, MOST_DIGIT = 24, 4000, 6000
 WORD, LEAST_RANGE, WHOLE = 16, 1 << 32, 1 << 48
@@ -44,12 +44,15 @@ class _Coder:
                 self.low = (self.low << WORD) | words[self.at]  # here: the code's distance from the low end
                 self.at += 1
 
-    def value(self, lanes: slice | np.ndarray, total: np.ndarray) -> np.ndarray:
+    def unit(self, lanes: slice | np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The range's width for one of the total."""
+        return self.range[lanes] // total
+
+    def value(self, lanes: slice | np.ndarray, r: np.ndarray) -> np.ndarray:
         """Where in the total the code stands; at the top it may be a rounding's width above."""
-        return self.low[lanes] // (self.range[lanes] // total)
+        return self.low[lanes] // r
 
-    def take(self, lanes: slice | np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[lanes] // total
+    def take(self, lanes: slice | np.ndarray, start: np.ndarray, freq: np.ndarray, r: np.ndarray) -> None:
         now = r * freq
         moved = start * r
         low = self.low[lanes] + moved if self.words is None else self.low[lanes] - moved
@@ -88,50 +91,60 @@ def _step(counts: np.ndarray, total: np.ndarray, most: int) -> np.ndarray:
     return counts
 
 
-def _digit(coder: _Coder, tree: np.ndarray, node: np.ndarray, lanes: np.ndarray, want: np.ndarray | None) -> np.ndarray:
-    """One digit of some blocks under their nodes' counts, four packed words a node."""
-    at = node * 4
-    words = [tree.take(at + j) for j in range(4)]
-    upto = [w * ONES for w in words]  # in each sixteen bits the sum so far
-    sums = [u >> 48 for u in upto]
-    s1 = sums[0] + sums[1]
-    s2 = s1 + sums[2]
-    total = s2 + sums[3]
-    if want is None:
-        v = np.minimum(coder.value(lanes, total), total - 1)
-        j = (v >= sums[0]).astype(np.int64) + (v >= s1) + (v >= s2)
-    else:
-        j = want >> 2
-    every = np.arange(len(lanes))
-    pick = j * len(lanes) + every
-    base = np.concatenate([np.zeros_like(s1), sums[0], s1, s2]).take(pick)
-    u, w = np.concatenate(upto).take(pick), np.concatenate(words).take(pick)
-    if want is None:
-        v -= base
-        k = (v >= (u & 0xFFFF)).astype(np.int64) + (v >= (u >> 16 & 0xFFFF)) + (v >= (u >> 32 & 0xFFFF))
-        want = j << 2 | k
-    else:
-        k = want & 3
-    bit = k << 4
-    freq = w >> bit & 0xFFFF
-    coder.take(lanes, base + ((u >> bit) & 0xFFFF) - freq, freq, total)
-    tree[at + j] = w + (STEP << bit)
-    over = np.flatnonzero(total > MOST_DIGIT)
-    if over.size:
+def _place(v: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Sixteen times the place, of four, at whose running sum a value stands."""
+    return ((v >= (upto & 0xFFFF)).astype(np.int64) + (v >= (upto >> 16 & 0xFFFF)) + (v >= (upto >> 32 & 0xFFFF))) << 4
+
+
+class _Trees:
+    """Counts of the digits under their nodes: four sums of four counts each a node, packed alike."""
+
+    def __init__(self, nodes: int) -> None:
+        self.sums = np.full(nodes, 4 * ONES, np.int64)
+        self.counts = np.full(nodes * 4, ONES, np.int64)
+
+    def code(self, coder: _Coder, node: np.ndarray, lanes: np.ndarray, want: np.ndarray | None) -> np.ndarray:
+        """One digit of some blocks."""
+        sums = self.sums.take(node)
+        over = sums * ONES
+        total = over >> 48
+        r = coder.unit(lanes, total)
+        if want is None:
+            v = np.minimum(coder.value(lanes, r), total - 1)
+            j = _place(v, over)
+        else:
+            j = want >> 2 << 4
+        base = ((over << 16) >> j) & 0xFFFF
+        at = node * 4 + (j >> 4)
+        counts = self.counts.take(at)
+        upto = counts * ONES
+        k = _place(v - base, upto) if want is None else (want & 3) << 4
+        freq = counts >> k & 0xFFFF
+        coder.take(lanes, base + (((upto << 16) >> k) & 0xFFFF), freq, r)
+        self.counts[at] = counts + (STEP << k)
+        self.sums[node] = sums + (STEP << j)
+        many = np.flatnonzero(total > MOST_DIGIT)
+        if many.size:
+            self._halve(node[many])
+        return j >> 2 | k >> 4 if want is None else want
+
+    def _halve(self, node: np.ndarray) -> None:
+        packed = np.zeros(len(node), np.int64)
         for i in range(4):
-            own = at[over] + i
-            tree[own] = ((tree[own] + ONES) >> 1) & HALVES
-    return want
+            own = node * 4 + i
+            self.counts[own] = less = ((self.counts[own] + ONES) >> 1) & HALVES
+            packed |= (less * ONES >> 48) << 16 * i
+        self.sums[node] = packed
 
 
 def _run(lengths: np.ndarray, digits: int, ids: np.ndarray | None, coder: _Coder) -> np.ndarray:
     """Codes blocks of falling lengths, side by side; ids has a row for each place in the blocks."""
     n, longest = len(lengths), int(lengths[0])
-    out = ids if ids is not None else np.zeros((longest, n), np.int64)
+    out = ids if ids is not None else np.zeros((longest, n), np.int32)
     nodes = 1 + (16 if digits > 1 else 0) + (256 if digits > 2 else 0) + SHARED * max(0, digits - 3)
-    one, two = (np.zeros(n << BITS, np.int64) for _ in range(2))  # id << 3 | confidence
+    one, two = (np.zeros(n << BITS, np.int32) for _ in range(2))  # id << 3 | confidence
     choice = np.full(n * 128, 40 | 20 << 16 | 40 << 32, np.int64)
-    tree = np.full(n * nodes * 4, ONES, np.int64)
+    trees = _Trees(n * nodes)
     base, mask = np.arange(n, dtype=np.int64), (1 << BITS) - 1
     last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
     live = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")
@@ -140,22 +153,23 @@ def _run(lengths: np.ndarray, digits: int, ids: np.ndarray | None, coder: _Coder
         lane, p, q = base[:k], last[:k], before[:k]
         i1 = (lane << BITS) + ((p * 0x9E3779B1 >> 12) & mask)
         i2 = (lane << BITS) + (((q * 0x9E3779B1 + p) * 0x85EBCA6B >> 14) & mask)
-        g1, g2 = one[i1], two[i2]
+        g1, g2 = one.take(i1).astype(np.int64), two.take(i2).astype(np.int64)
         id1, c1, id2, c2 = g1 >> 3, g1 & 7, g2 >> 3, g2 & 7
         state = lane * 128 + ((id1 == id2) << 6 | c2 << 3 | c1)
-        shares = choice[state]
+        shares = choice.take(state)
         upto = shares * ONES
-        w2, w21, total = upto & 0xFFFF, upto >> 16 & 0xFFFF, upto >> 32 & 0xFFFF
+        total = upto >> 48
+        r = coder.unit(slice(0, k), total)
         if ids is not None:
-            s = out[t, :k]
+            s = out[t, :k].astype(np.int64)
             which = np.where(s == id2, 0, np.where(s == id1, 1, 2))
         else:
-            v = coder.value(slice(0, k), total)
-            which = (v >= w2).astype(np.int64) + (v >= w21)
+            v = coder.value(slice(0, k), r)
+            which = (v >= (upto & 0xFFFF)).astype(np.int64) + (v >= (upto >> 16 & 0xFFFF))
             s = np.where(which == 0, id2, id1)
         bit = which << 4
         freq = shares >> bit & 0xFFFF
-        coder.take(slice(0, k), (upto >> bit & 0xFFFF) - freq, freq, total)
+        coder.take(slice(0, k), (upto >> bit & 0xFFFF) - freq, freq, r)
         choice[state] = _step(shares + (STEP << bit), total, MOST_CHOICE)
         rest = np.flatnonzero(which == 2)
         if rest.size:
@@ -163,14 +177,15 @@ def _run(lengths: np.ndarray, digits: int, ids: np.ndarray | None, coder: _Coder
             for d in range(digits):
                 shift = 4 * (digits - 1 - d)
                 node = rest * nodes + at + (head if d < 3 else (head * 0x9E3779B1 >> 9) % SHARED)
-                got = _digit(coder, tree, node, rest, (want >> shift) & 15 if ids is not None else None)
+                got = trees.code(coder, node, rest, (want >> shift) & 15 if ids is not None else None)
                 head = head << 4 | got
                 at += (1, 16, 256)[d] if d < 3 else SHARED
             if ids is None:
                 s[rest] = head
         one[i1] = np.where(id1 == s, g1 + (c1 < 7), np.where(c1 > 1, g1 - ((c1 + 1) >> 1), s << 3))
         two[i2] = np.where(id2 == s, g2 + (c2 < 7), np.where(c2 > 1, g2 - ((c2 + 1) >> 1), s << 3))
-        out[t, :k] = s
+        if ids is None:
+            out[t, :k] = s
         before[:k] = p
         last[:k] = s
     return out
@@ -181,22 +196,22 @@ def _digits(ids: np.ndarray) -> int:
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, block: int | None = None) -> bytes:
-    """A segment: ids (below 2^31) of documents of some lengths, in blocks. A small segment has shorter
+    """A segment: ids (below 2^28) of documents of some lengths, in blocks. A small segment has shorter
     blocks, so that enough of them are coded side by side."""
     ids = np.ascontiguousarray(ids, "<u4")
     lengths = np.ascontiguousarray(lengths, "<u8")
     if int(lengths.sum()) != len(ids):
         raise ValueError("the lengths are not those of the ids")
-    block = block or min(BLOCK, max(LEAST_BLOCK, len(ids) // 1024))
+    block = block or min(BLOCK, max(LEAST_BLOCK, len(ids) // 2048))
     digits, n_blocks = _digits(ids), -(-len(ids) // block)
     sums = np.array([zlib.crc32(ids[i * block : (i + 1) * block]) for i in range(n_blocks)], "<u4")
     words, sizes = [np.zeros(0, "<u2")], [np.zeros(0, "<u4")]
     for first in range(0, n_blocks, LANES):
-        own = ids[first * block : (first + LANES) * block].astype(np.int64)
+        own = ids[first * block : (first + LANES) * block]
         n = -(-len(own) // block)
         each = np.full(n, block)
         each[-1] = len(own) - (n - 1) * block
-        laid = np.zeros((n, block), np.int64)
+        laid = np.zeros((n, block), np.int32)
         laid.ravel()[: len(own)] = own
         coder = _Coder(n)
         _run(each, digits, np.ascontiguousarray(laid.T)[: each[0]], coder)
