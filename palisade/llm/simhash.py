@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, materialize, maybe_broadcast, small_batches
+from .common import batch_rows, components, materialize, maybe_broadcast
 
 BITS = 64
 #: Fingerprints that the partitioning is estimated on; a bounded sample, taken by hash.
@@ -28,6 +28,8 @@ SAMPLE = 1500
 BLOCK = 512
 #: Cost of one probe row (shuffled and sorted) in comparisons of two fingerprints.
 PROBE_COST = 60.0
+#: Rows of whole texts in an Arrow batch.
+BATCH = 200
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,8 +71,8 @@ def simhash(text: str | None, k: int = 4, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """docs' rows as (doc_id, fp): null and word-less texts get fingerprint 0."""
-    small_batches(docs.sparkSession)
+    """docs' rows as (doc_id, fp): null and word-less texts get fingerprint 0. Run jobs on it within ``batch_rows``, which
+    bounds the whole texts that a worker and its executor hold at a time."""
 
     @F.pandas_udf(LongType())
     def of(texts: pd.Series) -> pd.Series:
@@ -286,7 +288,8 @@ def link_fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42, radi
     with a null doc_id take part but never name a component other than null; other columns
     are ignored. An empty table gives no rows.
     """
-    rows = materialize(with_fingerprint(docs, shingle, seed), "fingerprints")
+    with batch_rows(docs.sparkSession, BATCH):
+        rows = materialize(with_fingerprint(docs, shingle, seed), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     links = hamming_links(classes.select(F.col("fp").alias("id"), F.array("fp").alias("fps")), radius)
     found = components(links)
