@@ -2,7 +2,7 @@
 
 No token of either kind of vocabulary holds a space after a visible character, so a text may be cut
 before any single space that stands between two visible characters: the pieces' ids, joined, are the
-text's. Distinct pieces are few, and each is encoded once a worker.
+text's. Distinct pieces are few, and each is encoded once a task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 
 #: A single space between characters that every library takes for visible.
 CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
-#: Pieces that a worker remembers, and the longest of them in characters.
+#: Pieces that a task remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 400_000, 64
 
 
