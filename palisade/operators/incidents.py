@@ -102,7 +102,8 @@ def facts(seen: DataFrame, scope: str) -> DataFrame:
     the least confidence and the distinct observations in order."""
     subject = digest("subject", scope, *[F.col(c) for c in ("source_kind", "source_id", "kind", "category", "path", "evidence_digest")])
     pick = lambda names, c: F.get(F.array(*map(F.lit, names)), c)
-    by = seen.groupBy(subject.alias("subject"), "source_id", "category").agg(F.max(_ranked(SEVERITIES, "severity")).alias("s"), F.min(_ranked(CONFIDENCE, "confidence")).alias("c"), F.array_sort(F.collect_set("observation_id")).alias("observation_ids"))
+    # the subject tells source and category; dealt by it alone, facts meet incidents where they are
+    by = seen.groupBy(subject.alias("subject")).agg(F.min("source_id").alias("source_id"), F.min("category").alias("category"), F.max(_ranked(SEVERITIES, "severity")).alias("s"), F.min(_ranked(CONFIDENCE, "confidence")).alias("c"), F.array_sort(F.collect_set("observation_id")).alias("observation_ids"))
     out = by.select("subject", F.lit(scope).alias("scope"), "source_id", "category", pick(SEVERITIES, F.col("s")).alias("severity"), pick(CONFIDENCE, F.col("c")).alias("confidence"), "observation_ids")
     return out.withColumn("fact_id", digest("fact", F.col("source_id"), F.col("category"), F.col("severity"), F.col("confidence"), scope, F.array_join("observation_ids", ",")))
 
@@ -115,8 +116,8 @@ def merge(stored: DataFrame, current: DataFrame, run: int, scope: str, summary:
     """(incidents, deltas) after a run: stored incidents (INCIDENTS) merged with the run's facts of a scope.
 
     Only the scope's open incidents change. unread: (subject) that the run could not look at; their incidents stay open.
-    A full outer join on the subject, which one open incident and one fact at most have; applying the same run
-    again changes nothing.
+    A full outer join on the subject, which one open incident and one fact at most have; all sides are dealt by it once,
+    and both rows of an incident that gives way come from one joined row. Applying the same run again changes nothing.
     """
     if not summary or len(summary) > 1024 or re.search(RAW, summary):
         raise ValueError("a summary must be short and hold no evidence")
@@ -125,13 +126,13 @@ def merge(stored: DataFrame, current: DataFrame, run: int, scope: str, summary:
     # how many incidents a subject has had tells a new one from those
     before = stored.where(F.col("scope") == scope).groupBy(F.col("subject").alias("had")).agg(F.max("occurrence").alias("times"))
     now = current.select("subject", "severity", "confidence", "fact_id", "observation_ids")
-    j = old.join(now, F.col("old_subject") == F.col("subject"), "full_outer")
-    j = j.join(before, F.coalesce("subject", "old_subject") == F.col("had"), "left")
+    now = now.join(before, F.col("subject") == F.col("had"), "left")
     if unread is not None:
         hidden = unread.select(F.col("subject").alias("hidden")).distinct()
-        j = j.join(hidden, F.col("old_subject") == F.col("hidden"), "left")
+        old = old.join(hidden, F.col("old_subject") == F.col("hidden"), "left")
     else:
-        j = j.withColumn("hidden", F.lit(None).cast("string"))
+        old = old.withColumn("hidden", F.lit(None).cast("string"))
+    j = old.join(now, F.col("old_subject") == F.col("subject"), "full_outer")
     is_old, is_now = F.col("old_subject").isNotNull(), F.col("subject").isNotNull()
     same = is_old & is_now & (F.col("old_fact_id") == F.col("fact_id"))
     state = F.when(same, "unchanged").when(is_old & is_now, "changed").when(is_now, "added").when(F.col("hidden").isNotNull(), "unread").otherwise("removed")
@@ -143,17 +144,20 @@ def merge(stored: DataFrame, current: DataFrame, run: int, scope: str, summary:
     j = j.withColumn("new_id", F.when(F.col("state").isin("added", "changed"), new_id))
     n = F.lit(run).cast("long")
     closes = F.col("state").isin("changed", "removed")
-    kept = j.where(is_old).select(
-        *[F.col(f"old_{c}").alias(c) for c in ("incident_id", "subject", "scope")], F.when(F.col("state") == "changed", "superseded").when(F.col("state") == "removed", "resolved").otherwise("open").alias("status"),
-        *[F.col(f"old_{c}").alias(c) for c in ("severity", "confidence", "summary", "fact_id", "observation_ids", "occurrence", "opened_run")], F.when(same, F.greatest(F.col("old_seen_run"), n)).otherwise(F.col("old_seen_run")).alias("seen_run"),
-        F.when(closes, n).alias("closed_run"), F.col("new_id").alias("next_id"),
-    )
-    fresh = j.where("new_id is not null").select(
-        F.col("new_id").alias("incident_id"), "subject", F.lit(scope).alias("scope"), F.lit("open").alias("status"), "severity", "confidence", F.lit(summary).alias("summary"), "fact_id", "observation_ids", "occurrence",
-        n.alias("opened_run"), n.alias("seen_run"), F.lit(None).cast("long").alias("closed_run"), F.lit(None).cast("string").alias("next_id"),
+    # the old incident as it is now, then the new one
+    opens = F.col("state").isin("added", "changed")
+    each = j.withColumn("fresh", F.explode(F.when(is_old & opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(opens))))
+    pick = lambda new, was: F.when(F.col("fresh"), new).otherwise(was)
+    status = F.when(F.col("state") == "changed", "superseded").when(F.col("state") == "removed", "resolved").otherwise("open")
+    was = lambda c: F.col(f"old_{c}")
+    merged = each.select(
+        pick(F.col("new_id"), was("incident_id")).alias("incident_id"), pick(F.col("subject"), was("subject")).alias("subject"), pick(F.lit(scope), was("scope")).alias("scope"), pick(F.lit("open"), status).alias("status"),
+        *[pick(F.col(c), was(c)).alias(c) for c in ("severity", "confidence")], pick(F.lit(summary), was("summary")).alias("summary"), *[pick(F.col(c), was(c)).alias(c) for c in ("fact_id", "observation_ids", "occurrence")],
+        pick(n, was("opened_run")).alias("opened_run"), pick(n, F.when(same, F.greatest(was("seen_run"), n)).otherwise(was("seen_run"))).alias("seen_run"),
+        pick(F.lit(None), F.when(closes, n)).cast("long").alias("closed_run"), pick(F.lit(None), F.col("new_id")).cast("string").alias("next_id"),
     )
     names = [c.split(" ")[0] for c in INCIDENTS.split(", ")]
-    incidents = stored.where(~own).select(*names).unionByName(kept.select(*names)).unionByName(fresh.select(*names))
+    incidents = stored.where(~own).select(*names).unionByName(merged.select(*names))
     reason = F.when(F.col("state") == "added", "observed").when(F.col("state") == "removed", "no longer observed").otherwise("observed otherwise")
     deltas = j.where(F.col("state").isin("added", "removed", "changed")).select(n.alias("run"), "delta_id", F.col("state").alias("kind"), F.lit(scope).alias("scope"), F.coalesce("subject", "old_subject").alias("subject"), F.col("old_fact_id").alias("before"), F.col("fact_id").alias("after"), reason.alias("reason"))
     return incidents, deltas

@@ -43,13 +43,14 @@ def incident_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("orders/"), key).alias("path"), F.lit(1).alias("line"), F.lit(1).alias("end_line"), F.lit(None).cast("string").alias("hunk"), F.sha2(key, 256).alias("evidence_digest"), F.length(key).alias("evidence_length"),
     )
     root = _folder(spark, "incidents")
-    stored, at = incidents.none_yet(spark), None
+    stored = incidents.none_yet(spark)
     for run in (1, 2, 3):
-        facts = incidents.facts(incidents.observations(external=seen.where(F.col("run") == run).drop("run")), "tables")
-        now, _ = incidents.merge(stored, facts, run, "tables")
-        at = f"{root}/{run}"
-        now.write.parquet(at)
-        stored = spark.read.schema(incidents.INCIDENTS).parquet(at)
+        # a fact gathers distinct observations, so repeated ones need no shuffle of their own
+        facts = incidents.facts(incidents.of_external(seen.where(F.col("run") == run).drop("run"))[0], "tables")
+        stored, _ = incidents.merge(stored, facts, run, "tables")
+        if run < 3:  # the last run is only read once; digests are half as large in zstd
+            stored.write.option("compression", "zstd").parquet(f"{root}/{run}")
+            stored = spark.read.schema(incidents.INCIDENTS).parquet(f"{root}/{run}")
     subject = incidents.digest("subject", "tables", *[F.col(c) for c in ("source_kind", "source_id", "kind", "category", "path", "evidence_digest")])
     names = seen.select(subject.alias("subject"), F.col("source_id").cast("long").alias("orderkey")).distinct()
     return stored.join(names, "subject").select("orderkey", "severity", "opened_run", "closed_run", F.col("occurrence").cast("long").alias("occurrence"), "status")
