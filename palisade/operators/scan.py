@@ -134,14 +134,16 @@ def matches(lines: DataFrame, rules: list[Rule] | None = None, first_only: bool
     name = (tuple(rules), first_only, resolved)
     out = _once(out, "__few", built(("few", name), lambda: candidates(F.col("__low"), rules))).where(F.size("__few") > 0)
     out = _once(out, "__hits", built(("hits", name), lambda: rule_hits(F.col("content"), F.col("__few"), F.col("__path"), rules, not first_only))).where(F.size("__hits") > 0)
-    out = _once(out, "__all", built(("all", name), lambda: _all_spans(rules, first_only)))
+    out = _once(out, "__all", built(("all", name), lambda: _all_spans(rules)))
+    if first_only:
+        out = _first_spans(out, rules, first_only)
     kept = built(("kept", name), lambda: resolve(F.col("__all"), rules)) if resolved and not first_only else F.col("__all")
     out = out.withColumn("__m", F.explode(kept))
     return out.select(*lines.columns, F.col("__m.start").alias("start"), F.col("__m.order").alias("order"), F.col("__m.text").alias("text"))
 
 
-def _all_spans(rules: list[Rule], first_only: bool | str) -> Column:
-    """Spans of the rules in __hits, checked; with first_only those of the older way."""
+def _all_spans(rules: list[Rule]) -> Column:
+    """Spans of the rules in __hits, checked."""
     patterns = constant([rx.java(r.regex, r.ignore_case) for r in rules], "array<string>")
     each = F.flatten(
         F.transform("__hits", lambda h: F.transform(
@@ -152,15 +154,21 @@ def _all_spans(rules: list[Rule], first_only: bool | str) -> Column:
     for r in rules:
         if r.validator:
             each = _checked(each, r.order, VALIDATORS[r.validator])
-    if first_only:
-        first = F.array_sort(each)
-        each = F.filter(first, lambda s, i: F.coalesce(F.array_position(F.transform(first, lambda x: x["order"]), s["order"]) == i + 1, F.lit(False)))
+    return each
+
+
+def _first_spans(df: DataFrame, rules: list[Rule], first_only: bool | str) -> DataFrame:
+    """df whose __all are the spans of the older way. Each step is a column of its own: inside a filter it
+    would be worked out, patterns and all, for each span of a line."""
+    out = _once(df, "__sorted", F.array_sort("__all")).drop("__all")
+    out = _once(out, "__orders", F.transform("__sorted", lambda x: x["order"]))
+    out = _once(out, "__all", F.filter("__sorted", lambda s, i: F.coalesce(F.array_position("__orders", s["order"]) == i + 1, F.lit(False))))
     if first_only is True:
         vendor = constant(["CRT-SEC-021" <= r.rule_id <= "CRT-SEC-134" for r in rules], "array<boolean>")
         generic = constant([r.name in GENERIC for r in rules], "array<boolean>")
-        some = F.exists(each, lambda s: F.get(vendor, s["order"]))
-        each = F.filter(each, lambda s: ~(some & F.get(generic, s["order"])))
-    return each
+        out = _once(out, "__some", F.exists("__all", lambda s: F.get(vendor, s["order"])))
+        out = out.withColumn("__all", F.filter("__all", lambda s: ~(F.col("__some") & F.get(generic, s["order"]))))
+    return out
 
 
 def secret_matches(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
