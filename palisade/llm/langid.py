@@ -20,6 +20,8 @@ from .common import materialize, small_batches
 
 #: Longest n-gram; expected training documents of a language; how often a word or n-gram occurs in them to be known.
 LONGEST, FIT_DOCS, LEAST = 4, 3000, 2
+#: Unknown words whose vector a task keeps.
+SEEN = 20_000
 UNKNOWN = "und"
 
 
@@ -47,6 +49,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+class _Rows:
+    """Rows of a table by name; a dict of rows would hold an array's head of over a hundred bytes for each."""
+
+    def __init__(self, names: list[str], table: np.ndarray) -> None:
+        self.at, self.table = {x: i for i, x in enumerate(names)}, table
+
+    def get(self, name: str) -> np.ndarray | None:
+        i = self.at.get(name)
+        return None if i is None else self.table[i]
+
+
 @dataclass
 class Model:
     """Per-language log probabilities of words and, by length, of n-grams."""
@@ -71,7 +84,7 @@ class Model:
             if known:
                 v = np.mean(known, axis=0)
                 break
-        if len(self.seen) < 200_000:
+        if len(self.seen) < SEEN:
             self.seen[word] = v
         return v
 
@@ -146,7 +159,7 @@ def predictor(docs: DataFrame, model: Model) -> Callable[[str], Column]:
     def of(texts: pd.Series) -> pd.DataFrame:
         if not made:
             langs, prior, w, wv, g, gv = shared.value
-            made.append(Model(langs, prior, dict(zip(w, wv, strict=True)), dict(zip(g, gv, strict=True))))
+            made.append(Model(langs, prior, _Rows(w, wv), _Rows(g, gv)))
         return pd.DataFrame([made[0].predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return of
